@@ -17,50 +17,35 @@ from .common import read, stage_table
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
-    """Curve index of integer columns in [0, 2**bits), by Skilling's transform, as one expression over one array.
+    """Curve index of integer columns in [0, 2**bits), by Skilling's transform.
 
-    Each round is a transform of the array in a lambda, so the expression grows with bits * axes, not exponentially.
+    The rounds are folds over constant arrays, so the expression's size does not depend on bits.
     """
     n = len(axes)
-    one = F.lit(1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     state = F.array(*[a.cast("bigint") for a in axes])
+    steps = F.array(*[F.struct(F.lit(1 << q).cast("bigint").alias("bit"), F.lit(i + 1).alias("i")) for q in reversed(range(1, bits)) for i in range(n)])
+
+    def turn(x, s):
+        """Invert the low bits of the first axis, or exchange them with axis i."""
+        low = s["bit"] - 1
+        xi, x1 = F.element_at(x, s["i"]), F.element_at(x, 1)
+        on = xi.bitwiseAND(s["bit"]) != 0
+        t = F.when(on, zero).otherwise(x1.bitwiseXOR(xi).bitwiseAND(low))
+        first = F.when(on, x1.bitwiseXOR(low)).otherwise(x1.bitwiseXOR(t))
+        return F.transform(x, lambda v, j: F.when(j == 0, first).when(j == s["i"] - 1, v.bitwiseXOR(t)).otherwise(v))
 
     def with_(x: Column, f) -> Column:
         return F.element_at(F.transform(F.array(x), f), 1)
 
-    for q in reversed(range(1, bits)):
-        bit, low = 1 << q, (1 << q) - 1
-        for i in range(n):
-            def step(x, i=i, bit=bit, low=low):
-                t = F.when(x[i].bitwiseAND(F.lit(bit)) != 0, F.lit(0)).otherwise((x[0].bitwiseXOR(x[i])).bitwiseAND(F.lit(low)))
-                first = F.when(x[i].bitwiseAND(F.lit(bit)) != 0, x[0].bitwiseXOR(F.lit(low))).otherwise(x[0].bitwiseXOR(t))
-                return F.array(*[(first if j == 0 else x[j].bitwiseXOR(t) if j == i else x[j]).cast("bigint") for j in range(n)])
-            state = with_(state, step)
-
-    def gray(x):
-        acc = [x[0]]
-        for j in range(1, n):
-            acc.append(x[j].bitwiseXOR(acc[-1]))
-        return F.array(*acc)
-
-    state = with_(state, gray)
-
-    def undo(x):
-        t = F.lit(0).cast("bigint")
-        for q in reversed(range(1, bits)):
-            t = F.when(x[n - 1].bitwiseAND(F.lit(1 << q)) != 0, t.bitwiseXOR(F.lit((1 << q) - 1))).otherwise(t)
-        return F.array(*[x[j].bitwiseXOR(t) for j in range(n)])
-
-    state = with_(state, undo)
-
-    def weave(x):
-        out = F.lit(0).cast("bigint")
-        for q in reversed(range(bits)):
-            for j in range(n):
-                out = F.shiftleft(out, 1).bitwiseOR(F.shiftright(x[j], q).bitwiseAND(one))
-        return out
-
-    return with_(state, weave)
+    if bits > 1:
+        state = F.aggregate(steps, state, turn)
+    gray = F.aggregate(state, F.array().cast("array<bigint>"), lambda acc, v: F.array_append(acc, F.when(F.size(acc) == 0, v).otherwise(v.bitwiseXOR(F.coalesce(F.try_element_at(acc, F.size(acc)), zero)))))
+    down = F.array(*[F.lit(1 << q).cast("bigint") for q in reversed(range(1, bits))]) if bits > 1 else F.array().cast("array<bigint>")
+    fix = lambda x: F.aggregate(down, zero, lambda t, q: F.when(F.element_at(x, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+    done = with_(with_(gray, lambda x: F.struct(x.alias("x"), fix(x).alias("t"))), lambda s: F.transform(s["x"], lambda v: v.bitwiseXOR(s["t"])))
+    order = F.array(*[F.struct(F.lit(1 << q).cast("bigint").alias("bit"), F.lit(j + 1).alias("j")) for q in reversed(range(bits)) for j in range(n)])
+    return with_(done, lambda x: F.aggregate(order, zero, lambda h, o: h * 2 + F.when(F.element_at(x, o["j"]).bitwiseAND(o["bit"]) != 0, F.lit(1)).otherwise(F.lit(0))))
 
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
@@ -70,7 +55,7 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame,
     """
     cols = df.columns
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = stage_table(laid.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)), "ranked")
+    laid = stage_table(laid.withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id() - F.spark_partition_id().cast("bigint") * F.lit(1 << 33)), "ranked")
     counts, base = sorted((r["__p"], r["n"]) for r in laid.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()), 0
     start = []
     for p, n in counts:
