@@ -116,37 +116,51 @@ def two_stage_sort(text: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarr
 
 
 def _direct_order(text: np.ndarray, bounds: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at pos by their first `depth` bytes: by eight bytes at a time, ties only further on."""
+    """Order of the suffixes at pos by their first `depth` bytes: eight bytes at a time, and of groups that still tie
+    only those whose next bytes differ are sorted."""
     n = len(text)
-    padded = np.concatenate((text, np.zeros(depth + 8, np.uint8)))
-    string_end = bounds[np.searchsorted(bounds, pos, "right")]
-
-    def word(p: np.ndarray, end: np.ndarray) -> np.ndarray:
-        p = np.minimum(p, n)
-        v = np.zeros(len(p), U64)
-        for j in range(8):
-            v = (v << U64(8)) | np.where(p + j < end, padded[p + j], 0).astype(U64)
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    words = np.zeros(n + 8, U64)  # the eight bytes from each position, as one number
+    for j in range(8):
+        words = (words << U64(8)) | padded[j : n + 8 + j].astype(U64)
+    end = bounds[np.searchsorted(bounds, pos, "right")]
+
+    def word(which: np.ndarray, done: int) -> np.ndarray:
+        p = pos[which] + done
+        left = end[which] - p
+        v = words[np.minimum(p, n)]
+        short = np.flatnonzero(left < 8)
+        if len(short):
+            keep = np.clip(left[short], 0, 8)
+            drop = ((8 - keep) * 8).astype(U64)
+            v[short] = np.where(keep == 0, U64(0), (v[short] >> np.minimum(drop, U64(63))) << np.minimum(drop, U64(63)))
         return v
 
-    order = np.argsort(v := word(pos, string_end), kind="stable")
+    v = word(np.arange(len(pos)), 0)
+    order = np.argsort(v)
     s = v[order]
-    group = np.concatenate(([True], s[1:] != s[:-1]))
+    fresh = np.concatenate(([True], s[1:] != s[:-1]))  # a new group begins
+    live = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))))  # places in groups of two or more
     done = 8
-    while done < depth:
-        gid = np.cumsum(group) - 1
-        count = np.bincount(gid)
-        live = np.flatnonzero(count[gid] > 1)
-        if not len(live):
-            break
-        p = pos[order[live]]
-        v = word(p + done, string_end[order[live]])
-        g = gid[live]
-        # rank the words so that group and word fit one key
-        key = np.lexsort((v, g))
-        order[live] = order[live][key]
-        v, g = v[key], g[key]
-        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])))
-        group[live] = fresh
+    while done < depth and len(live):
+        head = fresh[live]
+        v = word(order[live], done)
+        differ = np.zeros(len(live), bool)
+        differ[1:] = ~head[1:] & (v[1:] != v[:-1])
+        gid = np.cumsum(head) - 1
+        mixed = np.zeros(gid[-1] + 1, bool)
+        mixed[gid[differ]] = True
+        sub = np.flatnonzero(mixed[gid])
+        if len(sub):
+            g, w = gid[sub], v[sub]
+            by = np.argsort(w, kind="stable")
+            by = by[np.argsort(g[by], kind="stable")]
+            place = live[sub]
+            order[place] = order[place][by]
+            g, w = g[by], w[by]
+            fresh[place] = np.concatenate(([True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])))
+            last = np.concatenate((fresh[1:], [True]))
+            live = live[~(fresh[live] & last[live])]
         done += 8
     return order
 
@@ -198,7 +212,8 @@ def _has(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
     return (bitmap[(s >> U64(6)).astype(np.int64)] >> (s & U64(63))) & U64(1) != 0
 
 
-EXTENT = "key bigint, ext bigint, uid bigint, start bigint, n int, text binary"
+#: times 0: a finished mark, n windows from start; else an extent that stands so often (2: or more) in its task.
+EXTENT = "key bigint, ext bigint, uid bigint, start bigint, n int, times int, text binary"
 
 
 def repeat_marks(base: DataFrame, size: int) -> DataFrame:
@@ -236,7 +251,26 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
     hot = spark.sparkContext.broadcast(_bitmap(keys.where(F.col("d") > HOT), HOT_BITS))
 
     def extents(batches):
-        seen: set[int] = set()
+        """Extents of shared anchors; what repeats within a task is marked at once and sent on a single time."""
+        names = ["key", "ext", "uid", "start", "n", "times", "text"]
+        held: list[tuple] = []
+        texts: dict[int, bytes] = {}
+        n_held = 0
+
+        def close():
+            key, ext, uid, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(ext, kind="stable")
+            key, ext, uid, start, n = (x[order] for x in (key, ext, uid, start, n))
+            fresh = np.concatenate(([True], ext[1:] != ext[:-1]))
+            at = np.flatnonzero(fresh)
+            size_ = np.diff(np.append(at, len(ext)))
+            twice = np.repeat(size_ > 1, size_)
+            if twice.any():
+                m = np.flatnonzero(twice)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[m]), pa.array(uid[m]), pa.array(uid[m]), pa.array(start[m]), pa.array(n[m]), pa.array(np.zeros(len(m), np.int32)), pa.nulls(len(m), pa.binary())], names=names)
+            text = pa.array([texts.get(x) for x in ext[at].tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([signed(key[at]), signed(ext[at]), pa.array(uid[at]), pa.array(start[at]), pa.array(n[at]), pa.array(np.minimum(size_, 2).astype(np.int32)), text], names=names)
+
         for batch in batches:
             for a, b, data, off in parts(batch.column(1)):
                 h, doc, s, e, p, key = anchors(data, off, size)
@@ -252,19 +286,22 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
                     at = np.repeat(s[single] - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(many.sum())
                     wh = span_hash(h, at, at + size)
                     d = np.repeat(doc[single], many)
-                    yield pa.RecordBatch.from_arrays([signed(wh), signed(wh), pa.array(uid[d]), pa.array(at - off[d]), pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.binary())], names=["key", "ext", "uid", "start", "n", "text"])
+                    held.append((wh, wh, uid[d], at - off[d], np.ones(len(at), np.int32)))
+                    n_held += len(at)
                     doc, s, e, key, ext = (x[~single] for x in (doc, s, e, key, ext))
-                text: list = []
                 raw = data.tobytes()
                 for x, i, j in zip(ext.tolist(), s.tolist(), e.tolist(), strict=True):
-                    if x in seen:
-                        text.append(None)
-                    else:
-                        seen.add(x)
-                        text.append(raw[i : j + size])
-                yield pa.RecordBatch.from_arrays([signed(key), signed(ext), pa.array(uid[doc]), pa.array(s - off[doc]), pa.array((e - s + 1).astype(np.int32)), pa.array(text, pa.binary())], names=["key", "ext", "uid", "start", "n", "text"])
-                if len(seen) > 2_000_000:
-                    seen.clear()
+                    if x not in texts:
+                        texts[x] = raw[i : j + size]
+                held.append((key, ext, uid[doc], s - off[doc], (e - s + 1).astype(np.int32)))
+                n_held += len(s)
+                if n_held > 300_000:
+                    yield from close()
+                    held.clear()
+                    texts.clear()
+                    n_held = 0
+        if n_held:
+            yield from close()
 
     def marks(batches):
         """Rows of one key follow each other, and of one extent, texts first."""
@@ -293,9 +330,15 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["uid", "a", "b"])
 
         for batch in batches:
-            key, ext, uid, start, n = (batch.column(i).to_pylist() for i in range(5))
-            text = batch.column(5)
+            key, ext, uid, start, n, many = (batch.column(i).to_pylist() for i in range(6))
+            text = batch.column(6)
+            ready = np.flatnonzero(batch.column(5).to_numpy() == 0)
+            if len(ready):
+                u, st, k = (batch.column(i).to_numpy()[ready] for i in (2, 3, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(st), pa.array(st + k - 1 + size)], names=["uid", "a", "b"])
             for r in range(batch.num_rows):
+                if not many[r]:
+                    continue
                 if key[r] != last_key:
                     if held > BLOCK or len(rows) > 200_000:
                         yield close()
@@ -308,7 +351,7 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
                     held += 0 if t is None else len(t)
                     counts.append(n[r])
                     times.append(0)
-                times[-1] += 1
+                times[-1] += many[r]
                 rows.append((len(counts) - 1, uid[r], start[r]))
         if counts:
             yield close()
