@@ -67,16 +67,13 @@ def slots(c: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
     return x.astype(np.int64) + START[k]
 
 
-def _stretch(p):
-    return np.log(p / (1 - p))
-
-
 def _squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
 def _predict(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return _stretch((n1 + 0.05) / (n0 + n1 + 0.1))
+    a, b = n0.astype(float), n1.astype(float)
+    return np.log((b + 0.05) / (a + 0.05))  # finite for any counts
 
 
 def gate_of(bit: int, conf: dict[int, np.ndarray]) -> np.ndarray:
