@@ -7,8 +7,9 @@ size ranges) yields the pairs that the bound lets through; each is verified on t
 How it is spread out: equal sets are one class, named by a hash of the set. Two sets that overlap enough share one
 of the first n - ceil(t n) + 1 shingles of each in one common order; the order puts shingles that are frequent (by
 a table of fixed size) last. Classes that share such a shingle are connected into clusters by sorted runs and a
-distributed component search, each cluster's sets travel once, and the R-tree works inside a cluster. Large
-clusters are dealt in pairs of blocks, so no task holds more than two blocks.
+distributed component search. Inside clusters the R-tree first works on the group counts alone, which splits
+clusters that share little; the sets travel only for what it leaves, where pairs are verified. Large clusters are
+dealt in pairs of blocks, so no task holds more than two blocks.
 
 Cases: null or wordless text has no shingles, links with nothing and is its own component; ties and repeated rows
 share a class; a null doc_id takes part but never names a component; empty input gives empty output.
@@ -27,6 +28,8 @@ from .graph import local_roots, star_components
 LEVEL_BITS = 22  # slots of the frequency table
 CLASS_BITS = 23  # bits of the table of classes that have a cluster
 DF_BLOCK = 4_000_000  # shingles a task counts at once
+PAIRS = 64  # the longest run of one shingle whose pairs are looked at one by one
+WIDTH = 256  # groups of the points that go ahead of the sets
 BLOCK = 2048  # members of a cluster that a task takes at once, twice
 
 
@@ -93,13 +96,13 @@ class RTree:
         return out[out != q]
 
 
-def link_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set the index of the first set of its component under Jaccard >= num/den."""
-    n = len(sets)
-    sizes = np.asarray([len(s) for s in sets], np.int64)
-    width = 1 << int(np.clip(np.ceil(np.log2(max(1, np.median(sizes)) / 4)), 5, 11))
-    points = np.stack([np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) for s in sets]).astype(np.int32)
-    tree = RTree(points, sizes, num, den)
+def group_counts(s: np.ndarray, width: int) -> np.ndarray:
+    return np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width)
+
+
+def _search(tree: RTree, accept) -> np.ndarray:
+    """For each point the first point of its component under the tree's pairs that accept(q, c) confirms."""
+    n = len(tree.sizes)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -112,16 +115,31 @@ def link_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         found = tree.query(q)
         for c in found[found < q].tolist():
             a, b = find(q), find(c)
-            if a == b:
-                continue
-            x, y = (sets[q], sets[c]) if sizes[q] <= sizes[c] else (sets[c], sets[q])
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if den * both >= num * (len(x) + len(y) - both):
+            if a != b and accept(q, c):
                 root[max(a, b)] = min(a, b)
     return np.asarray([find(i) for i in range(n)])
 
 
+def bound_groups(counts: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Components by the R-tree's bound alone: sets that link are never apart."""
+    points = np.stack(counts).astype(np.int32)
+    return _search(RTree(points, points.sum(1, dtype=np.int64), num, den), lambda q, c: True)
+
+
+def link_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each set the index of the first set of its component under Jaccard >= num/den."""
+    sizes = np.asarray([len(s) for s in sets], np.int64)
+    width = 1 << int(np.clip(np.ceil(np.log2(max(1, np.median(sizes)) / 4)), 5, 11))
+    points = np.stack([group_counts(s, width) for s in sets]).astype(np.int32)
+
+    def verify(q: int, c: int) -> bool:
+        x, y = (sets[q], sets[c]) if sizes[q] <= sizes[c] else (sets[c], sets[q])
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return den * both >= num * (len(x) + len(y) - both)
+
+    return _search(RTree(points, sizes, num, den), verify)
+
+
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
@@ -169,7 +187,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         table, seen = level_b.value, set()
         for batch in batches:
             for _, _, data, off in parts(batch.column(1)):
-                tok, rid, count = [], [], []
+                tok, rid, size, count = [], [], [], []
                 for s in doc_sets(data, off, k):
                     if not len(s) or (r := class_id(s)) in seen:
                         continue
@@ -179,85 +197,121 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                     t = t[: len(s) - -(-num * len(s) // den) + 1]
                     tok.append(t)
                     rid.append(r)
+                    size.append(len(s))
                     count.append(len(t))
                 if tok:
-                    yield pa.RecordBatch.from_arrays([ints(np.concatenate(tok)), pa.array(np.repeat(np.asarray(rid, np.int64), count))], names=["tok", "rid"])
+                    place = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
+                    yield pa.RecordBatch.from_arrays([ints(np.concatenate(tok)), pa.array(np.repeat(np.asarray(rid, np.int64), count)), pa.array(np.repeat(np.asarray(size, np.int32), count)), pa.array(place)], names=["tok", "rid", "n", "at"])
 
     def runs(batches):
-        """Classes that share a shingle of this partition, as edges to the smallest one they reach here."""
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        """Classes that may link for a shingle of this partition, as edges to the smallest one they reach here.
+
+        At the first shingle that two sets share, what each has from there on must reach the overlap needed. Runs
+        too long for all pairs are chained by size instead, which connects at least as much.
+        """
+        got = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
         if not got:
             return
-        tok, rid = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((rid, tok))
-        tok, rid = tok[order], rid[order]
-        same = np.flatnonzero(tok[1:] == tok[:-1])
-        same = same[rid[same] != rid[same + 1]]
-        if len(same):
-            node, root = local_roots(rid[same], rid[same + 1])
-            off = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(root[off])], names=["u", "v"])
-
-    tokens = base.mapInArrow(prefixes, "tok bigint, rid bigint").repartition(tasks(spark), "tok")
+        tok, rid, n, at = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        order = np.lexsort((rid, n, tok))
+        tok, rid, n, at = tok[order], rid[order], n[order].astype(np.int64), at[order]
+        u, v = [], []
+        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        length = np.diff(np.append(first, len(tok)))
+        long = np.repeat(length > PAIRS, length)
+        for d in range(1, min(PAIRS, int(length.max())) + 1):
+            i = np.flatnonzero(tok[d:] == tok[:-d])
+            if d > 1:
+                i = i[~long[i]]
+            if not len(i):
+                break
+            x, y = n[i], n[i + d]
+            enough = np.minimum(x - at[i], y - at[i + d]) >= -(-num * (x + y) // (num + den))
+            fit = (den * x >= num * y) & (enough | long[i]) & (rid[i] != rid[i + d])
+            u.append(rid[i[fit]])
+            v.append(rid[i[fit] + d])
+        if u:
+            u, v = np.concatenate(u), np.concatenate(v)
+            if len(u):
+                node, root = local_roots(u, v)
+                off = node != root
+                yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(root[off])], names=["u", "v"])
+
+    tokens = base.mapInArrow(prefixes, "tok bigint, rid bigint, n int, at int").repartition(tasks(spark), "tok")
     clusters = stage_table(star_components(tokens.mapInArrow(runs, "u bigint, v bigint")), "clusters")
-    words = clusters.select(F.col("node").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (CLASS_BITS - 6), np.int64)  # a table of fixed size
-    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
-    bitmap_b = spark.sparkContext.broadcast(bitmap.view(U64))
+    def members(bits, vectors: bool):
+        """Arrow function: each class whose bit is set, once a task, with its group counts or its whole set."""
+
+        def run(batches):
+            table, seen = bits.value, set()
+            for batch in batches:
+                for _, _, data, off in parts(batch.column(1)):
+                    rid, body = [], []
+                    for s in doc_sets(data, off, k):
+                        if not len(s) or (r := class_id(s)) in seen:
+                            continue
+                        seen.add(r)
+                        slot = r & ((1 << CLASS_BITS) - 1)
+                        if int(table[slot >> 6]) >> (slot & 63) & 1:
+                            rid.append(r)
+                            body.append((group_counts(s, WIDTH).astype(np.uint32) if vectors else s).tobytes())
+                    if rid:
+                        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(body, pa.binary())], names=["rid", "body"])
 
-    def members(batches):
-        bits, seen = bitmap_b.value, set()
-        for batch in batches:
-            for _, _, data, off in parts(batch.column(1)):
-                rid, sets = [], []
-                for s in doc_sets(data, off, k):
-                    if not len(s) or (r := class_id(s)) in seen:
-                        continue
-                    seen.add(r)
-                    slot = r & ((1 << CLASS_BITS) - 1)
-                    if int(bits[slot >> 6]) >> (slot & 63) & 1:
-                        rid.append(r)
-                        sets.append(s.tobytes())
-                if rid:
-                    yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(sets, pa.binary())], names=["rid", "set"])
-
-    def link(batches):
-        """Rows of one (root, i, j) follow each other; each group's links become edges to its components' first class."""
-        tag, rid, sets, out = None, [], [], []
-
-        def close():
-            if len(sets) > 1:
-                first = link_groups(sets, num, den)
-                out.extend((rid[x], rid[f]) for x, f in enumerate(first.tolist()) if x != f)
+        return run
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(3)]
-            ids, raw = batch.column(3).to_pylist(), batch.column(4)
-            for x, t in enumerate(zip(*cols, strict=True)):
-                if t != tag:
-                    close()
-                    tag, rid, sets = t, [], []
-                if not rid or ids[x] != rid[-1]:
-                    rid.append(ids[x])
-                    sets.append(np.frombuffer(raw[x].as_py(), U64))
-            if out:
+    def link(vectors: bool):
+        """Arrow function: rows of one (root, i, j) follow each other; what each group joins becomes edges."""
+
+        def run(batches):
+            tag, rid, body, out = None, [], [], []
+
+            def close():
+                if len(body) > 1:
+                    first = bound_groups(body, num, den) if vectors else link_groups(body, num, den)
+                    out.extend((rid[x], rid[f]) for x, f in enumerate(first.tolist()) if x != f)
+
+            def flush():
                 u, v = zip(*out, strict=True)
                 out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-        close()
-        if out:
-            u, v = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    count = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
-    big = count.where("nb > 1").select("root", "nb")
-    at = clusters.join(big, "root", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    at = at.select("node", "root", F.inline(pair))
-    held = base.mapInArrow(members, "rid bigint, set binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "rid", "set")
-    held = held.repartition(tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
-    links = stage_table(held.mapInArrow(link, "u bigint, v bigint"), "links")
+                return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in range(3)]
+                ids, raw = batch.column(3).to_pylist(), batch.column(4)
+                for x, t in enumerate(zip(*cols, strict=True)):
+                    if t != tag:
+                        close()
+                        tag, rid, body = t, [], []
+                    if not rid or ids[x] != rid[-1]:
+                        rid.append(ids[x])
+                        body.append(np.frombuffer(raw[x].as_py(), np.uint32 if vectors else U64))
+                if out:
+                    yield flush()
+            close()
+            if out:
+                yield flush()
+
+        return run
+
+    def joined(clusters: DataFrame, vectors: bool) -> DataFrame:
+        """Edges that hold inside clusters (node, root): by the bound of the group counts, or by the sets."""
+        words = clusters.select(F.col("node").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+        bitmap = np.zeros(1 << (CLASS_BITS - 6), np.int64)  # a table of fixed size
+        bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
+        bits = spark.sparkContext.broadcast(bitmap.view(U64))
+        count = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+        at = clusters.join(count.where("nb > 1").select("root", "nb"), "root", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+        at = at.select("node", "root", F.inline(pair))
+        held = base.mapInArrow(members(bits, vectors), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "rid", "body")
+        held = held.repartition(tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
+        return stage_table(held.mapInArrow(link(vectors), "u bigint, v bigint"), "links")
+
+    near = stage_table(star_components(joined(clusters, True)), "clusters")
+    links = joined(near, False)
     final = star_components(links)
     named = rows.join(final, F.col("rid") == F.col("node"), "left").select("k", "rid", "n", F.coalesce("root", "rid").alias("g"))
     names = named.where("g is not null").groupBy(F.col("g").alias("gg")).agg(F.min("k").alias("component_id"))
