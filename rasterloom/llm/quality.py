@@ -148,15 +148,17 @@ def rules_column(rules: list[Rule]) -> Column:
     return F.lit(False) if out is None else out.otherwise(False)
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, sample: int = 20_000, **limits) -> list[Rule]:
-    """Learn from at most `sample` labelled rows, the smallest by a hash of doc_id (a documented bound)."""
-    names = list(FEATURES)
+def labelled(labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id and q of at most `sample` labelled documents, the smallest by a hash of doc_id (a documented bound)."""
     lab = labels.select("doc_id", F.col("quality").cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.min("q").alias("q"))
-    rows = (
-        stats.select("doc_id", *[F.expr(FEATURES[f]).alias(f) for f in names])
-        .join(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample).toPandas()
-    )
+    return lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **limits) -> list[Rule]:
+    """Learn from at most `sample` labelled rows; their ids are few enough to broadcast, so no text is shuffled."""
+    names = list(FEATURES)
+    known = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, sample)), "doc_id")
+    rows = text_stats(known, ("doc_id", "q")).select("doc_id", "q", *[F.expr(FEATURES[f]).alias(f) for f in names]).orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample).toPandas()
     bad = (rows["q"].to_numpy() == 0) if len(rows) else np.zeros(0, bool)
     return learn_rules(rows[names].to_numpy(float).reshape(-1, len(names)), bad, names, **limits) if bad.any() and not bad.all() else []
 
@@ -166,9 +168,7 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
     """Counts, base verdict and learned verdict for every row of docs, with the columns of `keep`."""
-    lab = labels.select("doc_id").dropna().distinct()
-    known = docs.select("doc_id", "text").join(lab, "doc_id", "left_semi")
-    rules = fit(text_stats(known), labels, **limits)
+    rules = fit(docs, labels, **limits)
     return text_stats(docs, keep).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~rules_column(rules))
 
 
