@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from functools import cache
 
 import numpy as np
@@ -132,5 +133,6 @@ def count_tokens(docs: DataFrame, path: str, *, cache_path: str | None = None, k
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    # a cache of its own for each call: the query does the whole job whatever ran before it
+    out = count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), cache_path=f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
