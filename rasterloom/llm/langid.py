@@ -36,8 +36,8 @@ class BiGRU:
         self.h = hidden
         self.p = {"xf": f(257, 3 * hidden), "xb": f(257, 3 * hidden), "uf": f(hidden, 3 * hidden), "ub": f(hidden, 3 * hidden), "v": f(2 * hidden, labels), "c": np.zeros(labels, np.float32)}
 
-    def states(self, bytes_: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """[T, N, h] states over bytes_ [T, N], in the order given."""
+    def states(self, bytes_: np.ndarray, side: str, keep: list) -> np.ndarray:
+        """[T, N, h] states over bytes_ [T, N], in the order given; keep gets what the gradients need."""
         x, u, h = self.p["x" + side], self.p["u" + side], self.h
         t_max, n = bytes_.shape
         s = np.zeros((n, h), np.float32)
@@ -48,20 +48,45 @@ class BiGRU:
             zr = _sigmoid(gx[:, : 2 * h] + gu[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             cand = np.tanh(gx[:, 2 * h :] + r * gu[:, 2 * h :])
-            if keep is not None:
-                keep.append((s, z, r, cand, gu[:, 2 * h :]))
+            keep.append((s, z, r, cand, gu[:, 2 * h :]))
             s = cand + z * (s - cand)
             out[t] = s
         return out
 
+    def _logits(self, bytes_: np.ndarray, side: str, add: np.ndarray) -> None:
+        """Add one direction's part of the logits to add [T, labels, N]; gates by rows, computed in place."""
+        h, n = self.h, bytes_.shape[1]
+        x, ut = self.p["x" + side].astype(np.float32), self.p["u" + side].T.astype(np.float32).copy()
+        x[:, : 2 * h] *= 0.5  # sigmoid(v) = (1 + tanh(v / 2)) / 2
+        ut[: 2 * h] *= 0.5
+        v = np.ascontiguousarray(self.p["v"][:h] if side == "f" else self.p["v"][h:], np.float32).T.copy()
+        s, gu, gx, d = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((h, n), np.float32)
+        zr, cand, y = gx[: 2 * h], gx[2 * h :], np.empty(add.shape[1:], np.float32)
+        for t in range(len(bytes_)) if side == "f" else range(len(bytes_) - 1, -1, -1):
+            gx[:] = x[bytes_[t]].T
+            np.matmul(ut, s, gu)
+            zr += gu[: 2 * h]
+            np.tanh(zr, zr)
+            zr += 1
+            zr *= 0.5
+            np.multiply(zr[h:], gu[2 * h :], d)
+            cand += d
+            np.tanh(cand, cand)
+            np.subtract(s, cand, d)
+            d *= zr[:h]
+            np.add(cand, d, s)
+            add[t] += np.matmul(v, s, y)
+
     def probabilities(self, bytes_: np.ndarray) -> np.ndarray:
         """[T, N, labels] for segments [T, N]."""
-        both = np.concatenate((self.states(bytes_, "f"), self.states(bytes_[::-1], "b")[::-1]), 2)
-        y = both @ self.p["v"] + self.p["c"]
-        y -= y.max(2, keepdims=True)
+        y = np.empty((len(bytes_), len(self.p["c"]), bytes_.shape[1]), np.float32)
+        y[:] = self.p["c"][:, None]
+        self._logits(bytes_, "f", y)
+        self._logits(bytes_, "b", y)
+        y -= y.max(1, keepdims=True)
         np.exp(y, out=y)
-        y /= y.sum(2, keepdims=True)
-        return y
+        y /= y.sum(1, keepdims=True)
+        return y.transpose(0, 2, 1)
 
     def gradients(self, bytes_: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted cross-entropy over all positions."""
@@ -163,8 +188,9 @@ def pooled(net: BiGRU, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         index = start[rows][None, :] + np.arange(t)[:, None]
         real = np.arange(t)[:, None] < length[rows][None, :]
         b = np.where(real, data[np.minimum(index, len(data) - 1)], 256).astype(np.int16)
-        p = net.probabilities(b) * real[:, :, None]
-        np.add.at(total, doc[rows], p.sum(0))
+        p = net.probabilities(b).transpose(0, 2, 1)
+        p *= real[:, None]
+        np.add.at(total, doc[rows], p.sum(0, dtype=float).T)
     return total / np.maximum(sizes, 1)[:, None]
 
 
