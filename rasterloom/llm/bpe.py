@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, SlotCache, parts, read
+from .common import U64, SlotCache, freed, parts, read
 from .pretoken import pretoken_hashes, pretokens
 
 NONE = np.int64(-1)
@@ -286,7 +286,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def grouped(col, limit: int = 4 << 20, parts_each: int = 5):
+def grouped(col, limit: int = 1 << 20, parts_each: int = 8):
     """Lists of up to parts_each parts of a column."""
     group = []
     for part in parts(col, limit):
@@ -316,7 +316,7 @@ def bpe_encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",
                     cols.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in each]))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(freed(run), schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -329,7 +329,7 @@ def bpe_decode(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",
             got = [None if x is None else b"".join(table[i] for i in x) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.binary())], names=[*keep, "data"])
 
-    return rows.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)
+    return rows.select(*keep, F.col(ids).alias("__ids")).mapInArrow(freed(run), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from it stay small however many rows a batch has; one text longer than the limit
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -138,6 +139,22 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int = 5) -> tuple[np.
     return out, soff
 
 
+def freed(run):
+    """A function over batches whose worker gives free memory back to the system when the task ends: workers stay for
+    later stages, and what one stage needed would otherwise add to the next one's."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset a new temporary one (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

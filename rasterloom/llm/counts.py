@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import grouped
-from .common import SlotCache, read, shared_dir, stage_table
+from .common import SlotCache, freed, read, shared_dir, stage_table
 from .pretoken import pretoken_hashes, pretokens
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, path: str, *, cache_path: str | None = None, k
                     yield pa.RecordBatch.from_arrays([pa.array([version] * (b - a)), batch.column(0).slice(a, b - a), pa.array(n)], names=["tokenizer", "digest", "n_tokens"])
 
     rows = whole.join(miss.withColumnRenamed("k", "mk"), F.col("k").eqNullSafe(F.col("mk"))).where(F.sha2("t", 256) == F.col("digest"))
-    fresh = rows.select("digest", "t").mapInArrow(run, CACHE)
+    fresh = rows.select("digest", "t").mapInArrow(freed(run), CACHE)
     fresh.write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return digests.join(counts, "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, mix64, parts, read, shingle_hashes, stage_table, tasks, word_hashes
+from .common import LOWER, U64, freed, mix64, parts, read, shingle_hashes, stage_table, tasks, word_hashes
 from .graph import local_roots, star_components
 
 LEVEL_BITS = 22  # slots of the frequency table
@@ -175,7 +175,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         if held:
             yield frequent()
 
-    one = stage_table(base.mapInArrow(first_pass, "kind tinyint, a bigint, b bigint, c bigint"), "shingle-pass")
+    one = stage_table(base.mapInArrow(freed(first_pass), "kind tinyint, a bigint, b bigint, c bigint"), "shingle-pass")
     rows = one.where("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("rid"), F.col("c").alias("n"))
     freq = one.where("kind = 1").groupBy("a").agg(F.sum("b").alias("f")).where("f >= 4")
     slots = freq.groupBy(F.col("a").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("slot")).agg(F.max(F.floor(F.log2("f"))).cast("tinyint").alias("l")).toArrow()
@@ -238,8 +238,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 off = node != root
                 yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(root[off])], names=["u", "v"])
 
-    tokens = base.mapInArrow(prefixes, "tok bigint, rid bigint, n int, at int").repartition(tasks(spark), "tok")
-    clusters = stage_table(star_components(tokens.mapInArrow(runs, "u bigint, v bigint")), "clusters")
+    tokens = base.mapInArrow(freed(prefixes), "tok bigint, rid bigint, n int, at int").repartition(tasks(spark), "tok")
+    clusters = stage_table(star_components(tokens.mapInArrow(freed(runs), "u bigint, v bigint")), "clusters")
     def members(bits, vectors: bool):
         """Arrow function: each class whose bit is set, once a task, with its group counts or its whole set."""
 
@@ -306,9 +306,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
         at = at.select("node", "root", F.inline(pair))
-        held = base.mapInArrow(members(bits, vectors), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "rid", "body")
+        held = base.mapInArrow(freed(members(bits, vectors)), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "rid", "body")
         held = held.repartition(tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
-        return stage_table(held.mapInArrow(link(vectors), "u bigint, v bigint"), "links")
+        return stage_table(held.mapInArrow(freed(link(vectors)), "u bigint, v bigint"), "links")
 
     near = stage_table(star_components(joined(clusters, True)), "clusters")
     links = joined(near, False)

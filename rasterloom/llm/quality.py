@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix64, parts, prefix_hash, read, span_hash, word_bounds, COEF, U64
+from .common import SPACE, freed, mix64, parts, prefix_hash, read, span_hash, word_bounds, COEF, U64
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -78,7 +78,7 @@ def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
                 st = part_stats(data, off)
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(st[c], pa.int64()) for c in STATS], names=keep + list(STATS))
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(freed(run), schema)
 
 
 Rule = list[tuple[str, bool, float]]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, parts, prefix_hash, read, span_hash, stage_table, tasks
+from .common import U64, freed, mix64, parts, prefix_hash, read, span_hash, stage_table, tasks
 
 GRAM = 32
 SHARED_BITS = 26  # bits of the table of anchors that stand twice or more
@@ -246,7 +246,7 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
         if held:
             yield close()
 
-    keys = stage_table(base.mapInArrow(census, "key bigint, c bigint, d bigint").groupBy("key").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where("c > 1"), "anchors")
+    keys = stage_table(base.mapInArrow(freed(census), "key bigint, c bigint, d bigint").groupBy("key").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where("c > 1"), "anchors")
     shared = spark.sparkContext.broadcast(_bitmap(keys, SHARED_BITS))
     hot = spark.sparkContext.broadcast(_bitmap(keys.where(F.col("d") > HOT), HOT_BITS))
 
@@ -356,8 +356,8 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
         if counts:
             yield close()
 
-    laid = base.mapInArrow(extents, EXTENT).repartition(tasks(spark), "key").sortWithinPartitions("key", "ext", F.col("text").isNull())
-    return laid.mapInArrow(marks, "uid bigint, a bigint, b bigint")
+    laid = base.mapInArrow(freed(extents), EXTENT).repartition(tasks(spark), "key").sortWithinPartitions("key", "ext", F.col("text").isNull())
+    return laid.mapInArrow(freed(marks), "uid bigint, a bigint, b bigint")
 
 
 def _extent_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
@@ -404,7 +404,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 200, keep: tuple[str, ...] =
                     left.append(kept.decode("utf-8", "ignore"))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in range(k)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), *[pa.array(left, pa.string())] * with_text], names=names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(freed(cut), schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
