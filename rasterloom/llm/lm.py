@@ -1,7 +1,7 @@
 """Language-model scoring by logistic context mixing over bits.
 
-Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts of
-the last 1 to 4 bytes; each context's counts of zeros and ones over all training texts give one prediction. The
+Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts: the
+last 1 to 4 bytes, and the word so far (its lower-cased bytes since the last white space); each context's counts of zeros and ones over all training texts give one prediction. The
 predictions are combined in the logistic domain by weights that a gate selects (bit place and how often the longer
 contexts were met), and an adaptive probability map refines the result. Counts are summed over all training texts
 in Spark into tables of fixed size; weights and map are learned online, bit by bit, over a bounded sample of
@@ -23,22 +23,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, SlotCache, mix64, parts, read, stage_table, word_hashes
+from .common import LOWER, SPACE, U64, SlotCache, freed, mix64, parts, prefix_hash, read, span_hash, stage_table, word_hashes
 from .langid import crc_rest
 
-ORDERS = (1, 2, 3, 4)
-SLOT_BITS = {1: 16, 2: 19, 3: 20, 4: 22}
+PREFIX = 5  # the context of the word so far, beside those of the last bytes
+ORDERS = (1, 2, 3, 4, PREFIX)
+SLOT_BITS = {1: 16, 2: 19, 3: 20, 4: 22, PREFIX: 22}
 START = {k: sum(1 << SLOT_BITS[j] for j in ORDERS if j < k) for k in ORDERS}
 SLOTS = sum(1 << b for b in SLOT_BITS.values())
 WORD = 9  # kind of word rows beside the orders
 FREQUENT = 1 << 19
-SEGMENTS, SEGMENT = 4096, 128
+SEGMENTS, SEGMENT, LEAD = 4096, 128, 32  # LEAD bytes before a segment give its first contexts
 CONF = np.asarray([0, 1, 2, 2, 3, 3, 3, 3] + [4] * 24 + [5] * 225, np.uint8)  # class of a count up to 255
 GATES = 8 * 6 * 6
 
 
-def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every text and its closing zero: the last four bytes, the byte, and each text's offsets."""
+BREAK = SPACE | (np.arange(256) == 0)
+
+
+def prefixes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For every byte of every text and its end: a hash, of 24 bits, of the word so far."""
+    lens = np.diff(off)
+    toff = np.concatenate(([0], np.cumsum(lens + 1)))
+    pos = np.arange(toff[-1]) - np.repeat(np.arange(len(lens)), lens + 1)
+    after = np.zeros(len(data) + 1, np.int64)
+    np.maximum.accumulate(np.where(BREAK[data], np.arange(1, len(data) + 1), 0), out=after[1:])
+    start = np.maximum(after[pos], np.repeat(off[:-1], lens + 1))
+    return (span_hash(prefix_hash(LOWER[data]), start, pos) >> U64(40)).astype(np.uint32)
+
+
+def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte of every text and its closing zero: the last four bytes, the word so far, and the byte; and each
+    text's offsets."""
     n, lens = len(off) - 1, np.diff(off)
     out = np.zeros(len(data) + 5 * n, np.uint8)
     base = off[:-1] + 5 * np.arange(n) + 4
@@ -49,14 +65,13 @@ def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         ctx[j:] = (ctx[j:] << np.uint32(8)) | x[:-j] if len(out) > j else ctx[j:]
     toff = np.concatenate(([0], np.cumsum(lens + 1)))
     at = np.arange(toff[-1]) + np.repeat(base - toff[:-1], lens + 1)
-    return ctx[at], out[at], toff
+    return ctx[at], prefixes(data, off), out[at], toff
 
 
-def context(ctx: np.ndarray, k: int) -> np.ndarray:
-    """The last k bytes as a number of 24 bits, hashed for k = 4."""
-    if k < 4:
-        return ctx & np.uint32((1 << 8 * k) - 1)
-    return (mix64(ctx.astype(U64)) >> U64(40)).astype(np.uint32)
+def contexts(ctx: np.ndarray, word: np.ndarray) -> dict[int, np.ndarray]:
+    """Every context as a number of 24 bits."""
+    last = {k: ctx & np.uint32((1 << 8 * k) - 1) for k in (1, 2, 3)}
+    return {**last, 4: (mix64(ctx.astype(U64)) >> U64(40)).astype(np.uint32), PREFIX: word}
 
 
 def slots(c: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
@@ -77,7 +92,7 @@ def _predict(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def gate_of(bit: int, conf: dict[int, np.ndarray]) -> np.ndarray:
-    return bit * 36 + conf[4].astype(np.int64) * 6 + conf[3]
+    return bit * 36 + conf[PREFIX].astype(np.int64) * 6 + conf[4]
 
 
 class Refiner:
@@ -98,17 +113,18 @@ class Mixer:
         self.w = np.full((GATES, len(ORDERS)), 0.3)
         self.apm = Refiner()
 
-    def learn(self, n0: np.ndarray, n1: np.ndarray, seg: np.ndarray, *, rate: float = 0.02, epochs: int = 3) -> None:
-        """Online over seg [rows, SEGMENT + 4] (four bytes of context first), all rows a step at a time."""
-        rows = len(seg)
+    def learn(self, n0: np.ndarray, n1: np.ndarray, seg: np.ndarray, *, rate: float = 0.1, epochs: int = 3) -> None:
+        """Online over seg [rows, LEAD + SEGMENT], all rows a step at a time."""
+        rows, width = seg.shape
+        word = prefixes(seg.ravel(), np.arange(rows + 1) * width).reshape(rows, width + 1)
         for epoch in range(epochs):
             lr = rate / (1 + epoch)
-            for t in range(4, seg.shape[1]):
+            for t in range(LEAD, width):
                 ctx = np.zeros(rows, np.uint32)
                 for j in range(4, 0, -1):
                     ctx = (ctx << np.uint32(8)) | seg[:, t - j].astype(np.uint32)
                 byte = seg[:, t].astype(np.int64)
-                cs = {k: context(ctx, k) for k in ORDERS}
+                cs = contexts(ctx, word[:, t])
                 node = np.ones(rows, np.int64)
                 for bit in range(8):
                     y = (byte >> (7 - bit)) & 1
@@ -149,16 +165,16 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "known": None}
 
-    def bytes_cost(self, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its four bytes of context."""
+    def bytes_cost(self, ctx: np.ndarray, word: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte in its contexts."""
         out = np.zeros(len(byte))
         node = np.ones(len(byte), np.int64)
-        cs = {k: context(ctx, k) for k in ORDERS}
+        cs = contexts(ctx, word)
         b = byte.astype(np.int64)
         for bit in range(8):
             y = (b >> (7 - bit)) & 1
             at = {k: slots(cs[k], node, k) for k in ORDERS}
-            conf = {k: self.conf[at[k]] for k in (3, 4)}
+            conf = {k: self.conf[at[k]] for k in (4, PREFIX)}
             w = self.w[gate_of(bit, conf)]
             x = sum(w[:, i] * self.st[at[k]] for i, k in enumerate(ORDERS))
             p = np.clip((_squash(x) + self.apm.at(node, x)[2]) / 2, 1e-6, 1 - 1e-6)
@@ -170,14 +186,14 @@ class Model:
         """log10 probability of each text of a part; bytes met in the same context before come from a cache."""
         if self.known is None:
             self.known, self.values = SlotCache(20), np.zeros(1 << 20)
-        ctx, byte, toff = streams(data, off)
-        key = mix64((ctx.astype(U64) << U64(8)) | byte.astype(U64))
+        ctx, word, byte, toff = streams(data, off)
+        key = mix64(((ctx.astype(U64) << U64(8)) | byte) + mix64(word.astype(U64) + U64(1)))
         row = self.known.get(key)
         cost = self.values[row]
         miss = np.flatnonzero(row < 0)
         if len(miss):
             uniq, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            got = self.bytes_cost(ctx[miss[at]], byte[miss[at]])
+            got = self.bytes_cost(ctx[miss[at]], word[miss[at]], byte[miss[at]])
             cost[miss] = got[back]
             slot = (uniq & self.known.mask).astype(np.int64)
             self.known.put(uniq, slot)
@@ -209,9 +225,9 @@ def gather(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, _, data, off in parts(batch.column(0)):
-                ctx, byte, _ = streams(data, off)
-                for k in ORDERS:
-                    held[k].append((context(ctx, k) << np.uint32(8)) | byte)
+                ctx, word, byte, _ = streams(data, off)
+                for k, c in contexts(ctx, word).items():
+                    held[k].append((c << np.uint32(8)) | byte)
                 held[WORD].append(word_hashes(LOWER[data], off)[0])
                 size += len(data)
                 if size > 8 << 20:
@@ -219,7 +235,7 @@ def gather(train: DataFrame) -> DataFrame:
                     size = 0
         yield from close()
 
-    return train.mapInArrow(run, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(freed(run), "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
 def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -275,10 +291,10 @@ def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "te
     mixer = Mixer()
     # segments of training texts, smallest hashes first: a bounded sample for weights and map only
     h = F.xxhash64("k", F.lit(5))
-    seg = F.encode(F.substring(F.concat(F.lit("\u0000" * 4), "t"), F.pmod(h, F.greatest(F.lit(1), F.char_length("t") - SEGMENT // 2)).cast("int") + 1, F.lit(SEGMENT + 4)), "UTF-8")
+    seg = F.encode(F.substring(F.concat(F.lit("\u0000" * LEAD), "t"), F.pmod(h, F.greatest(F.lit(1), F.char_length("t") - SEGMENT // 2)).cast("int") + 1, F.lit(SEGMENT + LEAD)), "UTF-8")
     sample = train.where("length(t) > 0").select(h.alias("h"), "k", seg.alias("s")).orderBy("h", "k").limit(SEGMENTS).toArrow()
-    rows = [np.frombuffer(s, np.uint8)[: SEGMENT + 4] for s in sample["s"].to_pylist()]
-    rows = [r for r in rows if len(r) == SEGMENT + 4]
+    rows = [np.frombuffer(s, np.uint8)[: SEGMENT + LEAD] for s in sample["s"].to_pylist()]
+    rows = [r for r in rows if len(r) == SEGMENT + LEAD]
     if rows:
         mixer.learn(n0, n1, np.stack(rows))
     shared = spark.sparkContext.broadcast((f_key, f_n, Model(n0, n1, mixer)))
@@ -310,7 +326,7 @@ def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "te
                     m = len(first)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[d[first]]), pa.nulls(m, pa.int64()), pa.array(np.diff(np.append(first, len(d)))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(w[first].view(np.int64))], names=["row", "k", "n", "known", "log", "score", "word"])
 
-    one = stage_table(whole.select(F.col("k").cast("bigint"), "t").mapInArrow(run, "row bigint, k bigint, n bigint, known bigint, log double, score double, word bigint"), "lm-rows")
+    one = stage_table(whole.select(F.col("k").cast("bigint"), "t").mapInArrow(freed(run), "row bigint, k bigint, n bigint, known bigint, log double, score double, word bigint"), "lm-rows")
     rare = one.where("word is not null").join(words.where(F.col("n") < low).select(F.col("code").alias("word"), F.col("n").alias("c")), "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_log"))
     out = one.where("word is null").join(rare, "row", "left")
