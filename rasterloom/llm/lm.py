@@ -1,7 +1,7 @@
 """Language-model scoring by logistic context mixing over bits.
 
 Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts: the
-last 1 to 4 bytes, and the word so far (its lower-cased bytes since the last white space); each context's counts of zeros and ones over all training texts give one prediction. The
+last 1, 2 and 4 bytes, and the word so far (its lower-cased bytes since the last white space); each context's counts of zeros and ones over all training texts give one prediction. The
 predictions are combined in the logistic domain by weights that a gate selects (bit place and how often the longer
 contexts were met), and an adaptive probability map refines the result. Counts are summed over all training texts
 in Spark into tables of fixed size; weights and map are learned online, bit by bit, over a bounded sample of
@@ -27,8 +27,8 @@ from .common import LOWER, SPACE, U64, SlotCache, freed, mix64, parts, prefix_ha
 from .langid import crc_rest
 
 PREFIX = 5  # the context of the word so far, beside those of the last bytes
-ORDERS = (1, 2, 3, 4, PREFIX)
-SLOT_BITS = {1: 16, 2: 19, 3: 20, 4: 22, PREFIX: 22}
+ORDERS = (1, 2, 4, PREFIX)
+SLOT_BITS = {1: 16, 2: 19, 4: 22, PREFIX: 21}
 START = {k: sum(1 << SLOT_BITS[j] for j in ORDERS if j < k) for k in ORDERS}
 SLOTS = sum(1 << b for b in SLOT_BITS.values())
 WORD = 9  # kind of word rows beside the orders
@@ -70,7 +70,7 @@ def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def contexts(ctx: np.ndarray, word: np.ndarray) -> dict[int, np.ndarray]:
     """Every context as a number of 24 bits."""
-    last = {k: ctx & np.uint32((1 << 8 * k) - 1) for k in (1, 2, 3)}
+    last = {k: ctx & np.uint32((1 << 8 * k) - 1) for k in (1, 2)}
     return {**last, 4: (mix64(ctx.astype(U64)) >> U64(40)).astype(np.uint32), PREFIX: word}
 
 
