@@ -63,3 +63,87 @@ def polygon_area(ring: Column) -> Column:
 def polygon_perimeter(ring: Column) -> Column:
     n = F.size(ring)
     return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + point_distance(ring[i], ring[(i + 1) % n])))
+
+
+def point_manhattan_distance(a: Column, b: Column) -> Column:
+    return F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])
+
+
+def point_translate(a: Column, dx, dy) -> Column:
+    return point(a["x"] + dx, a["y"] + dy)
+
+
+def point_scale(a: Column, sx, sy) -> Column:
+    return point(a["x"] * sx, a["y"] * sy)
+
+
+def point_normalize(a: Column, width, height) -> Column:
+    return point(a["x"] / width, a["y"] / height)
+
+
+def point_angle_to(a: Column, b: Column) -> Column:
+    return F.atan2(b["y"] - a["y"], b["x"] - a["x"])
+
+
+def point_rotate(a: Column, angle: float, origin: Column | None = None) -> Column:
+    """By radians about the origin or a point."""
+    c, s = F.cos(F.lit(angle)), F.sin(F.lit(angle))
+    ox, oy = (F.lit(0.0), F.lit(0.0)) if origin is None else (origin["x"], origin["y"])
+    dx, dy = a["x"] - ox, a["y"] - oy
+    return point(ox + dx * c - dy * s, oy + dx * s + dy * c)
+
+
+def point_interpolate(a: Column, b: Column, t=0.5) -> Column:
+    """The midpoint by default."""
+    return point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
+
+
+def bbox_to_coords(a: Column, form: str = "xyxy") -> Column:
+    x, y, w, h = a["x"], a["y"], a["width"], a["height"]
+    return F.array(*{"xyxy": (x, y, x + w, y + h), "xywh": (x, y, w, h), "cxcywh": (x + w / 2, y + h / 2, w, h)}[form])
+
+
+def bbox_to_ring(a: Column) -> Column:
+    x, y, w, h = a["x"], a["y"], a["width"], a["height"]
+    return F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h))
+
+
+def bbox_translate(a: Column, dx, dy) -> Column:
+    return bbox(a["x"] + dx, a["y"] + dy, a["width"], a["height"])
+
+
+def bbox_scale(a: Column, sx, sy) -> Column:
+    """About the origin; factors from 0 up."""
+    return bbox(a["x"] * sx, a["y"] * sy, a["width"] * sx, a["height"] * sy)
+
+
+def bbox_expand(a: Column, factor) -> Column:
+    """About its centre."""
+    w, h = a["width"] * factor, a["height"] * factor
+    return bbox(a["x"] + (a["width"] - w) / 2, a["y"] + (a["height"] - h) / 2, w, h)
+
+
+def bbox_pad(a: Column, amount) -> Column:
+    return bbox(a["x"] - amount, a["y"] - amount, a["width"] + 2 * amount, a["height"] + 2 * amount)
+
+
+def bbox_clip(a: Column, width: float, height: float) -> Column:
+    """The part inside the image; a box outside shrinks to size 0 on the nearest edge."""
+    inside = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(top)))
+    x, y = inside(a["x"], width), inside(a["y"], height)
+    return bbox(x, y, inside(a["x"] + a["width"], width) - x, inside(a["y"] + a["height"], height) - y)
+
+
+def ring_signed_area(ring: Column) -> Column:
+    n = F.size(ring)
+    turn = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + ring[i]["x"] * ring[(i + 1) % n]["y"] - ring[(i + 1) % n]["x"] * ring[i]["y"])
+    return F.when(n < 3, 0.0).otherwise(turn / 2)
+
+
+def ring_bounding_box(ring: Column) -> Column:
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return bbox(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+
+
+def ring_translate(ring: Column, dx, dy) -> Column:
+    return F.transform(ring, lambda p: point_translate(p, dx, dy))

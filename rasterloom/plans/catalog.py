@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import layout as L
 from ..functions import pixel as P
 
 #: name -> (column expression over x, DuckDB expression over the element v)
@@ -109,8 +110,63 @@ SELECT vec_id, CAST(sum(CASE WHEN (a > m) <> (b > m) THEN 1 ELSE 0 END) AS BIGIN
 FROM (SELECT p.*, m FROM ({_PAIRS}) p JOIN (SELECT vec_id, list_sum(x) / len(x) AS m FROM ({_X}) t) q USING (vec_id)) GROUP BY vec_id
 """
 
+def _at(r: str, c: str) -> str:
+    """DuckDB: element (r, c) of x as 8 x 8 image, with replicated edges."""
+    return f"x[least(greatest({r}, 0), 7) * 8 + least(greatest({c}, 0), 7) + 1]"
+
+
+_R, _C = "(pos // 8)", "(pos % 8)"
+_AROUND = "[" + ", ".join(_at(f"{_R} + ({a})", f"{_C} + ({b})") for a in (-1, 0, 1) for b in (-1, 0, 1)) + "]"
+SOBEL_X = [-1.0, 0.0, 1.0, -2.0, 0.0, 2.0, -1.0, 0.0, 1.0]
+#: name -> (column expression over x as 8 x 8 image, elements of the result, DuckDB expression over x and pos)
+IMAGE = {
+    "flip_h": (lambda x: L.flip_h(x, 8, 8), 64, _at(_R, f"7 - {_C}")),
+    "flip_v": (lambda x: L.flip_v(x, 8, 8), 64, _at(f"7 - {_R}", _C)),
+    "transpose": (lambda x: L.transpose(x, 8, 8), 64, _at(_C, _R)),
+    "rotate90": (lambda x: L.rotate90(x, 8, 8), 64, _at(f"7 - {_C}", _R)),
+    "crop": (lambda x: L.crop(x, 8, 8, 1, 2, 4, 5), 20, _at("1 + pos // 5", "2 + pos % 5")),
+    "pad_constant": (lambda x: L.pad(x, 8, 8, 1, 1, 2, 2, 0.5), 120, f"CASE WHEN pos // 12 BETWEEN 1 AND 8 AND pos % 12 BETWEEN 2 AND 9 THEN {_at('pos // 12 - 1', 'pos % 12 - 2')} ELSE 0.5 END"),
+    "pad_edge": (lambda x: L.pad(x, 8, 8, 1, 1, 2, 2, mode="edge"), 120, _at("pos // 12 - 1", "pos % 12 - 2")),
+    "resize_nearest": (lambda x: L.resize_nearest(x, 8, 8, 5, 6), 30, _at("((2 * (pos // 6) + 1) * 8) // 10", "((2 * (pos % 6) + 1) * 8) // 12")),
+    "erode": (lambda x: L.erode(x, 8, 8), 64, f"list_min({_AROUND})"),
+    "dilate": (lambda x: L.dilate(x, 8, 8), 64, f"list_max({_AROUND})"),
+    "morphology_gradient": (lambda x: L.morphology_gradient(x, 8, 8), 64, f"list_max({_AROUND}) - list_min({_AROUND})"),
+    "median_filter": (lambda x: L.median_filter(x, 8, 8), 64, f"list_median({_AROUND})"),
+    "sobel_x": (lambda x: L.convolve2d(x, 8, 8, SOBEL_X), 64, "list_dot_product(" + _AROUND + ", [" + ", ".join(f"{v}::DOUBLE" for v in SOBEL_X) + "])"),
+    "block_mean": (lambda x: L.block_mean(x, 8, 8, 4, 2), 8, "list_avg([" + ", ".join(f"x[((pos // 4) * 4 + {a}) * 8 + (pos % 4) * 2 + {b} + 1]" for a in range(4) for b in range(2)) + "])"),
+}
+
+
+def geometry_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points, boxes and rings from line items, one row each."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    q, d, t = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100
+    a, b = G.point(q, d), G.point(t, q)
+    box = G.bbox(q - 20, d, t + 10, q)
+    clip, turned, wide, xyxy = G.bbox_clip(box, 25.0, 20.0), G.point_rotate(a, 0.5, b), G.bbox_expand(box, 1.5), G.bbox_to_coords(G.bbox_pad(box, 2.0))
+    ring = F.array(G.point(F.lit(0.0), F.lit(0.0)), G.point(q, F.lit(0.0)), G.point(q + t, q), G.point(d, q))
+    value = {
+        "manhattan": G.point_manhattan_distance(a, b), "angle": G.point_angle_to(a, b), "turned_x": turned["x"], "turned_y": turned["y"], "between_x": G.point_interpolate(a, b, 0.25)["x"],
+        "clip_area": G.bbox_area(clip), "clip_x": clip["x"], "wide_x": wide["x"], "wide_area": G.bbox_area(wide), "right": xyxy[2],
+        "ring_area": G.ring_signed_area(ring), "ring_length": G.polygon_perimeter(ring), "ring_width": G.ring_bounding_box(ring)["width"], "box_ring_area": G.polygon_area(G.bbox_to_ring(box)),
+    }
+    return li.select("l_orderkey", "l_linenumber", *[F.round(v, 5).alias(k) for k, v in value.items()])
+
+
+GEOMETRY_SQL = """
+SELECT l_orderkey, l_linenumber, round(abs(q - t) + abs(d - q), 5) AS manhattan, round(atan2(q - d, t - q), 5) AS angle,
+  round(t + (q - t) * cos(0.5) - (d - q) * sin(0.5), 5) AS turned_x, round(q + (q - t) * sin(0.5) + (d - q) * cos(0.5), 5) AS turned_y, round(q + (t - q) * 0.25, 5) AS between_x,
+  round(greatest(least(q + t - 10, 25.0) - least(greatest(q - 20, 0.0), 25.0), 0.0) * greatest(least(d + q, 20.0) - least(d, 20.0), 0.0), 5) AS clip_area,
+  round(least(greatest(q - 20, 0.0), 25.0), 5) AS clip_x, round(q - 20 - 0.25 * (t + 10), 5) AS wide_x, round(2.25 * (t + 10) * q, 5) AS wide_area, round(q + t - 8, 5) AS "right",
+  round((q * q + (q + t) * q - d * q) / 2, 5) AS ring_area, round(q + sqrt(t * t + q * q) + abs(q + t - d) + sqrt(d * d + q * q), 5) AS ring_length,
+  round(greatest(q + t, d) - 0.0, 5) AS ring_width, round((t + 10) * q, 5) AS box_ring_area
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) * 100 AS d, CAST(l_tax AS DOUBLE) * 100 AS t FROM lineitem)
+"""
+
 QUERIES = {
     "bbox_stats": box_stats,
+    "geometry_ops": geometry_ops,
+    **{f"image_{n}": _element(f) for n, (f, _, _) in IMAGE.items()},
     "hash_distance": hash_distance,
     **{n: _element(f) for n, (f, _) in ELEMENT.items()},
     **{n: _reduce(f) for n, (f, _) in REDUCE.items()},
@@ -118,6 +174,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "bbox_stats": BOX_SQL,
+    "geometry_ops": GEOMETRY_SQL,
+    **{f"image_{n}": f"SELECT vec_id, CAST(pos AS INTEGER) AS pos, round({e}, 6) AS value FROM ({_X}) s, unnest(range(0, {k})) AS u(pos)" for n, (_, k, e) in IMAGE.items()},
     "hash_distance": HASH_SQL,
     **{n: f"SELECT vec_id, pos, round({e}, 6) AS value FROM ({_LONG})" for n, (_, e) in ELEMENT.items()},
     **{n: f"SELECT vec_id, round({e}, 5) AS value FROM ({_X})" for n, (_, e) in REDUCE.items()},
