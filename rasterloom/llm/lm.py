@@ -242,9 +242,9 @@ def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones of every slot; SLOTS rows at most reach the driver."""
 
     def run(batches):
+        total = np.zeros(2 * SLOTS)
         for batch in batches:
             kind, code, n = (batch.column(i).to_numpy() for i in range(3))
-            out = []
             for k in ORDERS:
                 m = kind == k
                 if not m.any():
@@ -253,14 +253,13 @@ def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 node = np.ones(len(c), np.int64)
                 for bit in range(8):
                     y = (byte >> (7 - bit)) & 1
-                    out.append((slots(c, node, k) * 2 + y, w))
+                    np.add.at(total, slots(c, node, k) * 2 + y, w)
                     node = node * 2 + y
-            if out:
-                at, w = (np.concatenate(x) for x in zip(*out, strict=True))
-                u, back = np.unique(at, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(np.bincount(back, w).astype(np.float32))], names=["slot", "n"])
+        used = np.flatnonzero(total)
+        for at in np.array_split(used, len(used) // 500_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.float32))], names=["slot", "n"])
 
-    got = counts.where(F.col("kind") != WORD).mapInArrow(run, "slot int, n float").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    got = counts.where(F.col("kind") != WORD).mapInArrow(freed(run), "slot int, n float").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toArrow()
     both = np.zeros(2 * SLOTS, np.float32)
     for b in got.to_batches():
         both[b.column(0).to_numpy()] = b.column(1).to_numpy()
