@@ -4,9 +4,11 @@ Every bit of a text (bytes from the high bit down, with a closing zero byte) is
 the last 1 to 4 bytes; each context's counts of zeros and ones over all training texts give one prediction. The
 predictions are combined in the logistic domain by weights that a gate selects (bit place and how often the longer
 contexts were met), and an adaptive probability map refines the result. Counts are summed over all training texts
-in Spark into tables of fixed size; weights and map are learned online, bit by bit, over a bounded sample of
-segments with each segment's own counts taken out. Scoring keeps the model as learned, so a text's score does not
-depend on the others.
+in Spark into tables of fixed size. Weights and map are learned over every bit of all training texts, text ends
+included, with the bit's own count taken out: equal (four bytes, byte) have equal predictions, so rounds of Newton
+steps run over the counted pairs, each weighted by its count. Their sums are whole numbers of a fixed unit, so they
+do not depend on how rows are dealt out. Scoring keeps the model as learned, so a text's score does not depend on
+the others.
 
 The base score is the add-one unigram model over words: counts of the frequent words (at most FREQUENT) are
 broadcast, the others are joined.
@@ -23,16 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, SlotCache, mix64, parts, read, stage_table, word_hashes
+from .common import LOWER, U64, SlotCache, freed, mix64, parts, read, stage_table, word_hashes
 from .langid import crc_rest
 
 ORDERS = (1, 2, 3, 4)
 SLOT_BITS = {1: 16, 2: 19, 3: 20, 4: 22}
 START = {k: sum(1 << SLOT_BITS[j] for j in ORDERS if j < k) for k in ORDERS}
 SLOTS = sum(1 << b for b in SLOT_BITS.values())
-WORD = 9  # kind of word rows beside the orders
+PAIR, WORD = 4, 9  # kinds of counted rows: (last four bytes, byte), and words
 FREQUENT = 1 << 19
-SEGMENTS, SEGMENT = 4096, 128
+ROUNDS = 12  # Newton steps at most
+RIDGE = 1.0  # pull of a gate's weights to where they start
+STEADY = 4.0  # weight of the identity in the probability map
 CONF = np.asarray([0, 1, 2, 2, 3, 3, 3, 3] + [4] * 24 + [5] * 225, np.uint8)  # class of a count up to 255
 GATES = 8 * 6 * 6
 
@@ -53,10 +57,8 @@ def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def context(ctx: np.ndarray, k: int) -> np.ndarray:
-    """The last k bytes as a number of 24 bits, hashed for k = 4."""
-    if k < 4:
-        return ctx & np.uint32((1 << 8 * k) - 1)
-    return (mix64(ctx.astype(U64)) >> U64(40)).astype(np.uint32)
+    """The last k bytes as a number."""
+    return ctx & np.uint32((1 << 8 * k) - 1)
 
 
 def slots(c: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
@@ -98,43 +100,99 @@ class Mixer:
         self.w = np.full((GATES, len(ORDERS)), 0.3)
         self.apm = Refiner()
 
-    def learn(self, n0: np.ndarray, n1: np.ndarray, seg: np.ndarray, *, rate: float = 0.02, epochs: int = 3) -> None:
-        """Online over seg [rows, SEGMENT + 4] (four bytes of context first), all rows a step at a time."""
-        rows = len(seg)
-        for epoch in range(epochs):
-            lr = rate / (1 + epoch)
-            for t in range(4, seg.shape[1]):
-                ctx = np.zeros(rows, np.uint32)
-                for j in range(4, 0, -1):
-                    ctx = (ctx << np.uint32(8)) | seg[:, t - j].astype(np.uint32)
-                byte = seg[:, t].astype(np.int64)
-                cs = {k: context(ctx, k) for k in ORDERS}
-                node = np.ones(rows, np.int64)
-                for bit in range(8):
-                    y = (byte >> (7 - bit)) & 1
-                    x, conf = np.empty((rows, len(ORDERS))), {}
-                    for i, k in enumerate(ORDERS):
-                        s = slots(cs[k], node, k)
-                        a, b = np.maximum(n0[s] - (1 - y), 0), np.maximum(n1[s] - y, 0)  # without this very bit
-                        x[:, i] = _predict(a, b)
-                        conf[k] = CONF[np.minimum(a + b, 255).astype(np.int64)]
-                    g = gate_of(bit, conf)
-                    mixed = (self.w[g] * x).sum(1)
-                    err = y - _squash(mixed)
-                    count = np.bincount(g, minlength=GATES)
-                    for i in range(len(ORDERS)):
-                        # rows of one gate share a step; more rows make a surer step
-                        self.w[:, i] += lr * np.bincount(g, err * x[:, i], GATES) / np.sqrt(np.maximum(count, 1))
-                    i, f, _ = self.apm.at(node, mixed)
-                    for j, part in ((i, 1 - f), (i + 1, f)):
-                        flat = node * 25 + j
-                        num = np.bincount(flat, part * y, 256 * 25)
-                        den = np.bincount(flat, part, 256 * 25)
-                        move = 0.02 * np.minimum(den, 20)
-                        seen = den > 0
-                        t_ = self.apm.t.ravel()
-                        t_[seen] += np.minimum(move[seen], 0.4) * (num[seen] / den[seen] - t_[seen])
-                    node = node * 2 + y
+
+def training_bits(n0: np.ndarray, n1: np.ndarray, ctx: np.ndarray, byte: np.ndarray):
+    """For each bit place of the bytes: node, bit, predictions [rows, orders] and gate, without this very bit's count."""
+    cs = {k: context(ctx, k) for k in ORDERS}
+    node = np.ones(len(byte), np.int64)
+    for bit in range(8):
+        y = (byte >> (7 - bit)) & 1
+        x, conf = np.empty((len(byte), len(ORDERS))), {}
+        for i, k in enumerate(ORDERS):
+            s = slots(cs[k], node, k)
+            a, b = np.maximum(n0[s] - (1 - y), 0), np.maximum(n1[s] - y, 0)
+            x[:, i] = _predict(a, b)
+            if k > 2:
+                conf[k] = CONF[np.minimum(a + b, 255).astype(np.int64)]
+        yield node, y, x, gate_of(bit, conf)
+        node = node * 2 + y
+
+
+def _newton_sums(w: np.ndarray):
+    """Fold for _summed: loss, gradient and upper half of the second derivatives of each gate, one after the other."""
+    half = [(i, j) for i in range(len(ORDERS)) for j in range(i, len(ORDERS))]
+
+    def fold(total, unit, node, y, x, g, n):
+        mixed = (w[g] * x).sum(1)
+        p = _squash(mixed)
+        err, curve = n * (y - p), n * p * (1 - p)
+        loss = n * np.logaddexp(0, np.where(y == 1, -mixed, mixed))
+        for c, v in enumerate([loss, *(err * x[:, i] for i in range(len(ORDERS))), *(curve * x[:, i] * x[:, j] for i, j in half)]):
+            total[c * GATES : (c + 1) * GATES] += np.bincount(g, np.rint(v * unit), GATES)
+
+    return fold, half
+
+
+def _map_sums(w: np.ndarray):
+    """Fold for _summed: weights and weighted ones at each point of the probability map."""
+    apm = Refiner()
+
+    def fold(total, unit, node, y, x, g, n):
+        i, f, _ = apm.at(node, (w[g] * x).sum(1))
+        for j, part in ((i, n * (1 - f)), (i + 1, n * f)):
+            part = np.rint(part * unit)
+            total[:6400] += np.bincount(node * 25 + j, part, 6400)
+            total[6400:] += np.bincount(node * 25 + j, part * y, 6400)
+
+    return fold
+
+
+def _summed(pairs: DataFrame, tables, fold, width: int, unit: float) -> np.ndarray:
+    """Sums of fold over all pairs (code, n); each task sends one row of `width` numbers."""
+
+    def run(batches):
+        n0, n1 = tables.value
+        total = np.zeros(width)
+        for batch in batches:
+            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
+            for bits in training_bits(n0, n1, (code >> 8).astype(np.uint32), code & 255):
+                fold(total, unit, *bits, n)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    got = pairs.mapInArrow(freed(run), "sums binary").toArrow()["sums"].to_pylist()
+    return sum((np.frombuffer(x) for x in got), np.zeros(width)) / unit
+
+
+def learn(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray) -> Mixer:
+    """Weights and map over every training bit: pairs (code, n) of four bytes with the byte that follows, and its count."""
+    mixer, k = Mixer(), len(ORDERS)
+    size = pairs.agg(F.sum("n")).first()[0] or 0
+    unit = 2.0 ** (52 - int(256 * size).bit_length())  # no sum passes 2**53 units, so every order of adding gives the same
+    tables = pairs.sparkSession.sparkContext.broadcast((n0, n1))
+    start = mixer.w.copy()
+    best, best_loss, step = start.copy(), np.full(GATES, np.inf), np.zeros((GATES, k))
+    w = start
+    for _ in range(ROUNDS):
+        fold, half = _newton_sums(w)
+        got = _summed(pairs, tables, fold, (1 + k + len(half)) * GATES, unit).reshape(-1, GATES)
+        loss = got[0] + RIDGE / 2 * ((w - start) ** 2).sum(1)
+        grad = got[1 : 1 + k].T - RIDGE * (w - start)
+        second = np.tile(RIDGE * np.eye(k), (GATES, 1, 1))
+        for c, (i, j) in enumerate(half):
+            second[:, i, j] += got[1 + k + c]
+            if i != j:
+                second[:, j, i] += got[1 + k + c]
+        better = loss <= best_loss
+        best[better], best_loss[better] = w[better], loss[better]
+        step = np.where(better[:, None], np.linalg.solve(second, grad[:, :, None])[:, :, 0], step / 4)
+        if np.abs(step).max() < 1e-3:
+            break
+        w = best + step
+    mixer.w = best
+    got = _summed(pairs, tables, _map_sums(best), 2 * 6400, unit).reshape(2, 256, 25)
+    mixer.apm.t = (got[1] + STEADY * mixer.apm.t) / (got[0] + STEADY)
+    tables.destroy()
+    return mixer
 
 
 class Model:
@@ -194,24 +252,23 @@ def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(train: DataFrame) -> DataFrame:
-    """train (text) -> (kind, code, n): counts of (context, byte) for each order, and of words, over all texts."""
+    """train (text) -> (kind, code, n): counts of (last four bytes, byte), and of words, over all texts."""
 
     def run(batches):
-        held: dict[int, list[np.ndarray]] = {k: [] for k in (*ORDERS, WORD)}
+        held: dict[int, list[np.ndarray]] = {PAIR: [], WORD: []}
         size = 0
 
         def close():
             for kind, x in held.items():
                 if x:
                     code, n = _counted(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int8)), pa.array(code.view(np.int64) if kind == WORD else code.astype(np.int64)), pa.array(n)], names=["kind", "code", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int8)), pa.array(code.view(np.int64)), pa.array(n)], names=["kind", "code", "n"])
                     x.clear()
 
         for batch in batches:
             for _, _, data, off in parts(batch.column(0)):
                 ctx, byte, _ = streams(data, off)
-                for k in ORDERS:
-                    held[k].append((context(ctx, k) << np.uint32(8)) | byte)
+                held[PAIR].append((ctx.astype(U64) << U64(8)) | byte.astype(U64))
                 held[WORD].append(word_hashes(LOWER[data], off)[0])
                 size += len(data)
                 if size > 8 << 20:
@@ -222,8 +279,14 @@ def gather(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
+def by_order(pairs: DataFrame) -> DataFrame:
+    """pairs (code, n) -> (kind, code, n): counts of (last k bytes, byte) for each order k."""
+    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in ORDERS])
+    return pairs.select(F.inline(kinds), "n").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+
+
 def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of every slot; SLOTS rows at most reach the driver."""
+    """Zeros and ones of every slot of counts by order; SLOTS rows at most reach the driver."""
 
     def run(batches):
         for batch in batches:
@@ -244,7 +307,7 @@ def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 u, back = np.unique(at, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(np.bincount(back, w).astype(np.float32))], names=["slot", "n"])
 
-    got = counts.where(F.col("kind") != WORD).mapInArrow(run, "slot int, n float").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    got = counts.mapInArrow(run, "slot int, n float").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toArrow()
     both = np.zeros(2 * SLOTS, np.float32)
     for b in got.to_batches():
         both[b.column(0).to_numpy()] = b.column(1).to_numpy()
@@ -271,16 +334,9 @@ def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "te
     f_key = often["code"].to_numpy().view(U64)
     f_order = np.argsort(f_key)
     f_key, f_n = f_key[f_order], often["n"].to_numpy()[f_order]
-    n0, n1 = bit_tables(counts)
-    mixer = Mixer()
-    # segments of training texts, smallest hashes first: a bounded sample for weights and map only
-    h = F.xxhash64("k", F.lit(5))
-    seg = F.encode(F.substring(F.concat(F.lit("\u0000" * 4), "t"), F.pmod(h, F.greatest(F.lit(1), F.char_length("t") - SEGMENT // 2)).cast("int") + 1, F.lit(SEGMENT + 4)), "UTF-8")
-    sample = train.where("length(t) > 0").select(h.alias("h"), "k", seg.alias("s")).orderBy("h", "k").limit(SEGMENTS).toArrow()
-    rows = [np.frombuffer(s, np.uint8)[: SEGMENT + 4] for s in sample["s"].to_pylist()]
-    rows = [r for r in rows if len(r) == SEGMENT + 4]
-    if rows:
-        mixer.learn(n0, n1, np.stack(rows))
+    pairs = counts.where(F.col("kind") == PAIR).select("code", "n")
+    n0, n1 = bit_tables(by_order(pairs))
+    mixer = learn(pairs, n0, n1)
     shared = spark.sparkContext.broadcast((f_key, f_n, Model(n0, n1, mixer)))
 
     def run(batches):
