@@ -127,7 +127,7 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int = 5) -> tuple[np.
     counts = np.diff(woff)
     n = len(words)
     roll = np.zeros(n, U64)
-    for j in range(k):
+    for j in range(min(k, n)):
         roll[: n - j] += words[j:] * COEF[j]
     sizes = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     soff = np.concatenate(([0], np.cumsum(sizes)))

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 
 from rasterloom.llm import bpe, counts, jaccard, langid, lm, mixing, quality, shards, suffix, topk
-from rasterloom.llm.common import parts
+from rasterloom.llm.common import parts, shingle_hashes
 
 R = random.Random(5)
 WORDS = ["ab", "Cd", "e", "fgh", "#x", "1", "ü", "the", " q"]
@@ -46,6 +46,22 @@ def test_jaccard_components(docs):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_shingles_of_parts_with_few_words(spark):
+    w = np.arange(11, 18, dtype=np.uint64)
+    long, _ = shingle_hashes(w, np.asarray([0, 7]))
+    for n in range(8):
+        got, off = shingle_hashes(w[:n], np.asarray([0, n]))
+        assert off.tolist() == [0, max(n - 4, min(n, 1))] and len(set(got.tolist())) == len(got) == off[-1]
+        assert n < 5 or got.tolist() == long[: n - 4].tolist()
+    for cut in ([0, 1, 2], [0, 0, 2, 3], [0, 1, 3]):  # few words in several texts: as each alone
+        got, off = shingle_hashes(w, np.asarray(cut))
+        alone = [shingle_hashes(w[a:b], np.asarray([0, b - a]))[0].tolist() for a, b in zip(cut, cut[1:])]
+        assert [got[a:b].tolist() for a, b in zip(off, off[1:])] == alone
+    for t, n in (("one two", 1), ("one two three", 1), ("a b c d", 1), ("one", 1), ("", 0)):
+        lone = spark.createDataFrame([(4, t)], "doc_id long, text string")
+        assert [tuple(r) for r in jaccard.jaccard_components(lone).select("doc_id", "n_shingles", "component_id").collect()] == [(4, n, 4)]
+
+
 def test_rtree_bound_loses_nothing():
     g = np.random.default_rng(1)
     base = g.integers(0, 2**63, 300, dtype=np.uint64)
