@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .common import read
+from .common import read, stage_table
 from .mixing import mix_sources
 from .quality import quality_rules
 
@@ -17,12 +17,35 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.where("kept").select(*docs.columns)
 
 
+ROW = "__row"
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written, with a number of its own for each row, whatever doc_id holds."""
+    return stage_table(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the smallest doc_id."""
+    """One row of each near-duplicate component: the one with the smallest doc_id, nulls last, then the smallest text
+    and other columns.
+
+    Cases: rows are told apart whatever their doc_id, so one without an id or with another text's id is judged by its
+    text; repeated rows are one component; each row with a null or wordless text is a component of its own and stays.
+    """
     from .jaccard import jaccard_components
 
-    lead = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
-    return docs.join(lead, docs["doc_id"] == F.col("lead"), "left_semi").dropDuplicates(["doc_id"])
+    keyed = with_row_key(docs, "near-rows")
+    part = jaccard_components(keyed, key=ROW).select(F.col(ROW), F.col("component_id").alias("part"))
+    ids = keyed.select(ROW, "doc_id").join(part, ROW)
+    by_id = ids.groupBy("part", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias(ROW))
+    first = stage_table(by_id.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", ROW)).alias("m")).select("part", "m.doc_id", "m.n", F.col("m." + ROW).alias(ROW)), "near-first")
+    # texts are compared only where rows of one component share its smallest doc_id
+    tied = first.where("n > 1").select(F.col("part").alias("p"), F.col("doc_id").alias("i"))
+    tied = ids.join(tied, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("i"))).select(ROW, "part")
+    order = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")], ROW)
+    tied = keyed.join(tied, ROW).groupBy("part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias(ROW))
+    lead = first.where("n = 1").select(ROW).unionByName(tied)
+    return keyed.join(lead, ROW, "left_semi").select(*docs.columns)
 
 
 def dedup_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    near = " ".join([*c.split()[:-1], "end"])
+    rows = [(None, a), (None, a), (1, b), (1, d), (2, near), (2, c), (3, near), (None, c), (4, ""), (4, None), (None, ""), (None, None)]
+    want = sorted([(None, a), (1, b), (1, d), (2, min(c, near)), (4, ""), (4, None), (None, ""), (None, None)], key=repr)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", None, 7) for i, t in order], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+        out = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, "")
+        assert out.columns == docs.columns and sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == want
