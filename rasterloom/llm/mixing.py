@@ -67,15 +67,15 @@ def _pair(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> int:
     return i
 
 
-ROW = "key bigint, src int, size bigint, frac double, whole bigint, copies bigint, level int"
+ROW = "key bigint, src int, size bigint, tag bigint, row bigint, frac double, whole bigint, copies bigint, level int"
 
 
 def _round_groups(seed: int, level: int):
     """Arrow function of one (src, bin) group: rows in a fixed order, rounded in pairs; `copies` is null for the rest."""
 
     def run(table: pa.Table) -> pa.Table:
-        d = {c: table[c].to_numpy() for c in ("key", "size", "frac", "whole")}
-        order = np.lexsort((d["size"], d["key"]))
+        d = {c: table[c].to_numpy() for c in ("key", "size", "tag", "row", "frac", "whole")}
+        order = np.lexsort((d["row"], d["tag"], d["size"], d["key"]))
         key, size, whole = d["key"][order], d["size"][order], d["whole"][order]
         p = d["frac"][order].astype(float)
         with np.errstate(over="ignore"):
@@ -86,15 +86,15 @@ def _round_groups(seed: int, level: int):
             copies[rest] = None
         src = pa.array(np.full(len(key), table["src"][0].as_py(), np.int32))
         return pa.Table.from_arrays(
-            [pa.array(key), src, pa.array(size), pa.array(p), pa.array(whole), pa.array(copies, pa.int64()), pa.array(np.full(len(key), level, np.int32))],
-            names=["key", "src", "size", "frac", "whole", "copies", "level"],
+            [pa.array(key), src, pa.array(size), pa.array(d["tag"][order]), pa.array(d["row"][order]), pa.array(p), pa.array(whole), pa.array(copies, pa.int64()), pa.array(np.full(len(key), level, np.int32))],
+            names=["key", "src", "size", "tag", "row", "frac", "whole", "copies", "level"],
         )
 
     return run
 
 
 def mix_copies(rows: DataFrame, targets: dict[int, tuple[int, float, int]], *, seed: int = 0) -> DataFrame:
-    """rows (key, src, size) with whole copy numbers. targets: src -> (its size, its target, its rows)."""
+    """rows (key, src, size, tag, row) with whole copy numbers; tag and row order rows of one key and size. targets: src -> (its size, its target, its rows)."""
     spark = rows.sparkSession
     plan = spark.createDataFrame([(s, t / z if z else 0.0, max(1, -(-n // FAN_IN))) for s, (z, t, n) in targets.items()] or [(-1, 0.0, 1)], "src int, rate double, bins int")
     live = (
@@ -118,15 +118,18 @@ def mix_copies(rows: DataFrame, targets: dict[int, tuple[int, float, int]], *, s
     union = done[0]
     for d in done[1:]:
         union = union.unionByName(d)
-    return union.select("key", "src", "size", "copies")
+    return union.select("key", "src", "size", "row", "copies")
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), volume: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), volume: float = 1.5, cap: float = 2.0, seed: int = 0, row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row of docs (doc_id, source, text).
 
-    One row per source comes to the driver (its words and rows); targets are numbers per source.
+    One row per source comes to the driver (its words and rows); targets are numbers per source. With `row`, a bigint
+    column that tells all rows apart, that column comes along.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("bigint").alias("size"))
+    own = F.col(row) if row else F.lit(0).cast("bigint")
+    tag = F.xxhash64("text") if row else F.lit(0).cast("bigint")  # rows of one doc_id and size go by their text
+    sized = docs.select("doc_id", "source", tag.alias("tag"), own.alias("row"), F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("bigint").alias("size"))
     sized = stage_table(sized, "sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("z"), F.count(F.lit(1)).alias("n")).collect()
     per.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -134,9 +137,9 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), volu
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(i, r["source"], r["z"], g) for i, (r, g) in enumerate(zip(per, goal, strict=True))], "src int, s string, source_size bigint, target double"))
     # a key for each row: its doc_id, the source being part of the group; equal rows are told apart by their order in it
-    rows = sized.join(table, sized["source"].eqNullSafe(table["s"])).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("key"), "src", "size")
+    rows = sized.join(table, sized["source"].eqNullSafe(table["s"])).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("key"), "src", "size", "tag", "row")
     copies = mix_copies(rows, {i: (r["z"], g, r["n"]) for i, (r, g) in enumerate(zip(per, goal, strict=True))}, seed=seed)
-    return copies.join(table.drop("s"), "src").select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies.join(table.drop("s"), "src").select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("row").alias(row)] if row else []))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

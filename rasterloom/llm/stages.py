@@ -58,9 +58,10 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mix_sources(docs).select(F.col("doc_id").alias("mixed"), "copies").where("copies > 0")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("mixed"))).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    """Each row as many times as the mix takes it, whatever its doc_id."""
+    keyed = with_row_key(docs, "mix-rows")
+    copies = mix_sources(keyed, row=ROW).select(ROW, "copies").where("copies > 0")
+    return keyed.join(copies, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,3 +110,15 @@ def test_near_copies_of_null_and_repeated_ids(spark):
         docs = spark.createDataFrame([(i, t, "en", None, 7) for i, t in order], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
         out = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, "")
         assert out.columns == docs.columns and sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == want
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    texts = [prose(R.randint(20, 40)) for _ in range(30)]
+    rows = [([None, 5, i][i % 3], t, "en", ["s1", "s0"][i % 2], 7) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    mix = dict(corpus_pipeline.STAGES)["mix_sources"]
+    times = Counter(r.text for r in mix(spark, docs.repartition(3), "").collect())
+    assert set(times) <= set(texts) and max(times.values()) <= 2
+    size = {t: len(words(t)) for t in texts}
+    assert sum(n * size[t] for t, n in times.items()) == pytest.approx(1.5 * sum(size.values()), abs=2 * max(size.values()))
+    assert times == Counter(r.text for r in mix(spark, docs.orderBy("text").coalesce(1), "").collect())
