@@ -7,7 +7,8 @@ skipped, overlapping ones go left to right, merges put new pairs into their buck
 pre-tokens never merge with each other, one queue serves them all, and a very long pre-token costs no more per byte
 than short ones.
 
-Cases: null and empty texts have no tokens; repeated rows come as they are; ids decode to the exact bytes.
+Cases: null and empty texts have no tokens; repeated rows and null ids come as they are; ids decode to the exact
+bytes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, SlotCache, freed, parts, read
-from .pretoken import pretoken_hashes, pretokens
+from .common import KEPT, U64, Known, freed, kept_type, packed, parts, read, unpacked
+from .pretoken import pretoken_keys, pretokens
 
 NONE = np.int64(-1)
 
@@ -217,43 +218,37 @@ class Encoder:
     """Encodes parts of texts; ids of pre-tokens met before come from a cache of bounded size that is emptied when full."""
 
     def __init__(self, path: str, *, slots: int = 21, full: int = 16_000_000):
-        self.ranks, self.slots, self.full = ranks(path), slots, full
-        self.clear()
-
-    def clear(self) -> None:
-        self.cache = SlotCache(self.slots)
+        self.ranks, self.full = ranks(path), full
+        self.known = Known(slots, 1 << 25)
         self.ids = np.zeros(1 << 16, np.uint16 if self.ranks.size <= 1 << 16 else np.uint32)
         self.used = 0
 
     def encode_group(self, group: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each part (bytes, offsets) the ids of its texts end to end and each text's offsets; one queue merges
-        the new pre-tokens of all parts of the group."""
-        held, flat, sizes, fresh = [], [], [], []
+        the new pre-tokens of all parts of the group, each distinct one once."""
+        held: list[tuple] = []
+        fresh: dict[bytes, int] = {}
+        fresh_keys: list[int] = []
         for data, off in group:
             starts, toff = pretokens(data, off)
-            keys = pretoken_hashes(data, starts)
-            row = self.cache.get(keys)
+            keys = pretoken_keys(data, starts)
+            row = self.known.find(data, starts[:-1], starts[1:], keys)
             miss = np.flatnonzero(row < 0)
-            uniq, at = np.unique(keys[miss], return_index=True)
-            held.append((keys, row, miss, toff))
-            s, e = starts[miss[at]], starts[miss[at] + 1]
-            size = e - s
-            moff = np.concatenate(([0], np.cumsum(size)))
-            flat.append(data[np.repeat(s - moff[:-1], size) + np.arange(moff[-1])])
-            sizes.append(size)
-            fresh.append(uniq)
-        new, at = np.unique(np.concatenate(fresh), return_index=True) if fresh else (np.zeros(0, U64), np.zeros(0, np.int64))
-        bound = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
-        text = np.concatenate(flat) if flat else np.zeros(0, np.uint8)
-        size = bound[at + 1] - bound[at]
-        moff = np.concatenate(([0], np.cumsum(size)))
-        ids, ioff = self.ranks.merge(text[np.repeat(bound[at] - moff[:-1], size) + np.arange(moff[-1])], moff)
+            which = np.empty(len(miss), np.int64)
+            for m, (i, j, key) in enumerate(zip(starts[miss].tolist(), starts[miss + 1].tolist(), keys[miss].tolist(), strict=True)):
+                at = fresh.setdefault(data[i:j].tobytes(), len(fresh))
+                if at == len(fresh_keys):
+                    fresh_keys.append(key)
+                which[m] = at
+            held.append((row, miss, which, toff))
+        spans = list(fresh)
+        moff = np.concatenate(([0], np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))))
+        ids, ioff = self.ranks.merge(np.frombuffer(b"".join(spans), np.uint8), moff)
         own = ids.astype(self.ids.dtype)
         out = []
-        for keys, row, miss, toff in held:
-            begin, count = row >> 24, row & 0xFFFFFF
-            k = np.searchsorted(new, keys[miss])
-            begin[miss], count[miss] = ioff[k] + self.used, ioff[k + 1] - ioff[k]
+        for row, miss, which, toff in held:
+            begin, count = self.known.a[row], self.known.b[row]
+            begin[miss], count[miss] = ioff[which] + self.used, ioff[which + 1] - ioff[which]
             total = np.concatenate(([0], np.cumsum(count)))
             index = np.repeat(begin - total[:-1], count) + np.arange(total[-1])
             got = np.empty(len(index), np.uint32)
@@ -261,18 +256,21 @@ class Encoder:
             got[old] = self.ids[index[old]]
             got[~old] = own[index[~old] - self.used]
             out.append((got, total[toff]))
-        if self.used + len(own) > self.full:
-            self.clear()
-        if len(own) <= self.full:
-            need = self.used + len(own)
-            if need > len(self.ids):
-                self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(need, len(self.ids)), self.ids.dtype)))
-            self.ids[self.used : need] = own
-            small = np.diff(ioff) < 1 << 24
-            self.cache.put(new[small], (((self.used + ioff[:-1]) << 24) | np.diff(ioff))[small])
-            self.used = need
+        self._hold(spans, fresh_keys, own, ioff)
         return out
 
+    def _hold(self, spans: list[bytes], keys: list[int], own: np.ndarray, ioff: np.ndarray) -> None:
+        if not spans or len(own) > self.full:
+            return
+        if self.used + len(own) > self.full or self.known.used + sum(map(len, spans)) > self.known.full:
+            self.known, self.used = Known(self.known.bits, self.known.full), 0
+        need = self.used + len(own)
+        if need > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(need, len(self.ids)), self.ids.dtype)))
+        self.ids[self.used : need] = own
+        self.known.add(spans, np.asarray(keys, U64), self.used + ioff[:-1], np.diff(ioff))
+        self.used = need
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.encode_group([(data, off)])[0]
 
@@ -299,34 +297,37 @@ def grouped(col, limit: int = 1 << 20, parts_each: int = 8):
 
 
 def bpe_encode(docs: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_ids: bool = True, digests: bool = False) -> DataFrame:
-    """keep columns, n_tokens, ids (if asked), and with `digests` the sha256 of ids and of the decoded bytes."""
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_tokens bigint"] + ["ids array<int>"] * with_ids + ["ids_sha256 string, decoded_sha256 string"] * digests)
-    names = [*keep, "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * digests]
+    """keep columns, n_tokens, ids (if asked), and with `digests` the sha256 of ids and of the decoded bytes. A kept
+    column named like a result gives way to it."""
+    results = ["n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * digests]
+    base = packed(docs, keep, text)
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            for a, b, ids, ioff in ((p[0], p[1], *r) for g in grouped(batch.column(len(keep))) for p, r in zip(g, enc.encode_group([p[2:] for p in g]), strict=True)):
-                cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(np.diff(ioff), pa.int64())]
+            for a, b, ids, ioff in ((p[0], p[1], *r) for g in grouped(batch.column(1)) for p, r in zip(g, enc.encode_group([p[2:] for p in g]), strict=True)):
+                cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(ioff), pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(ioff, pa.int32()), pa.array(ids.astype(np.int32))))
                 if digests:
                     each = [ids[ioff[i] : ioff[i + 1]] for i in range(b - a)]
-                    cols.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each]))
-                    cols.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in each]))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                    cols.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()))
+                    cols.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in each], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[KEPT, *results])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(freed(run), schema)
+    schema = ", ".join([kept_type(base), "n_tokens bigint", *["ids array<int>"] * with_ids, *["ids_sha256 string, decoded_sha256 string"] * digests])
+    return unpacked(base.mapInArrow(freed(run), schema), keep, results)
 
 
 def bpe_decode(rows: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """keep columns and the decoded bytes as `data`; a null list gives null."""
+    """keep columns (but for one named so) and the decoded bytes as `data`; a null list gives null, a null id nothing."""
+    keep = [c for c in dict.fromkeys(keep) if c.lower() != "data"]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["data binary"])
 
     def run(batches):
         table = ranks(path).bytes
         for batch in batches:
-            got = [None if x is None else b"".join(table[i] for i in x) for x in batch.column(len(keep)).to_pylist()]
+            got = [None if x is None else b"".join(table[i] for i in x if i is not None) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.binary())], names=[*keep, "data"])
 
     return rows.select(*keep, F.col(ids).alias("__ids")).mapInArrow(freed(run), schema)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PART = 1 << 20
 U64 = np.uint64
@@ -38,39 +39,45 @@ def _stream(seed: int, n: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-BYTE_CODE = _stream(1, 256)
-BASE = int(_stream(2, 1)[0]) | 1
-BASE_INV = pow(BASE, -1, 1 << 64)
+PLACES = 64
+#: A pseudo-random number for each (place in a span, byte); later places get theirs computed.
+CODES = _stream(1, PLACES * 256)
 COEF = _stream(3, 64) | U64(1)
-
-
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2**64, grown when a longer part needs them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 2 * PART)
-            self.up, self.down = (np.concatenate(([U64(1)], np.cumprod(np.full(m - 1, b, U64), dtype=U64))) for b in (BASE, BASE_INV))
-        return self.up[:n], self.down[:n]
-
-
-powers = _Powers()
-
-
-def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """Prefix sums h with one more entry than data: (h[e] - h[s]) * BASE**-s hashes data[s:e]."""
-    h = np.zeros(len(data) + 1, U64)
-    up, _ = powers(len(data) + 1)
-    np.cumsum(code[data] * up[: len(data)], dtype=U64, out=h[1:])
-    return h
-
-
-def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    _, down = powers(len(h))
-    return mix64((h[e] - h[s]) * down[s] + (e - s).astype(U64) * COEF[63])
+BLOCK = 1 << 20  # bytes that are hashed at once
+
+
+def _codes(place: np.ndarray, b: np.ndarray) -> np.ndarray:
+    at = (place << 8) | b
+    out = CODES[np.minimum(at, len(CODES) - 1)]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        out[far] = mix64((at[far].astype(U64) + U64(1 << 40)) * U64(0x9E3779B97F4A7C15))
+    return out
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans data[s:e]: the sum of a pseudo-random number for each place and byte, then mixed with
+    the length. Two spans that differ have equal hashes with probability 2**-64, whatever their structure."""
+    size = e - s
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(len(s), U64)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+        if j == i + 1 and size[i] > BLOCK:  # a long span goes piece by piece
+            total = U64(0)
+            for a in range(0, int(size[i]), BLOCK):
+                piece = data[s[i] + a : min(s[i] + a + BLOCK, e[i])].astype(np.int64)
+                total = total + _codes(np.arange(a, a + len(piece)), piece).sum(dtype=U64)
+            out[i] = total
+        else:
+            off = ends[i : j + 1] - ends[i]
+            place = np.arange(off[-1]) - np.repeat(off[:-1], size[i:j])
+            code = _codes(place, data[place + np.repeat(s[i:j], size[i:j])].astype(np.int64))
+            sums = np.concatenate((np.zeros(1, U64), np.cumsum(code, dtype=U64)))
+            out[i:j] = sums[off[1:]] - sums[off[:-1]]
+        i = j
+    return mix64(out + size.astype(U64) * COEF[63])
 
 
 def text_array(col) -> pa.Array:
@@ -116,7 +123,7 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word as it stands in data, and offsets of each text's words."""
     s, e, woff = word_bounds(data, off)
-    return span_hash(prefix_hash(data), s, e), woff
+    return span_hashes(data, s, e), woff
 
 
 def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +162,18 @@ def freed(run):
     return task
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a new temporary one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, on one machine, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="rasterloom-"))
+        base = _OWN[0]
     return base.rstrip("/")
 
 
@@ -182,6 +195,46 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: The column that carries the columns of `keep` through Arrow functions, whatever their names are.
+KEPT = "__kept"
+
+
+def packed(docs: DataFrame, keep, text: str) -> DataFrame:
+    """docs as (__kept: struct of the columns of keep, __text), so that no name can clash with a result's."""
+    keep = list(dict.fromkeys(keep))
+    body = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]) if keep else F.struct(F.lit(None).cast("int").alias("_"))
+    return docs.select(body.alias(KEPT), F.col(f"`{text}`").cast("string").alias("__text"))
+
+
+def kept_type(df: DataFrame) -> str:
+    return f"{KEPT} {df.schema[KEPT].dataType.simpleString()}"
+
+
+def unpacked(df: DataFrame, keep, results) -> DataFrame:
+    """The kept columns, but for those named like a result, then the results."""
+    taken = {c.lower() for c in results}
+    return df.select(*[F.col(f"{KEPT}.`{c}`").alias(c) for c in dict.fromkeys(keep) if c.lower() not in taken], *results)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, *, hot: int = 20_000) -> DataFrame:
+    """left joined (left outer) to right on the column `key`, which right holds once; `count` is the number of rows of
+    left that have that key. Keys with more than `hot` rows, and more than one in 100,000 of all, are at most 100,000:
+    they are broadcast, so their rows stay where they are; the others are shuffled. Both sides should be written
+    tables, as each is read twice. Rows of left with a null key stay with nulls."""
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(hot, total // 100_000)
+    values = [c for c in right.columns if c not in (key, count)]
+    name = "__right_key"
+    side = right.withColumnRenamed(key, name)
+    often = side.where(F.col(count) > limit).drop(count)
+    if total <= hot or not often.head(1):
+        return left.join(side.drop(count), F.col(key) == F.col(name), "left").drop(name)
+    near = F.broadcast(often)
+    out = left.join(near, F.col(key) == F.col(name)).drop(name)
+    rest = left.join(F.broadcast(often.select(name)), F.col(key) == F.col(name), "left_anti")
+    return out.unionByName(rest.join(side.where(F.col(count) <= limit).drop(count), F.col(key) == F.col(name), "left").drop(name)).select(*left.columns, *values)
+
+
 class SlotCache:
     """Direct-mapped cache from a 64-bit key to a row number; memory is fixed, a clash overwrites."""
 
@@ -198,3 +251,56 @@ class SlotCache:
         slot = (keys & self.mask).astype(np.int64)
         self.key[slot] = keys
         self.row[slot] = rows
+
+
+class Known:
+    """Pre-tokens met before, with two numbers each, in a bounded number of slots. A hit counts only if the bytes agree:
+    keys of spans under 8 bytes are the bytes themselves, longer spans are compared with the ones held."""
+
+    LONGEST = 4096  # longer spans are not held
+
+    def __init__(self, bits: int = 21, full: int = 1 << 25):
+        self.slots, self.full, self.bits = SlotCache(bits), full, bits
+        self.begin, self.size, self.a, self.b = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.pool = np.zeros(1 << 16, np.uint8)
+        self.rows = self.used = 0
+
+    def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The row of each span, or -1."""
+        row = self.slots.get(keys)
+        hit = np.flatnonzero(row >= 0)
+        r, size = row[hit], (e - s)[hit]
+        same = self.size[r] == size
+        long = np.flatnonzero(same & (size > 7))
+        if len(long):
+            n = size[long]
+            off = np.concatenate(([0], np.cumsum(n)))
+            at = np.arange(off[-1])
+            differ = data[at + np.repeat(s[hit[long]] - off[:-1], n)] != self.pool[at + np.repeat(self.begin[r[long]] - off[:-1], n)]
+            if differ.any():
+                same[long[np.add.reduceat(differ, off[:-1]) > 0]] = False
+        row[hit[~same]] = -1
+        return row
+
+    def add(self, spans: list[bytes], keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        size = np.fromiter(map(len, spans), np.int64, len(spans))
+        small = size <= self.LONGEST
+        if not small.all():
+            spans = [x for x, k in zip(spans, small.tolist(), strict=True) if k]
+            keys, a, b, size = keys[small], a[small], b[small], size[small]
+        n, total = len(spans), int(size.sum())
+        if self.used + total > self.full or self.rows + n > self.full:
+            self.__init__(self.bits, self.full)
+        if total > self.full or n > self.full:
+            return
+        if self.rows + n > len(self.a):
+            more = max(self.rows + n, 2 * len(self.a)) - len(self.a)
+            self.begin, self.size, self.a, self.b = (np.concatenate((x, np.zeros(more, np.int64))) for x in (self.begin, self.size, self.a, self.b))
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(self.used + total, 2 * len(self.pool)) - len(self.pool), np.uint8)))
+        new = slice(self.rows, self.rows + n)
+        self.pool[self.used : self.used + total] = np.frombuffer(b"".join(spans), np.uint8)
+        self.begin[new] = self.used + np.concatenate(([0], np.cumsum(size)))[:-1]
+        self.size[new], self.a[new], self.b[new] = size, a, b
+        self.slots.put(keys, np.arange(self.rows, self.rows + n))
+        self.rows, self.used = self.rows + n, self.used + total

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import grouped
-from .common import SlotCache, freed, read, shared_dir, stage_table
-from .pretoken import pretoken_hashes, pretokens
+from .common import U64, Known, freed, join_hot, read, shared_dir, stage_table
+from .pretoken import pretoken_keys, pretokens
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
 
@@ -48,7 +48,7 @@ class Counter:
         pre = str(json.load(open(path, encoding="utf-8")).get("pre_tokenizer"))
         if "ByteLevel" not in pre or "Sequence" in pre or "'add_prefix_space': True" in pre or json.load(open(path, encoding="utf-8")).get("normalizer"):
             self.special = None
-        self.known = SlotCache(21)
+        self.known = Known()
 
     def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The part without special strings, the offsets of the pieces left, and how many specials each text had."""
@@ -78,14 +78,19 @@ class Counter:
         for data, off in group:
             data, poff, extra, which = self.pieces(data, off)
             starts, toff = pretokens(data, poff)
-            keys = pretoken_hashes(data, starts)
-            n = self.known.get(keys)
-            miss = np.flatnonzero(n < 0)
+            keys = pretoken_keys(data, starts)
+            row = self.known.find(data, starts[:-1], starts[1:], keys)
+            n = self.known.a[row]
+            miss = np.flatnonzero(row < 0)
             if len(miss):
-                uniq, at, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-                raw, s, e = data.tobytes(), starts[miss[at]].tolist(), starts[miss[at] + 1].tolist()
-                got = np.fromiter((len(x) for x in self.lib.encode_batch_fast([raw[i:j].decode() for i, j in zip(s, e, strict=True)], add_special_tokens=False)), np.int64, len(uniq))
-                self.known.put(uniq, got)
+                fresh: dict[bytes, int] = {}
+                raw = data.tobytes()
+                back = np.asarray([fresh.setdefault(raw[i:j], len(fresh)) for i, j in zip(starts[miss].tolist(), starts[miss + 1].tolist(), strict=True)])
+                spans = list(fresh)
+                got = np.fromiter((len(x) for x in self.lib.encode_batch_fast([x.decode() for x in spans], add_special_tokens=False)), np.int64, len(spans))
+                first = np.zeros(len(spans), np.int64)
+                first[back[::-1]] = np.arange(len(back))[::-1]
+                self.known.add(spans, keys[miss[first]], got, got)
                 n[miss] = got[back]
             total = np.concatenate(([0], np.cumsum(n)))[toff[which]]
             out.append(np.diff(total) + extra)
@@ -113,8 +118,9 @@ def count_tokens(docs: DataFrame, path: str, *, cache_path: str | None = None, k
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     stored = spark.read.schema(CACHE).parquet(cache_path) if fs.exists(fs_path) else spark.createDataFrame([], CACHE)
     stored = stored.where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    # one row, by its place in the table, stands for each text that misses
-    miss = digests.groupBy("digest").agg(F.min("k").alias("k")).join(stored, "digest", "left_anti")
+    by_text = stage_table(digests.groupBy("digest").agg(F.min("k").alias("mk"), F.count(F.lit(1)).alias("n_rows")), "texts")
+    # the row with the smallest key stands for each text that misses; rows that repeat it are counted as well
+    miss = by_text.join(stored, "digest", "left_anti").select(F.col("digest").alias("md"), "mk")
 
     def run(batches):
         lib = counter(path)
@@ -123,11 +129,12 @@ def count_tokens(docs: DataFrame, path: str, *, cache_path: str | None = None, k
                 for (a, b, _, _), n in zip(g, lib.count_group([p[2:] for p in g]), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([version] * (b - a)), batch.column(0).slice(a, b - a), pa.array(n)], names=["tokenizer", "digest", "n_tokens"])
 
-    rows = whole.join(miss.withColumnRenamed("k", "mk"), F.col("k").eqNullSafe(F.col("mk"))).where(F.sha2("t", 256) == F.col("digest"))
+    rows = whole.withColumn("digest", F.sha2("t", 256)).join(miss, (F.col("digest") == F.col("md")) & F.col("k").eqNullSafe(F.col("mk")))
     fresh = rows.select("digest", "t").mapInArrow(freed(run), CACHE)
     fresh.write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    return digests.join(counts, "digest").select(F.col("k").alias(key), "n_bytes", "n_tokens")
+    found = stage_table(by_text.select("digest", "n_rows").join(counts, "digest"), "counts")
+    return join_hot(digests, found, "digest", "n_rows").select(F.col("k").alias(key), "n_bytes", "n_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, read
+from .common import KEPT, kept_type, packed, parts, read, unpacked
 from .pretoken import LETTER, classes
 
 SEGMENT = 256
@@ -195,20 +195,21 @@ def pooled(net: BiGRU, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, names: list[str], net: BiGRU | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keep columns, lang_pred, score for every row of docs."""
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double"])
+    """keep columns (but for those named like a result), lang_pred, score for every row of docs."""
+    results = ["lang_pred", "score"]
+    base = packed(docs, keep, text)
 
     def run(batches):
         for batch in batches:
-            for a, b, data, off in parts(batch.column(len(keep))):
+            for a, b, data, off in parts(batch.column(1)):
                 known = has_letter(data, off) & (net is not None)
                 p = pooled(net, data, off) if net is not None else np.zeros((b - a, 1))
                 best = p.argmax(1)
                 pred = [names[j] if k else "und" for j, k in zip(best.tolist(), known.tolist(), strict=True)]
                 score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)], names=[KEPT, *results])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return unpacked(base.mapInArrow(run, f"{kept_type(base)}, lang_pred string, score double"), keep, results)
 
 
 def crc_rest(key: str, m: int):

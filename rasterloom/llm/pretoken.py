@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from .common import U64, prefix_hash, span_hash
+from .common import U64, mix64, span_hashes
 
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
@@ -75,6 +75,15 @@ def pretokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.append(head[starts], n_bytes), np.searchsorted(starts, coff)
 
 
-def pretoken_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    h = prefix_hash(data)
-    return span_hash(h, starts[:-1], starts[1:]) if len(starts) > 1 else np.zeros(0, U64)
+def pretoken_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A key for each pre-token: the bytes and the length themselves, mixed by a bijection, for up to seven bytes; a hash
+    for longer ones."""
+    if len(starts) < 2:
+        return np.zeros(0, U64)
+    s, size = starts[:-1], np.diff(starts)
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))  # from each byte
+    short = np.minimum(size, 7).astype(U64)
+    keys = mix64((eight[s] & ((U64(1) << (short * U64(8))) - U64(1))) | (short << U64(56)))
+    long = np.flatnonzero(size > 7)
+    keys[long] = span_hashes(data, s[long], starts[long + 1])
+    return keys

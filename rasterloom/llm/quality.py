@@ -4,8 +4,9 @@ Sequential covering grows and prunes conjunctions of thresholds for the class "l
 statistics; the ordered rules become one Spark conditional expression, so scoring needs no Python.
 
 Cases: a null or empty text has zero counts and fails the base rule; rows repeat as they come; null labels are
-left out; without labels of both classes the list is empty and keeps what the base rule keeps; extra columns
-of the input are not read.
+left out; without labels of both classes the list is empty and keeps what the base rule keeps; a kept column
+named like a result gives way to it, other columns are not read; equal lines are equal byte by byte, equal
+three-word windows by 64-bit hashes (a text of n words gains a wrong one with a probability below n * n / 2**65).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, freed, mix64, parts, prefix_hash, read, span_hash, word_bounds, COEF, U64
+from .common import COEF, KEPT, SPACE, U64, freed, kept_type, mix64, packed, parts, read, span_hashes, unpacked, word_bounds
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -35,8 +36,7 @@ def part_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     n = len(off) - 1
     s, e, woff = word_bounds(data, off)
     total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[off])
-    h = prefix_hash(data)
-    words = span_hash(h, s, e)
+    words = span_hashes(data, s, e)
     tri = mix64(words[:-2] * COEF[0] + words[1:-1] * COEF[1] + words[2:] * COEF[2]) if len(words) > 2 else np.zeros(0, U64)
     dup, rep = np.zeros(n, np.int64), np.zeros(n, np.int64)
     breaks = np.flatnonzero(data == 10)
@@ -61,24 +61,24 @@ def part_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
             cut = breaks[boff[i] : boff[i + 1]]
             ls, le = np.concatenate(([off[i]], cut + 1)), np.concatenate((cut, [off[i + 1]]))
             full = wordy[le] > wordy[ls]
-            lines = span_hash(h, ls[full], le[full])
-            dup[i] = len(lines) - len(np.unique(lines))
+            lines = [data[x:y].tobytes() for x, y in zip(ls[full].tolist(), le[full].tolist(), strict=True)]
+            dup[i] = len(lines) - len(set(lines))
     return {"n_words": np.diff(woff), "word_chars": total(~SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": total(SYMBOL[data]), "n_dup_lines": dup, "n_repeat_words": rep}
 
 
-def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of `keep` and the counts of STATS for every row, from whole texts in Arrow batches."""
-    keep = list(dict.fromkeys(keep))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} bigint" for c in STATS])
+def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_text: bool = False) -> DataFrame:
+    """The columns of `keep` and the counts of STATS for every row, from whole texts in Arrow batches; the text itself,
+    if asked for, as __text."""
+    base = packed(docs, keep, text)
+    results = [*STATS, *["__text"] * with_text]
 
     def run(batches):
         for batch in batches:
-            col = batch.column(len(keep))
-            for a, b, data, off in parts(col):
+            for a, b, data, off in parts(batch.column(1)):
                 st = part_stats(data, off)
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [pa.array(st[c], pa.int64()) for c in STATS], names=keep + list(STATS))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a)] + [pa.array(st[c], pa.int64()) for c in STATS] + [batch.column(1).slice(a, b - a)] * with_text, names=[KEPT, *results])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(freed(run), schema)
+    return unpacked(base.mapInArrow(freed(run), ", ".join([kept_type(base), *[f"{c} bigint" for c in STATS], *["__text string"] * with_text])), keep, results)
 
 
 Rule = list[tuple[str, bool, float]]
@@ -166,10 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **limits) -
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, **limits) -> DataFrame:
     """Counts, base verdict and learned verdict for every row of docs, with the columns of `keep`."""
     rules = fit(docs, labels, **limits)
-    return text_stats(docs, keep).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~rules_column(rules))
+    keep = [c for c in keep if c.lower() not in ("base_failed", "kept")]
+    return text_stats(docs, keep, with_text=with_text).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~rules_column(rules))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

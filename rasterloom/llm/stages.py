@@ -11,10 +11,19 @@ from .mixing import mix_sources
 from .quality import quality_rules
 
 
+def but_text(docs: DataFrame, *others: str) -> DataFrame:
+    """docs as (others, text, __rest: all columns but the text in a struct), so that no column can clash with an operator's."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"]
+    return docs.select(*others, "text", F.struct(*rest).alias("__rest"))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned rules and the base rule keep."""
-    out = quality_rules(docs, read(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return out.where("kept").select(*docs.columns)
+    """Documents that the learned rules and the base rule keep.
+
+    Cases: null, empty and short texts fail the base rule and go; repeated rows are judged each by its text; a null
+    doc_id is judged but not learned from; extra columns pass through, whatever their names."""
+    out = quality_rules(but_text(docs, "doc_id"), read(spark, sf_dir, "labels"), keep=("__rest",), with_text=True)
+    return out.where("kept").select(*[F.col("__text" if c == "text" else f"__rest.`{c}`").alias(c) for c in docs.columns])
 
 
 ROW = "__row"
@@ -35,37 +44,45 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     from .jaccard import jaccard_components
 
     keyed = with_row_key(docs, "near-rows")
-    part = jaccard_components(keyed, key=ROW).select(F.col(ROW), F.col("component_id").alias("part"))
-    ids = keyed.select(ROW, "doc_id").join(part, ROW)
-    by_id = ids.groupBy("part", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias(ROW))
-    first = stage_table(by_id.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", ROW)).alias("m")).select("part", "m.doc_id", "m.n", F.col("m." + ROW).alias(ROW)), "near-first")
+    part = jaccard_components(keyed.select(ROW, "text"), key=ROW).select(F.col(ROW).alias("__r"), F.col("component_id").alias("__part"))
+    ids = keyed.select(F.col(ROW).alias("__i"), F.col("doc_id").alias("__d")).join(part, F.col("__i") == F.col("__r")).drop("__r")
+    by_id = ids.groupBy("__part", "__d").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__i"))
+    first = by_id.groupBy("__part").agg(F.min(F.struct(F.col("__d").isNull().alias("none"), "__d", "n", "__i")).alias("m"))
+    first = stage_table(first.select("__part", F.col("m.__d").alias("__d"), F.col("m.n").alias("n"), F.col("m.__i").alias("__i")), "near-first")
     # texts are compared only where rows of one component share its smallest doc_id
-    tied = first.where("n > 1").select(F.col("part").alias("p"), F.col("doc_id").alias("i"))
-    tied = ids.join(tied, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("i"))).select(ROW, "part")
-    order = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")], ROW)
-    tied = keyed.join(tied, ROW).groupBy("part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias(ROW))
-    lead = first.where("n = 1").select(ROW).unionByName(tied)
-    return keyed.join(lead, ROW, "left_semi").select(*docs.columns)
+    tied = first.where("n > 1").select(F.col("__part").alias("p"), F.col("__d").alias("d"))
+    tied = ids.join(tied, (F.col("__part") == F.col("p")) & F.col("__d").eqNullSafe(F.col("d"))).select("__i", "__part")
+    order = F.struct("text", *[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")], ROW)
+    tied = keyed.join(tied, F.col(ROW) == F.col("__i")).groupBy("__part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias("__i"))
+    lead = first.where("n = 1").select("__i").unionByName(tied)
+    return keyed.join(lead, F.col(ROW) == F.col("__i"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages that stand elsewhere too; characters cut by a span's edge go with it."""
+    """Texts without the bytes of passages that stand elsewhere too; characters cut by a span's edge go with it.
+
+    Cases: a null text becomes empty; repeated rows are copies of each other; extra columns pass through, whatever
+    their names; n_chars, if there is one, is counted anew."""
     from .suffix import remove_repeats
 
-    out = remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("text", "n_chars")))
-    text = F.col("kept_text")
-    return out.withColumn("text", text).withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = remove_repeats(but_text(docs), keep=("__rest",))
+    new = {"text": F.col("kept_text"), **({"n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    return out.select(*[new.get(c, F.col(f"__rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes it, whatever its doc_id."""
+    """Each row as many times as the mix takes it, whatever its doc_id.
+
+    Cases: a null text takes no words and goes; a null source is a source; repeated rows and ids are rows of their
+    own; extra columns pass through, whatever their names."""
     keyed = with_row_key(docs, "mix-rows")
-    copies = mix_sources(keyed, row=ROW).select(ROW, "copies").where("copies > 0")
-    return keyed.join(copies, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    copies = mix_sources(keyed.select(ROW, "doc_id", "source", "text"), row=ROW).select(F.col(ROW).alias("__mixed"), F.col("copies").alias("__copies")).where("__copies > 0")
+    out = keyed.join(copies, F.col(ROW) == F.col("__mixed"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the token ids of every text."""
+    """doc_id, source, n_tokens and the token ids of every text; a null text has none, rows come as they are."""
     import public_tokenizers
 
     return bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=("doc_id", "source"))

@@ -4,15 +4,21 @@ Removes every byte that a string of `size` bytes covers which also starts anywhe
 
 Windows of `size` bytes are dealt by content: the smallest hash of the GRAM-byte strings inside a window is its
 anchor, equal windows have equal anchors at equal places, and the windows of one anchor are neighbours, so they
-travel together as one extent of text. Anchors whose string stands once in the corpus are dropped by a bitmap of
-fixed size (a false positive only costs work); equal extents travel once from each task. A task sorts the suffixes
-of its extents in blocks of whole anchor groups: suffixes smaller than their successors are sorted directly, the
-others are induced by scanning the buckets of first bytes in order, and adjacent common prefixes of `size` bytes
-mark both windows. Anchors with more than HOT extents in their group send each window by its own hash instead, so no task holds an
-unbounded group.
+travel together as one extent of text. Anchors whose string stands once in the corpus are dropped by a bitmap sized
+by their number (a false positive only costs work). Equal extents, byte by byte, are one string with a multiplicity:
+their suffixes are neighbours with all of the extent in common, and every window of them is marked. A task sorts the
+suffixes of its extents in blocks of whole anchor groups: suffixes smaller than their successors are sorted directly,
+the others are induced by scanning the buckets of first bytes in order, and adjacent common prefixes of `size` bytes
+mark both windows.
+
+An anchor with more than HOT extents is split by the bytes around it: the windows that have it in their later half
+share the bytes before it, the others those after it, so each half goes by its own, longer common string, and again
+by halves where that is hot too, down to single windows. Before each count equal extents are merged on salted keys.
+So no task holds more than HOT extents of a group, and all of them go through the suffix sort. Hashes only choose
+anchors and lay rows side by side; what is equal is decided on bytes.
 
 Cases: null text counts as empty; a text shorter than `size` is left alone; repeated rows are copies of each
-other; strings are judged on the input; empty input gives empty output.
+other; strings are judged on the input; kept columns named like a result give way to it; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -24,14 +30,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, freed, mix64, parts, prefix_hash, read, span_hash, stage_table, tasks
+from .common import KEPT, PART, U64, _stream, freed, kept_type, mix64, packed, parts, read, stage_table, tasks, unpacked
 
 GRAM = 32
-SHARED_BITS = 26  # bits of the table of anchors that stand twice or more
-HOT_BITS = 20
-HOT = 20_000  # extents of an anchor, summed over tasks, from which its windows travel one by one
+HOT = 10_000  # extents of an anchor, summed over blocks of tasks, from which its group is split
 BLOCK = 1 << 20  # bytes of extents sorted at once
 
+BYTE_CODE = _stream(1, 256)
+BASE = int(_stream(2, 1)[0]) | 1
+BASE_INV = pow(BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of BASE and of its inverse modulo 2**64, grown when a longer part needs them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            m = max(n, 2 * PART)
+            self.up, self.down = (np.concatenate(([U64(1)], np.cumprod(np.full(m - 1, b, U64), dtype=U64))) for b in (BASE, BASE_INV))
+        return self.up[:n], self.down[:n]
+
+
+powers = _Powers()
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix sums h with one more entry than data: (h[e] - h[s]) * BASE**-s rolls over data[s:e]. Strings may be built
+    that share a hash, so it chooses anchors and an order, and never says that strings are equal."""
+    h = np.zeros(len(data) + 1, U64)
+    up, _ = powers(len(data) + 1)
+    np.cumsum(BYTE_CODE[data] * up[: len(data)], dtype=U64, out=h[1:])
+    return h
+
+
+def rolling(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    _, down = powers(len(h))
+    return mix64((h[e] - h[s]) * down[s])
+
 
 def anchors(data: np.ndarray, off: np.ndarray, size: int):
     """Of a part: prefix hashes; and for each anchor its text's row, first and last window start, place, and key."""
@@ -44,7 +82,7 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int):
     if not total:
         return h, none, none, none, none, np.zeros(0, U64)
     at = np.arange(n - GRAM + 1)
-    gram = span_hash(h, at, at + GRAM)
+    gram = rolling(h, at, at + GRAM)
     bits = U64(max(1, int(n).bit_length()))
     packed = ((gram >> bits) << bits) | at.astype(U64)
     w = size - GRAM + 1
@@ -120,15 +158,13 @@ def _direct_order(text: np.ndarray, bounds: np.ndarray, pos: np.ndarray, depth:
     only those whose next bytes differ are sorted."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(16, np.uint8)))
-    words = np.zeros(n + 8, U64)  # the eight bytes from each position, as one number
-    for j in range(8):
-        words = (words << U64(8)) | padded[j : n + 8 + j].astype(U64)
+    words = np.ndarray((n + 8,), ">u8", padded, strides=(1,))  # the eight bytes from each position, as one number
     end = bounds[np.searchsorted(bounds, pos, "right")]
 
     def word(which: np.ndarray, done: int) -> np.ndarray:
         p = pos[which] + done
         left = end[which] - p
-        v = words[np.minimum(p, n)]
+        v = words[np.minimum(p, n)].astype(U64)
         short = np.flatnonzero(left < 8)
         if len(short):
             keep = np.clip(left[short], 0, 8)
@@ -165,13 +201,9 @@ def _direct_order(text: np.ndarray, bounds: np.ndarray, pos: np.ndarray, depth:
     return order
 
 
-def repeated_windows(strings: list[np.ndarray], counts: np.ndarray, times: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each distinct extent (counts[i] windows, met times[i] times) a mask of its windows that stand elsewhere too."""
-    lens = np.asarray([len(s) for s in strings])
-    bounds = np.concatenate(([0], np.cumsum(lens)))
-    text = np.concatenate(strings) + np.uint8(1)  # no byte of UTF-8 is 255
-    which = np.repeat(np.arange(len(strings)), lens)
-    real = np.arange(len(text)) - bounds[which] < counts[which]
+def repeated_windows(text: np.ndarray, bounds: np.ndarray, real: np.ndarray, size: int) -> np.ndarray:
+    """Mask of the positions of text (bytes 1..255) whose window of `size` bytes stands elsewhere too; only windows at
+    `real` positions count."""
     hit = np.zeros(len(text), bool)
     order = two_stage_sort(text, bounds, size)
     order = order[real[order]]
@@ -195,8 +227,7 @@ def repeated_windows(strings: list[np.ndarray], counts: np.ndarray, times: np.nd
             mine = flat[text[flat] == c]
             if len(mine) > 1:
                 hit[mine] = True
-    hit |= times[which] > 1
-    return [hit[bounds[i] : bounds[i] + counts[i]] for i in range(len(strings))]
+    return hit
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -212,17 +243,136 @@ def _has(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
     return (bitmap[(s >> U64(6)).astype(np.int64)] >> (s & U64(63))) & U64(1) != 0
 
 
-#: times 0: a finished mark, n windows from start; else an extent that stands so often (2: or more) in its task.
-EXTENT = "key bigint, ext bigint, uid bigint, start bigint, n int, times int, text binary"
+#: times 0: a finished mark, n windows from start; else an extent (its anchor at byte rel) that stands so often (2: or
+#: more). lo and hi: the places its anchor may have in a window.
+EXTENT = "key bigint, ext bigint, uid bigint, uid2 bigint, start bigint, n int, rel int, lo int, hi int, times int, text binary"
+NAMES = ["key", "ext", "uid", "uid2", "start", "n", "rel", "lo", "hi", "times", "text"]
+MARK = "uid bigint, uid2 bigint, a bigint, b bigint"
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _finished(uid, uid2, start, n) -> pa.RecordBatch:
+    m = len(start)
+    none = pa.nulls(m, pa.int64())
+    return pa.RecordBatch.from_arrays([_signed(start), none, _signed(uid), _signed(uid2), _signed(start), pa.array(n, pa.int32()), *[pa.nulls(m, pa.int32())] * 3, pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.binary())], names=NAMES)
+
+
+def _bytes_of(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a binary column without nulls."""
+    _, off, buf = col.buffers()
+    off = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8), off
+
+
+def _equal_to_last(t: pa.Table, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows whose extent is, byte by byte, that of the row before, within one key."""
+    key, ext, size = t["key"].to_numpy(), t["ext"].to_numpy(), np.diff(off)
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]) & (ext[1:] == ext[:-1]) & (size[1:] == size[:-1])
+    at = np.flatnonzero(same)
+    if len(at):
+        n = size[at]
+        o = np.concatenate(([0], np.cumsum(n)))
+        i = np.arange(o[-1])
+        differ = data[i + np.repeat(off[at] - o[:-1], n)] != data[i + np.repeat(off[at - 1] - o[:-1], n)]
+        same[at[np.add.reduceat(differ, o[:-1]) > 0]] = False
+    return same
+
+
+def _groups(batches, ready):
+    """Tables of whole keys with about BLOCK bytes of extents; finished marks go to `ready` and what it gives is passed on."""
+    pending, held = [], 0
+    for batch in batches:
+        times = batch.column(NAMES.index("times")).to_numpy()
+        if (times == 0).any():
+            yield False, ready(batch.filter(pa.array(times == 0)))
+            batch = batch.filter(pa.array(times > 0))
+        if batch.num_rows:
+            pending.append(batch)
+            held += batch.column(NAMES.index("text")).nbytes
+        if held > BLOCK:
+            t = pa.Table.from_batches(pending).combine_chunks()
+            key = t["key"].to_numpy()
+            cut = np.flatnonzero(key[1:] != key[:-1])
+            if len(cut):
+                yield True, t.slice(0, int(cut[-1]) + 1)
+                t = t.slice(int(cut[-1]) + 1)
+            pending = t.to_batches()
+            held = sum(x.column(NAMES.index("text")).nbytes for x in pending)
+    if pending:
+        yield True, pa.Table.from_batches(pending).combine_chunks()
+
+
+def _merge(batches):
+    """Rows by (key, ext): of extents met twice or more all rows are finished, and one goes on for them."""
+    for open_, t in _groups(batches, lambda b: b):
+        if not open_:
+            yield t
+            continue
+        data, off = _bytes_of(t["text"].chunk(0))
+        fresh = ~_equal_to_last(t, data, off)
+        sid = np.cumsum(fresh) - 1
+        total = np.bincount(sid, t["times"].to_numpy())
+        many = total[sid] > 1
+        if many.any():
+            yield _finished(*(t[c].to_numpy()[many] for c in ("uid", "uid2", "start", "n")))
+        t = t.filter(pa.array(fresh))
+        yield from t.set_column(NAMES.index("times"), "times", pa.array(np.minimum(total, 2).astype(np.int32))).to_batches()
+
+
+def _halves(size: int):
+    """Arrow function: each extent as its windows with the anchor in the later and in the earlier half of its range."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for r in batch.to_pylist():
+                mid, w = (r["lo"] + r["hi"] + 1) // 2, size - GRAM
+                first = min(r["n"], max(0, r["rel"] - mid + 1))  # windows that begin mid bytes or more before the anchor
+                for i, n, lo, hi in ((0, first, mid, r["hi"]), (first, r["n"] - first, r["lo"], mid - 1)):
+                    if n > 0:
+                        rel, text = r["rel"] - i, r["text"][i : i + n + size - 1]
+                        shared = text[rel - lo : rel + GRAM + w - hi]  # is in every window of this half
+                        name = lambda *x: int.from_bytes(hashlib.blake2b(b"".join(x), digest_size=8).digest(), "little", signed=True)
+                        rows.append((name(lo.to_bytes(2, "little"), hi.to_bytes(2, "little"), shared), name(text), r["uid"], r["uid2"], r["start"] + i, n, rel, lo, hi, r["times"], text))
+            if rows:
+                kinds = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+
+    return run
+
+
+def _split_hot(rows: DataFrame, size: int) -> DataFrame:
+    """Extents of hot anchors as extents of groups of at most HOT, and finished marks."""
+    spark = rows.sparkSession
+    done: list[DataFrame] = []
+    while True:
+        salt = F.pmod(F.xxhash64("uid", "uid2", "start"), F.lit(tasks(spark)))
+        laid = rows.where("times > 0").repartition(tasks(spark), F.col("key"), salt).sortWithinPartitions("key", "ext")
+        merged = stage_table(laid.mapInArrow(freed(_merge), EXTENT), "extents-merged")
+        done.append(merged.where("times = 0"))
+        live = merged.where("times > 0")
+        hot = live.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("hi") - F.col("lo")).alias("w")).where((F.col("c") > HOT) & (F.col("w") > 0))
+        hot = stage_table(hot.select(F.col("key").alias("hk")), "extents-hot")
+        done.append(live.join(hot, F.col("key") == F.col("hk"), "left_anti"))
+        if not hot.head(1):
+            break
+        rows = live.join(hot, F.col("key") == F.col("hk"), "left_semi").mapInArrow(freed(_halves(size)), EXTENT)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def repeat_marks(base: DataFrame, size: int) -> DataFrame:
-    """base (uid, text) -> (uid, a, b): bytes a to b of that text are covered by repeated strings."""
+    """base (uid, uid2, text) -> (uid, uid2, a, b): bytes a to b of that text are covered by repeated strings."""
     spark = base.sparkSession
-    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
 
     def census(batches):
-        """Anchor keys of a task with how often they stand and in how many extents."""
+        """Anchor keys of a block of a task with how often they stand and in how many extents."""
         held, n_held = [], 0
 
         def close():
@@ -232,13 +382,13 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
             fresh = np.concatenate(([True], key[1:] != key[:-1]))
             other = fresh | np.concatenate(([True], ext[1:] != ext[:-1]))
             at = np.flatnonzero(fresh)
-            return pa.RecordBatch.from_arrays([signed(key[at]), pa.array(np.diff(np.append(at, len(key)))), pa.array(np.add.reduceat(other.astype(np.int64), at))], names=["key", "c", "d"])
+            return pa.RecordBatch.from_arrays([_signed(key[at]), pa.array(np.diff(np.append(at, len(key)))), pa.array(np.add.reduceat(other.astype(np.int64), at))], names=["key", "c", "d"])
 
         for batch in batches:
-            for _, _, data, off in parts(batch.column(1)):
-                h, _, s, e, p, key = anchors(data, off, size)
+            for _, _, data, off in parts(batch.column(2)):
+                h, _, s, e, _, key = anchors(data, off, size)
                 if len(s):
-                    held.append((key, _extent_hash(h, s, e, p, size)))
+                    held.append((key, rolling(h, s, e + size)))
                     n_held += len(s)
             if n_held > 1_000_000:
                 yield close()
@@ -247,147 +397,130 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
             yield close()
 
     keys = stage_table(base.mapInArrow(freed(census), "key bigint, c bigint, d bigint").groupBy("key").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where("c > 1"), "anchors")
-    shared = spark.sparkContext.broadcast(_bitmap(keys, SHARED_BITS))
-    hot = spark.sparkContext.broadcast(_bitmap(keys.where(F.col("d") > HOT), HOT_BITS))
+    n_shared, n_hot = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("d") > HOT).cast("bigint")), F.lit(0))).first()
+    shared_bits, hot_bits = (int(np.clip(np.ceil(np.log2(16 * n + 1)), 16, 28)) for n in (n_shared, n_hot))  # 32 MB at most
+    shared = spark.sparkContext.broadcast(_bitmap(keys, shared_bits))
+    hot = spark.sparkContext.broadcast(_bitmap(keys.where(F.col("d") > HOT), hot_bits))
 
     def extents(batches):
-        """Extents of shared anchors; what repeats within a task is marked at once and sent on a single time."""
-        names = ["key", "ext", "uid", "start", "n", "times", "text"]
+        """Extents of shared anchors; what repeats within a block of a task is marked at once and sent on a single time."""
         held: list[tuple] = []
-        texts: dict[int, bytes] = {}
-        n_held = 0
+        texts: dict[bytes, int] = {}
+        n_held = n_bytes = 0
 
         def close():
-            key, ext, uid, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(ext, kind="stable")
-            key, ext, uid, start, n = (x[order] for x in (key, ext, uid, start, n))
-            fresh = np.concatenate(([True], ext[1:] != ext[:-1]))
-            at = np.flatnonzero(fresh)
-            size_ = np.diff(np.append(at, len(ext)))
-            twice = np.repeat(size_ > 1, size_)
-            if twice.any():
-                m = np.flatnonzero(twice)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[m]), pa.array(uid[m]), pa.array(uid[m]), pa.array(start[m]), pa.array(n[m]), pa.array(np.zeros(len(m), np.int32)), pa.nulls(len(m), pa.binary())], names=names)
-            text = pa.array([texts.get(x) for x in ext[at].tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([signed(key[at]), signed(ext[at]), pa.array(uid[at]), pa.array(start[at]), pa.array(n[at]), pa.array(np.minimum(size_, 2).astype(np.int32)), text], names=names)
+            tid, key, ext, uid, uid2, start, n, rel = (np.concatenate(x) for x in zip(*held, strict=True))
+            times = np.bincount(tid, minlength=len(texts))
+            many = times[tid] > 1
+            if many.any():
+                yield _finished(uid[many], uid2[many], start[many], n[many])
+            at = np.zeros(len(texts), np.int64)
+            at[tid[::-1]] = np.arange(len(tid))[::-1]  # the first of each
+            ranges = [pa.array(np.full(len(at), x, np.int32)) for x in (0, size - GRAM)]
+            yield pa.RecordBatch.from_arrays([_signed(key[at]), _signed(ext[at]), _signed(uid[at]), _signed(uid2[at]), _signed(start[at]), pa.array(n[at]), pa.array(rel[at]), *ranges, pa.array(np.minimum(times, 2).astype(np.int32)), pa.array(list(texts), pa.binary())], names=NAMES)
 
         for batch in batches:
-            for a, b, data, off in parts(batch.column(1)):
+            for a, b, data, off in parts(batch.column(2)):
                 h, doc, s, e, p, key = anchors(data, off, size)
-                live = _has(shared.value, SHARED_BITS, key)
+                live = _has(shared.value, shared_bits, key)
                 if not live.any():
                     continue
                 doc, s, e, p, key = (x[live] for x in (doc, s, e, p, key))
-                ext = _extent_hash(h, s, e, p, size)
-                uid = batch.column(0).slice(a, b - a).to_numpy()
-                single = _has(hot.value, HOT_BITS, key)
-                if single.any():  # each window by itself, without text: equal hashes are equal windows
-                    many = (e - s + 1)[single]
-                    at = np.repeat(s[single] - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(many.sum())
-                    wh = span_hash(h, at, at + size)
-                    d = np.repeat(doc[single], many)
-                    held.append((wh, wh, uid[d], at - off[d], np.ones(len(at), np.int32)))
-                    n_held += len(at)
-                    doc, s, e, key, ext = (x[~single] for x in (doc, s, e, key, ext))
                 raw = data.tobytes()
-                for x, i, j in zip(ext.tolist(), s.tolist(), e.tolist(), strict=True):
-                    if x not in texts:
-                        texts[x] = raw[i : j + size]
-                held.append((key, ext, uid[doc], s - off[doc], (e - s + 1).astype(np.int32)))
+                tid = np.asarray([texts.setdefault(raw[i : j + size], len(texts)) for i, j in zip(s.tolist(), e.tolist(), strict=True)])
+                uid, uid2 = (batch.column(c).slice(a, b - a).to_numpy()[doc] for c in (0, 1))
+                held.append((tid, key, rolling(h, s, e + size), uid, uid2, s - off[doc], (e - s + 1).astype(np.int32), (p - s).astype(np.int32)))
                 n_held += len(s)
-                if n_held > 300_000:
+                n_bytes += int((e - s).sum()) + size * len(s)
+                if n_held > 300_000 or n_bytes > 64 << 20:
                     yield from close()
                     held.clear()
                     texts.clear()
-                    n_held = 0
+                    n_held = n_bytes = 0
         if n_held:
             yield from close()
 
     def marks(batches):
-        """Rows of one key follow each other, and of one extent, texts first."""
-        strings, counts, times, rows, held = [], [], [], [], 0
-        last_key = last_ext = None
-
-        def close():
-            if not counts:
-                return None
-            times_ = np.asarray(times)
-            with_text = [i for i, s in enumerate(strings) if s is not None]
-            masks: list = [np.full(c, t > 1) for c, t in zip(counts, times, strict=True)]
-            if with_text and len(with_text) + (times_ > 1).sum() > 1:
-                for i, m in zip(with_text, repeated_windows([strings[i] for i in with_text], np.asarray([counts[i] for i in with_text]), times_[with_text], size), strict=True):
-                    masks[i] = m
-            runs = []
-            for m in masks:
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], m.astype(np.int8), [0]))))
-                runs.append((edge[::2], edge[1::2]))
-            uid, a, b = [], [], []
-            for i, u, st in rows:
-                for x, y in zip(runs[i][0].tolist(), runs[i][1].tolist(), strict=True):
-                    uid.append(u)
-                    a.append(st + x)
-                    b.append(st + y - 1 + size)
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["uid", "a", "b"])
-
-        for batch in batches:
-            key, ext, uid, start, n, many = (batch.column(i).to_pylist() for i in range(6))
-            text = batch.column(6)
-            ready = np.flatnonzero(batch.column(5).to_numpy() == 0)
-            if len(ready):
-                u, st, k = (batch.column(i).to_numpy()[ready] for i in (2, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(st), pa.array(st + k - 1 + size)], names=["uid", "a", "b"])
-            for r in range(batch.num_rows):
-                if not many[r]:
-                    continue
-                if key[r] != last_key:
-                    if held > BLOCK or len(rows) > 200_000:
-                        yield close()
-                        strings, counts, times, rows, held = [], [], [], [], 0
-                    last_key, last_ext = key[r], None
-                if ext[r] != last_ext:
-                    last_ext = ext[r]
-                    t = text[r].as_py()
-                    strings.append(None if t is None else np.frombuffer(t, np.uint8))
-                    held += 0 if t is None else len(t)
-                    counts.append(n[r])
-                    times.append(0)
-                times[-1] += many[r]
-                rows.append((len(counts) - 1, uid[r], start[r]))
-        if counts:
-            yield close()
-
-    laid = base.mapInArrow(freed(extents), EXTENT).repartition(tasks(spark), "key").sortWithinPartitions("key", "ext", F.col("text").isNull())
-    return laid.mapInArrow(freed(marks), "uid bigint, a bigint, b bigint")
-
-
-def _extent_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
-    return mix64(span_hash(h, s, e + size) + (p - s).astype(U64))
+        """Rows of one key follow each other, and of one extent: covered bytes of every row."""
+        own = lambda b: pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(b.column(4).to_numpy() + b.column(5).to_numpy() - 1 + size)], names=["uid", "uid2", "a", "b"])
+        for open_, t in _groups(batches, own):
+            yield close(t) if open_ else t
+
+    def close(t: pa.Table) -> pa.RecordBatch:
+        data, off = _bytes_of(t["text"].chunk(0))
+        fresh = ~_equal_to_last(t, data, off)
+        sid = np.cumsum(fresh) - 1
+        at = np.flatnonzero(fresh)  # the first row of each string
+        key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+        times = np.bincount(sid, t["times"].to_numpy())
+        group = np.cumsum(np.concatenate(([True], key[at][1:] != key[at][:-1]))) - 1
+        # a window has its twin in another string of its anchor, or in a copy of its own
+        sort = np.flatnonzero(np.bincount(group)[group] > 1)
+        run_a = run_b = np.zeros(0, np.int64)
+        runs = np.zeros(len(at), np.int64)
+        if len(sort):
+            lens = np.diff(off)[at[sort]]
+            bounds = np.concatenate(([0], np.cumsum(lens)))
+            i = np.arange(bounds[-1]) + np.repeat(off[at[sort]] - bounds[:-1], lens)
+            text = data[i] + np.uint8(1)  # no byte of UTF-8 is 255
+            which = np.repeat(np.arange(len(sort)), lens)
+            real = np.arange(len(text)) - bounds[which] < n[at[sort]][which]
+            hit = (repeated_windows(text, bounds, real, size) | (times[sort] > 1)[which]) & real
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))  # strings end in windows that do not count
+            run_a, run_b = edge[::2], edge[1::2]
+            of = which[run_a]
+            runs[sort] = np.bincount(of, minlength=len(sort))
+            run_a, run_b = run_a - bounds[of], run_b - bounds[of]
+        rest = np.ones(len(at), bool)
+        rest[sort] = False
+        begin = np.concatenate(([0], np.cumsum(runs)))
+        take = np.where(rest[sid], 0, runs[sid])
+        row = np.repeat(np.arange(len(sid)), take)
+        which_run = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take) + begin[sid[row]]
+        full = np.flatnonzero(rest[sid] & (times[sid] > 1))
+        row, a, b = np.concatenate((row, full)), np.concatenate((run_a[which_run], np.zeros(len(full), np.int64))), np.concatenate((run_b[which_run], n[full]))
+        start = t["start"].to_numpy()[row]
+        return pa.RecordBatch.from_arrays([pa.array(t["uid"].to_numpy()[row]), pa.array(t["uid2"].to_numpy()[row]), pa.array(start + a), pa.array(start + b - 1 + size)], names=["uid", "uid2", "a", "b"])
+
+    laid = base.mapInArrow(freed(extents), EXTENT)
+    if n_hot:
+        laid = stage_table(laid, "extents")
+
+        def flagged(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_has(hot.value, hot_bits, batch.column(0).to_numpy().view(U64)) & (batch.column(NAMES.index("times")).to_numpy() > 0))], names=[*NAMES, "hot"])
+
+        every = laid.mapInArrow(flagged, EXTENT + ", hot boolean")
+        laid = every.where("not hot").drop("hot").unionByName(_split_hot(every.where("hot").drop("hot"), size))
+    laid = laid.repartition(tasks(spark), "key").sortWithinPartitions("key", "ext")
+    return laid.mapInArrow(freed(marks), MARK)
+
+
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, *, size: int = 200, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_text: bool = True) -> DataFrame:
     """keep columns, n_bytes, n_removed, n_spans, kept_sha256, and kept_text (whole characters of what is left)."""
-    keep = list(dict.fromkeys(keep))
-    whole = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
-    whole = whole.withColumn("__uid", F.xxhash64(*keep, "__text"))
-    marks = repeat_marks(whole.select(F.col("__uid").alias("uid"), F.col("__text").alias("text")), size)
-    per = stage_table(marks, "marks").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    rows = whole.join(per, whole["__uid"] == per["uid"], "left").select(*keep, "__text", F.col("spans.a").alias("__a"), F.col("spans.b").alias("__b"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"] + ["kept_text string"] * with_text)
-    names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    results = [*RESULTS, *["kept_text"] * with_text]
+    whole = packed(docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))), keep, text)
+    # a row goes by 128 bits of its columns; equal rows have equal spans
+    whole = whole.withColumn("__uid", F.xxhash64(KEPT, "__text")).withColumn("__uid2", F.xxhash64(F.lit(1), "__text", KEPT))
+    marks = repeat_marks(whole.select(F.col("__uid").alias("uid"), F.col("__uid2").alias("uid2"), F.col("__text").alias("text")), size)
+    per = stage_table(marks, "marks").groupBy("uid", "uid2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    rows = whole.join(per, (whole["__uid"] == per["uid"]) & (whole["__uid2"] == per["uid2"]), "left").select(KEPT, "__text", F.col("spans.a").alias("__a"), F.col("spans.b").alias("__b"))
 
     def cut(batches):
-        k = len(keep)
         for batch in batches:
-            for x, y, data, off in parts(batch.column(k)):
+            for x, y, data, off in parts(batch.column(1)):
                 raw = data.tobytes()
-                starts, ends = batch.column(k + 1).slice(x, y - x).to_pylist(), batch.column(k + 2).slice(x, y - x).to_pylist()
+                starts, ends = batch.column(2).slice(x, y - x).to_pylist(), batch.column(3).slice(x, y - x).to_pylist()
                 n, gone, spans, sha, left = [], [], [], [], []
                 for i in range(y - x):
                     t = raw[off[i] : off[i + 1]]
                     out, at, m = [], 0, 0
                     g = 0
                     until = -1
-                    for a, b in sorted(zip(starts[i] or (), ends[i] or (), strict=True)):
+                    for a, b in zip(starts[i] or (), ends[i] or (), strict=True):
                         if a > until or until < 0:
                             m += 1
                             out.append(t[at:a])
@@ -402,9 +535,10 @@ def remove_repeats(docs: DataFrame, *, size: int = 200, keep: tuple[str, ...] =
                     spans.append(m)
                     sha.append(hashlib.sha256(kept).hexdigest())
                     left.append(kept.decode("utf-8", "ignore"))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in range(k)), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), *[pa.array(left, pa.string())] * with_text], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *[pa.array(left, pa.string())] * with_text], names=[KEPT, *results])
 
-    return rows.mapInArrow(freed(cut), schema)
+    schema = ", ".join([kept_type(whole), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *["kept_text string"] * with_text])
+    return unpacked(rows.mapInArrow(freed(cut), schema), keep, results)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
