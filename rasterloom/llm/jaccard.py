@@ -9,10 +9,14 @@ of the first n - ceil(t n) + 1 shingles of each in one common order; the order p
 a table of fixed size) last. Classes that share such a shingle are connected into clusters by sorted runs and a
 distributed component search. Inside clusters the R-tree first works on the group counts alone, which splits
 clusters that share little; the sets travel only for what it leaves, where pairs are verified. Large clusters are
-dealt in pairs of blocks, so no task holds more than two blocks.
+dealt in pairs of blocks, bounded by members and by bytes, so no task holds more than two blocks.
+
+Shingles are compared by 64-bit hashes (a pair of sets of n and m shingles gains a wrong common one with a
+probability below n * m / 2**64); classes by 128 bits: where two sets share the first 64, the second 64 name them.
 
 Cases: null or wordless text has no shingles, links with nothing and is its own component; ties and repeated rows
-share a class; a null doc_id takes part but never names a component; empty input gives empty output.
+share a class; a null doc_id takes part but never names a component; extra columns are not read; empty input gives
+empty output.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, freed, mix64, parts, read, shingle_hashes, stage_table, tasks, word_hashes
+from .common import LOWER, U64, freed, join_hot, mix64, parts, read, shingle_hashes, stage_table, tasks, word_hashes
 from .graph import local_roots, star_components
 
 LEVEL_BITS = 22  # slots of the frequency table
@@ -31,6 +35,7 @@ DF_BLOCK = 4_000_000  # shingles a task counts at once
 PAIRS = 64  # the longest run of one shingle whose pairs are looked at one by one
 WIDTH = 256  # groups of the points that go ahead of the sets
 BLOCK = 2048  # members of a cluster that a task takes at once, twice
+BLOCK_BYTES = 32 << 20  # and their sets' bytes
 
 
 def doc_sets(data: np.ndarray, off: np.ndarray, k: int):
@@ -46,10 +51,17 @@ def doc_sets(data: np.ndarray, off: np.ndarray, k: int):
         yield s
 
 
-def class_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = np.asarray([mix64(s).sum(dtype=U64)]) * U64(0x9E3779B97F4A7C15)
-    return int(mix64((total ^ np.bitwise_xor.reduce(mix64(s + U64(1)))) + U64(len(s))).view(np.int64)[0])
+def class_id(s: np.ndarray, doubtful: frozenset = frozenset()) -> int:
+    """A 64-bit name of a set; of a set whose first name is doubtful, the second one."""
+    first = class_names(s)
+    return first[1] if first[0] in doubtful else first[0]
+
+
+def class_names(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set."""
+    a, b = mix64(s).sum(dtype=U64), mix64(s ^ U64(0x6A09E667F3BCC909)).sum(dtype=U64)
+    two = mix64(mix64(np.asarray([a, b]) * U64(0x9E3779B97F4A7C15) + U64(len(s))) ^ np.asarray([b, a])).view(np.int64)
+    return int(two[0]), int(two[1])
 
 
 class RTree:
@@ -100,8 +112,9 @@ def group_counts(s: np.ndarray, width: int) -> np.ndarray:
     return np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width)
 
 
-def _search(tree: RTree, accept) -> np.ndarray:
-    """For each point the first point of its component under the tree's pairs that accept(q, c) confirms."""
+def _search(tree: RTree, accept, side: np.ndarray | None = None) -> np.ndarray:
+    """For each point the first point of its component under the tree's pairs that accept(q, c) confirms; with `side`
+    only pairs of different sides."""
     n = len(tree.sizes)
     root = list(range(n))
 
@@ -113,20 +126,21 @@ def _search(tree: RTree, accept) -> np.ndarray:
 
     for q in range(1, n):
         found = tree.query(q)
-        for c in found[found < q].tolist():
+        found = found[found < q]
+        for c in (found if side is None else found[side[found] != side[q]]).tolist():
             a, b = find(q), find(c)
             if a != b and accept(q, c):
                 root[max(a, b)] = min(a, b)
     return np.asarray([find(i) for i in range(n)])
 
 
-def bound_groups(counts: list[np.ndarray], num: int, den: int) -> np.ndarray:
+def bound_groups(counts: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
     """Components by the R-tree's bound alone: sets that link are never apart."""
     points = np.stack(counts).astype(np.int32)
-    return _search(RTree(points, points.sum(1, dtype=np.int64), num, den), lambda q, c: True)
+    return _search(RTree(points, points.sum(1, dtype=np.int64), num, den), lambda q, c: True, side)
 
 
-def link_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+def link_groups(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
     """For each set the index of the first set of its component under Jaccard >= num/den."""
     sizes = np.asarray([len(s) for s in sets], np.int64)
     width = 1 << int(np.clip(np.ceil(np.log2(max(1, np.median(sizes)) / 4)), 5, 11))
@@ -137,7 +151,7 @@ def link_groups(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
         return den * both >= num * (len(x) + len(y) - both)
 
-    return _search(RTree(points, sizes, num, den), verify)
+    return _search(RTree(points, sizes, num, den), verify, side)
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,28 +169,36 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             n = np.diff(np.append(at, len(s)))
             h, n = s[at][n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), ints(h), pa.array(n.astype(np.int64)), pa.nulls(len(h), pa.int64())], names=["kind", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), ints(h), pa.array(n.astype(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names=["kind", "a", "b", "c", "d"])
 
         for batch in batches:
             for a, b, data, off in parts(batch.column(1)):
-                rid, size = [], []
+                rid, other, size = [], [], []
                 for s in doc_sets(data, off, k):
-                    r = class_id(s) if len(s) else None
+                    r, r2 = class_names(s) if len(s) else (None, None)
                     rid.append(r)
+                    other.append(r2)
                     size.append(len(s))
                     if r is not None and r not in seen:
                         seen.add(r)
                         held.append(s)
                         n_held += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array(rid, pa.int64()), pa.array(size, pa.int64())], names=["kind", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array(rid, pa.int64()), pa.array(size, pa.int64()), pa.array(other, pa.int64())], names=["kind", "a", "b", "c", "d"])
                 if n_held > DF_BLOCK:
                     yield frequent()
                     held, n_held = [], 0
         if held:
             yield frequent()
 
-    one = stage_table(base.mapInArrow(freed(first_pass), "kind tinyint, a bigint, b bigint, c bigint"), "shingle-pass")
-    rows = one.where("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("rid"), F.col("c").alias("n"))
+    one = stage_table(base.mapInArrow(freed(first_pass), "kind tinyint, a bigint, b bigint, c bigint, d bigint"), "shingle-pass")
+    rows = one.where("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("rid"), F.col("c").alias("n"), F.col("d").alias("rid2"))
+    # 64-bit names that stand for several sets: about classes ** 2 / 2**65, so 3 among 10 billion
+    classes = rows.where("rid is not null").groupBy("rid", "rid2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    classes = stage_table(classes, "classes")
+    doubtful = frozenset(r[0] for r in classes.groupBy("rid").count().where("count > 1").select("rid").collect())
+    if doubtful:
+        named = lambda df: df.withColumn("rid", F.when(F.col("rid").isin(*doubtful), F.col("rid2")).otherwise(F.col("rid")))
+        rows, classes = named(rows), named(classes)
     freq = one.where("kind = 1").groupBy("a").agg(F.sum("b").alias("f")).where("f >= 4")
     slots = freq.groupBy(F.col("a").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("slot")).agg(F.max(F.floor(F.log2("f"))).cast("tinyint").alias("l")).toArrow()
     level = np.zeros(1 << LEVEL_BITS, np.uint8)  # a table of fixed size
@@ -189,7 +211,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             for _, _, data, off in parts(batch.column(1)):
                 tok, rid, size, count = [], [], [], []
                 for s in doc_sets(data, off, k):
-                    if not len(s) or (r := class_id(s)) in seen:
+                    if not len(s) or (r := class_id(s, doubtful)) in seen:
                         continue
                     seen.add(r)
                     lv = table[(s & U64((1 << LEVEL_BITS) - 1)).astype(np.int64)].astype(U64)
@@ -204,42 +226,56 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                     yield pa.RecordBatch.from_arrays([ints(np.concatenate(tok)), pa.array(np.repeat(np.asarray(rid, np.int64), count)), pa.array(np.repeat(np.asarray(size, np.int32), count)), pa.array(place)], names=["tok", "rid", "n", "at"])
 
     def runs(batches):
-        """Classes that may link for a shingle of this partition, as edges to the smallest one they reach here.
+        """Classes that may link for a shingle of this partition, as edges to the smallest one they reach in a batch.
 
-        At the first shingle that two sets share, what each has from there on must reach the overlap needed. Runs
-        too long for all pairs are chained by size instead, which connects at least as much.
+        Rows come by shingle and size. At the first shingle that two sets share, what each has from there on must
+        reach the overlap needed. Runs longer than PAIRS are chained by size instead, which connects at least as
+        much; of a run that goes on in the next batch the last PAIRS rows are kept.
         """
-        got = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
-        if not got:
-            return
-        tok, rid, n, at = (np.concatenate(x) for x in zip(*got, strict=True))
-        got.clear()
-        order = np.lexsort((rid, n, tok))
-        tok, rid, n, at = tok[order], rid[order], n[order].astype(np.int64), at[order]
-        u, v = [], []
-        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-        length = np.diff(np.append(first, len(tok)))
-        long = np.repeat(length > PAIRS, length)
-        for d in range(1, min(PAIRS, int(length.max())) + 1):
-            i = np.flatnonzero(tok[d:] == tok[:-d])
-            if d > 1:
-                i = i[~long[i]]
-            if not len(i):
-                break
-            x, y = n[i], n[i + d]
-            enough = np.minimum(x - at[i], y - at[i + d]) >= -(-num * (x + y) // (num + den))
-            fit = (den * x >= num * y) & (enough | long[i]) & (rid[i] != rid[i + d])
-            u.append(rid[i[fit]])
-            v.append(rid[i[fit] + d])
-        if u:
-            u, v = np.concatenate(u), np.concatenate(v)
-            if len(u):
-                node, root = local_roots(u, v)
+        kept, so_far = None, 0  # the rows of the last run, and how many it had before them
+        for batch in batches:
+            tok, rid, n, at = (batch.column(i).to_numpy() for i in range(4))
+            if not len(tok):
+                continue
+            old = 0
+            if kept is not None:
+                if kept[0][0] == tok[0]:
+                    old = len(kept[0])
+                    tok, rid, n, at = (np.concatenate(x) for x in zip(kept, (tok, rid, n, at), strict=True))
+                else:
+                    so_far = 0
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+            length = np.diff(np.append(first, len(tok)))
+            whole = length.copy()
+            whole[0] += so_far
+            long = np.repeat(whole > PAIRS, length)
+            u, v = [], []
+            for d in range(1, min(PAIRS, int(length.max())) + 1):
+                i = np.flatnonzero(tok[d:] == tok[:-d])
+                i = i[i + d >= old]  # pairs of kept rows were looked at before
+                if d > 1:
+                    i = i[~long[i]]
+                x, y = n[i], n[i + d]
+                enough = np.minimum(x - at[i], y - at[i + d]) >= -(-num * (x + y) // (num + den))
+                fit = (den * x >= num * y) & (enough | long[i]) & (rid[i] != rid[i + d])
+                u.append(rid[i[fit]])
+                v.append(rid[i[fit] + d])
+            if u and len(np.concatenate(u)):
+                node, root = local_roots(np.concatenate(u), np.concatenate(v))
                 off = node != root
                 yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(root[off])], names=["u", "v"])
-
-    tokens = base.mapInArrow(freed(prefixes), "tok bigint, rid bigint, n int, at int").repartition(tasks(spark), "tok")
+            if old and whole[0] > PAIRS >= so_far + old:  # the run turned long: chain what was paired before
+                x, y = n[: old - 1], n[1:old]
+                fit = (den * x >= num * y) & (rid[: old - 1] != rid[1:old])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[: old - 1][fit]), pa.array(rid[1:old][fit])], names=["u", "v"])
+            tail = max(int(first[-1]), len(tok) - PAIRS)
+            so_far = (so_far if len(first) == 1 else 0) + tail - int(first[-1])
+            kept = tok[tail:].copy(), rid[tail:].copy(), n[tail:].copy(), at[tail:].copy()
+
+    tokens = base.mapInArrow(freed(prefixes), "tok bigint, rid bigint, n int, at int").repartition(tasks(spark), "tok").sortWithinPartitions("tok", "n", "rid")
     clusters = stage_table(star_components(tokens.mapInArrow(freed(runs), "u bigint, v bigint")), "clusters")
+
     def members(bits, vectors: bool):
         """Arrow function: each class whose bit is set, once a task, with its group counts or its whole set."""
 
@@ -249,7 +285,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 for _, _, data, off in parts(batch.column(1)):
                     rid, body = [], []
                     for s in doc_sets(data, off, k):
-                        if not len(s) or (r := class_id(s)) in seen:
+                        if not len(s) or (r := class_id(s, doubtful)) in seen:
                             continue
                         seen.add(r)
                         slot = r & ((1 << CLASS_BITS) - 1)
@@ -262,14 +298,16 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         return run
 
     def link(vectors: bool):
-        """Arrow function: rows of one (root, i, j) follow each other; what each group joins becomes edges."""
+        """Arrow function: rows of one (root, i, j) follow each other; what each group joins becomes edges. Two blocks
+        that meet look only at pairs across them, as each block also meets itself."""
 
         def run(batches):
-            tag, rid, body, out = None, [], [], []
+            tag, rid, body, side, out = None, [], [], [], []
 
             def close():
                 if len(body) > 1:
-                    first = bound_groups(body, num, den) if vectors else link_groups(body, num, den)
+                    sides = np.asarray(side) if tag[1] != tag[2] else None
+                    first = bound_groups(body, num, den, sides) if vectors else link_groups(body, num, den, sides)
                     out.extend((rid[x], rid[f]) for x, f in enumerate(first.tolist()) if x != f)
 
             def flush():
@@ -279,13 +317,14 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
             for batch in batches:
                 cols = [batch.column(c).to_pylist() for c in range(3)]
-                ids, raw = batch.column(3).to_pylist(), batch.column(4)
+                own, ids, raw = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
                 for x, t in enumerate(zip(*cols, strict=True)):
                     if t != tag:
                         close()
-                        tag, rid, body = t, [], []
+                        tag, rid, body, side = t, [], [], []
                     if not rid or ids[x] != rid[-1]:
                         rid.append(ids[x])
+                        side.append(own[x])
                         body.append(np.frombuffer(raw[x].as_py(), np.uint32 if vectors else U64))
                 if out:
                     yield flush()
@@ -301,21 +340,29 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         bitmap = np.zeros(1 << (CLASS_BITS - 6), np.int64)  # a table of fixed size
         bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
         bits = spark.sparkContext.broadcast(bitmap.view(U64))
-        count = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+        if vectors:
+            size, by_bytes = clusters, F.lit(1)
+        else:
+            size = clusters.join(classes.select(F.col("rid").alias("c"), "n"), F.col("node") == F.col("c"))
+            by_bytes = F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
+        count = size.groupBy("root").agg(F.count(F.lit(1)).alias("size"), by_bytes.cast("int").alias("nb2")).withColumn("nb", F.greatest(F.ceil(F.col("size") / BLOCK).cast("int"), "nb2"))
         at = clusters.join(count.where("nb > 1").select("root", "nb"), "root", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
         mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-        at = at.select("node", "root", F.inline(pair))
-        held = base.mapInArrow(freed(members(bits, vectors)), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "rid", "body")
+        at = at.select("node", "root", mine.alias("own"), F.inline(pair))
+        held = base.mapInArrow(freed(members(bits, vectors)), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "own", "rid", "body")
         held = held.repartition(tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
         return stage_table(held.mapInArrow(freed(link(vectors)), "u bigint, v bigint"), "links")
 
     near = stage_table(star_components(joined(clusters, True)), "clusters")
     links = joined(near, False)
     final = star_components(links)
-    named = rows.join(final, F.col("rid") == F.col("node"), "left").select("k", "rid", "n", F.coalesce("root", "rid").alias("g"))
-    names = named.where("g is not null").groupBy(F.col("g").alias("gg")).agg(F.min("k").alias("component_id"))
-    out = named.join(names, F.col("g") == F.col("gg"), "left")
+    named = classes.join(final, F.col("rid") == F.col("node"), "left").select("rid", "rows", "first", F.coalesce("root", "rid").alias("g"))
+    names = named.groupBy(F.col("g").alias("gg")).agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    named = stage_table(named, "named")
+    named = join_hot(named, stage_table(names.withColumnRenamed("gg", "g"), "names"), "g", "size")
+    by_class = stage_table(named.select(F.col("rid"), F.col("rows").alias("n_rows"), "component_id"), "by-class")
+    out = join_hot(rows, by_class, "rid", "n_rows")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("rid").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"))
 
 
