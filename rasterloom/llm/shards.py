@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage_table
+from .common import join_hot, read, stage_table
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -72,10 +72,10 @@ def hilbert_shards(docs: DataFrame, *, shards: int = 8, bits: int = 8, text: str
         F.col(key).cast("bigint").alias("k"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"), F.crc32(raw).cast("bigint").alias("crc"),
         F.xxhash64(text).alias("h1"), F.struct(F.col("lang").alias("lang"), F.col("source").alias("source")).alias("meta"),
     )
-    base = stage_table(base, "shard-meta")
-    groups = base.groupBy("h1", "crc", "size").agg(F.count(F.lit(1)).alias("n"), F.min_by("meta", F.struct("k", "meta")).alias("lead")).where("n > 1")
-    same = (base["h1"] == groups["h1"]) & (base["crc"].eqNullSafe(groups["crc"])) & (base["size"] == groups["size"])
-    rows = base.join(groups, same, "left").select(base["*"], F.coalesce("lead", "meta").alias("lead"))
+    # equal texts: one name from two hashes and the size
+    base = stage_table(base.withColumn("g", F.concat_ws("-", F.hex("h1"), F.hex("crc"), F.hex("size"))), "shard-meta")
+    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min_by("meta", F.struct("k", "meta")).alias("lead")).where("n > 1")
+    rows = join_hot(base, stage_table(groups, "shard-groups"), "g", "n").withColumn("lead", F.coalesce("lead", "meta"))
     top = (1 << bits) - 1
     level = F.least(F.floor(F.log2(F.col("size").cast("double")) * 10), F.lit(top))
     name = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(c), F.lit(top)))
