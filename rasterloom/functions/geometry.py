@@ -87,7 +87,8 @@ def point_angle_to(a: Column, b: Column) -> Column:
 
 def point_rotate(a: Column, angle: float, origin: Column | None = None) -> Column:
     """By radians about the origin or a point."""
-    c, s = F.cos(F.lit(angle)), F.sin(F.lit(angle))
+    angle = angle if isinstance(angle, Column) else F.lit(float(angle))
+    c, s = F.cos(angle), F.sin(angle)
     ox, oy = (F.lit(0.0), F.lit(0.0)) if origin is None else (origin["x"], origin["y"])
     dx, dy = a["x"] - ox, a["y"] - oy
     return point(ox + dx * c - dy * s, oy + dx * s + dy * c)
@@ -124,12 +125,15 @@ def bbox_expand(a: Column, factor) -> Column:
 
 
 def bbox_pad(a: Column, amount) -> Column:
-    return bbox(a["x"] - amount, a["y"] - amount, a["width"] + 2 * amount, a["height"] + 2 * amount)
+    """By the amount on every side; a shrink past zero is refused."""
+    w, h = a["width"] + 2 * amount, a["height"] + 2 * amount
+    kind = "struct<x:double,y:double,width:double,height:double>"
+    return F.when((w >= 0) & (h >= 0), bbox(a["x"] - amount, a["y"] - amount, w, h)).when(a.isNull() | w.isNull() | h.isNull(), None).otherwise(F.raise_error(F.lit("a box shrinks below nothing")).cast(kind))
 
 
-def bbox_clip(a: Column, width: float, height: float) -> Column:
+def bbox_clip(a: Column, width, height) -> Column:
     """The part inside the image; a box outside shrinks to size 0 on the nearest edge."""
-    inside = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(top)))
+    inside = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), (top if isinstance(top, Column) else F.lit(top)).cast("double"))
     x, y = inside(a["x"], width), inside(a["y"], height)
     return bbox(x, y, inside(a["x"] + a["width"], width) - x, inside(a["y"] + a["height"], height) - y)
 

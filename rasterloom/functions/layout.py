@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .pixel import bind
+
 
 def _int(v) -> Column:
     return (v if isinstance(v, Column) else F.lit(v)).cast("int")
@@ -20,7 +22,13 @@ def gather(x: Column, height, width, source: Callable[[Column, Column], Column])
     """A [height, width] array whose element (row, column) is x at the flat place that source gives."""
     h, w = _int(height), _int(width)
     place = lambda i: source(F.floor(i / w).cast("int"), (i % w).cast("int")).cast("int")
-    return F.when(x.isNull(), None).when(h * w == 0, F.slice(x, 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(h * w - 1, F.lit(0))), lambda i: F.get(x, place(i))))
+    return _over(x, h * w, lambda y: lambda i: F.get(y, place(i)))
+
+
+def _over(x: Column, n: Column, f: Callable[[Column], Callable[[Column], Column]]) -> Column:
+    """f(x) of each place 0 to n - 1, with x evaluated once; null for null, empty where n is 0."""
+    each = lambda y: F.when(y.isNull(), None).when(n == 0, F.slice(y, 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), f(y)))
+    return bind(x, each)
 
 
 def _inside(low: Column, high: Column, size: Column, out: Column, kind: str) -> Column:
@@ -73,7 +81,8 @@ def pad(x: Column, height, width, top=0, bottom=0, left=0, right=0, value: float
         return gather(x, out_h, out_w, lambda r, c: _fold(r - t, h, mode) * w + _fold(c - l, w, mode))
     place = lambda r, c: F.when((r >= t) & (r < t + h) & (c >= l) & (c < l + w), (r - t) * w + c - l).otherwise(-1)
     hole = F.lit(value).cast("double")
-    return F.transform(F.sequence(F.lit(0), out_h * out_w - 1), lambda i: F.when(place(F.floor(i / out_w), i % out_w) < 0, hole).otherwise(F.get(x, place(F.floor(i / out_w), i % out_w).cast("int"))))
+    at = lambda i: place(F.floor(i / F.nullif(out_w, F.lit(0))), i % F.nullif(out_w, F.lit(0))).cast("int")
+    return _over(x, out_h * out_w, lambda y: lambda i: bind(at(i), lambda p: F.when(p < 0, hole).otherwise(F.get(y, p).cast("double"))))
 
 
 def resize_nearest(x: Column, height, width, out_height, out_width) -> Column:
@@ -87,11 +96,11 @@ def neighbours(x: Column, height, width, f: Callable[[Column], Column], size: in
     h, w, k = _int(height), _int(width), size // 2
     around = [(dr, dc) for dr in range(-k, k + 1) for dc in range(-k, k + 1)]
 
-    def at(i: Column) -> Column:
+    def at(y: Column, i: Column) -> Column:
         r, c = F.floor(i / w).cast("int"), (i % w).cast("int")
-        return f(F.array(*[F.get(x, (_fold(r + dr, h, "edge") * w + _fold(c + dc, w, "edge")).cast("int")) for dr, dc in around]))
+        return bind(F.array(*[F.get(y, (_fold(r + dr, h, "edge") * w + _fold(c + dc, w, "edge")).cast("int")) for dr, dc in around]), f)
 
-    return F.transform(F.sequence(F.lit(0), h * w - 1), at)
+    return _over(x, h * w, lambda y: lambda i: at(y, i))
 
 
 def erode(x: Column, height, width, size: int = 3) -> Column:
@@ -123,10 +132,10 @@ def block_mean(x: Column, height, width, rows: int, cols: int) -> Column:
     h, w = _int(height), _int(width)
     oh, ow = F.ceil(h / rows).cast("int"), F.ceil(w / cols).cast("int")
 
-    def at(i: Column) -> Column:
+    def at(y: Column, i: Column) -> Column:
         r, c = F.floor(i / ow).cast("int") * rows, (i % ow).cast("int") * cols
-        cells = [F.when((r + a < h) & (c + b < w), F.get(x, ((r + a) * w + c + b).cast("int"))) for a in range(rows) for b in range(cols)]
+        cells = [F.when((r + a < h) & (c + b < w), F.get(y, ((r + a) * w + c + b).cast("int"))) for a in range(rows) for b in range(cols)]
         full = F.filter(F.array(*cells), lambda v: v.isNotNull())
-        return F.aggregate(full, F.lit(0.0), lambda s, v: s + v) / F.size(full)
+        return bind(full, lambda v: F.aggregate(v, F.lit(0.0), lambda s, u: s + u) / F.size(v))
 
-    return F.transform(F.sequence(F.lit(0), oh * ow - 1), at)
+    return _over(x, oh * ow, lambda y: lambda i: at(y, i))

@@ -16,6 +16,11 @@ def _each(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda x: F.transform(x, lambda v: F.when(F.isnan(v.cast("double")), v.cast("double")).otherwise(f(v.cast("double")).cast("double")))
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, wherever f names it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _signed_inf(v: Column) -> Column:
     return F.when(v < 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
 
@@ -91,54 +96,81 @@ def total(x: Column) -> Column:
 
 def mean(x: Column) -> Column:
     """NaN for an empty array."""
-    return F.when(F.size(x) == 0, F.lit(float("nan"))).otherwise(total(x) / F.nullif(F.size(x), F.lit(0)))
+    return bind(x, lambda y: F.when(F.size(y) == 0, F.lit(float("nan"))).otherwise(total(y) / F.nullif(F.size(y), F.lit(0))))
 
 
 def variance(x: Column, ddof: int = 0) -> Column:
-    m = mean(x)
-    n = F.size(x) - ddof
-    return F.when(n <= 0, F.lit(float("nan"))).otherwise(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.when(n > 0, n))
+    def of(y, m):
+        n = F.size(y) - ddof
+        return F.when(n <= 0, F.lit(float("nan"))).otherwise(F.aggregate(y, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.when(n > 0, n))
+
+    return bind(x, lambda y: bind(mean(y), lambda m: of(y, m)))
 
 
 def std(x: Column, ddof: int = 0) -> Column:
     return F.sqrt(variance(x, ddof))
 
 
+def reduce_max(x: Column) -> Column:
+    """NaN where one element is NaN, as Spark orders NaN last."""
+    return F.array_max(x)
+
+
+def _any_nan(x: Column) -> Column:
+    return F.exists(x, lambda v: F.isnan(v.cast("double")))
+
+
+def reduce_min(x: Column) -> Column:
+    """NaN where one element is NaN."""
+    return bind(x, lambda y: F.when(_any_nan(y), F.array_max(y)).otherwise(F.array_min(y)))
+
+
 def percentile(x: Column, q: float) -> Column:
-    """Linear interpolation between the two nearest ranks."""
-    s = F.array_sort(x)
-    pos = (F.size(x) - 1) * (q / 100)
-    lo = F.floor(pos).cast("int")
-    a = F.try_element_at(s, lo + 1).cast("double")
-    b = F.coalesce(F.try_element_at(s, lo + 2), F.try_element_at(s, lo + 1)).cast("double")
-    return F.when(F.exists(x, lambda v: F.isnan(v.cast("double"))), F.lit(float("nan"))).otherwise(a + (b - a) * (pos - lo))
+    """Linear interpolation between the two nearest ranks; NaN where one element is NaN."""
+
+    def of(s):
+        pos = (F.size(s) - 1) * (q / 100)
+        lo = F.floor(pos).cast("int")
+        a = F.try_element_at(s, lo + 1).cast("double")
+        b = F.coalesce(F.try_element_at(s, lo + 2), F.try_element_at(s, lo + 1)).cast("double")
+        return F.when(F.isnan(F.try_element_at(s, F.lit(-1)).cast("double")), F.lit(float("nan"))).otherwise(a + (b - a) * (pos - lo))
+
+    return bind(F.array_sort(x), of)
 
 
 def normalize_minmax(x: Column) -> Column:
-    low, high = F.array_min(x).cast("double"), F.array_max(x).cast("double")
-    return F.transform(x, lambda v: F.when(high > low, (v - low) / F.nullif(high - low, F.lit(0.0))).otherwise(F.lit(0.0)))
+    """(x - min) / (max - min); zeros where all are equal."""
+    scaled = lambda y, e: F.transform(y, lambda v: F.when(e["high"] > e["low"], (v - e["low"]) / F.nullif(e["high"] - e["low"], F.lit(0.0))).otherwise(F.lit(0.0)))
+    return bind(x, lambda y: bind(F.struct(F.array_min(y).cast("double").alias("low"), F.array_max(y).cast("double").alias("high")), lambda e: scaled(y, e)))
+
+
+def normalize_zscore(x: Column) -> Column:
+    """(x - mean) / std; zeros where all are equal."""
+    scaled = lambda y, e: F.transform(y, lambda v: F.when(e["s"] > 0, (v - e["m"]) / F.nullif(e["s"], F.lit(0.0))).otherwise(F.lit(0.0)))
+    return bind(x, lambda y: bind(F.struct(mean(y).alias("m"), std(y).alias("s")), lambda e: scaled(y, e)))
 
 
 def adjust_contrast(x: Column, factor) -> Column:
-    m = mean(x)
-    return F.transform(x, lambda v: (v - m) * factor + m)
+    return bind(x, lambda y: bind(mean(y), lambda m: F.transform(y, lambda v: (v - m) * factor + m)))
 
 
 def argmax(x: Column) -> Column:
-    return F.array_position(x, F.array_max(x)) - 1
+    return bind(x, lambda y: F.array_position(y, F.array_max(y)) - 1)
 
 
 def argmin(x: Column) -> Column:
-    return F.array_position(x, F.array_min(x)) - 1
+    """The first NaN, or the first of the smallest."""
+    return bind(x, lambda y: bind(reduce_min(y), lambda m: F.array_position(y, m) - 1))
 
 
 def _same_size(x: Column, y: Column, out: Column) -> Column:
-    return F.when(F.size(x) == F.size(y), out).otherwise(F.raise_error(F.lit("operands differ in shape")).cast("array<double>"))
+    return F.when(x.isNull() | y.isNull(), None).when(F.size(x) == F.size(y), out).otherwise(F.raise_error(F.lit("operands differ in shape")).cast("array<double>"))
 
 
 def binary(x: Column, y: Column, f: Callable[[Column, Column], Column]) -> Column:
     """f over pairs of elements; operands must have one shape."""
-    return _same_size(x, y, F.zip_with(x, y, lambda a, b: f(a.cast("double"), b.cast("double")).cast("double")))
+    pairs = lambda p: _same_size(p["x"], p["y"], F.zip_with(p["x"], p["y"], lambda a, b: f(a.cast("double"), b.cast("double")).cast("double")))
+    return bind(F.struct(x.alias("x"), y.alias("y")), pairs)
 
 
 def add(x, y):
@@ -162,18 +194,23 @@ def maximum(x, y):
 
 
 def minimum(x, y):
-    return binary(x, y, F.least)
+    """NaN where either is."""
+    return binary(x, y, lambda a, b: F.when(F.isnan(a) | F.isnan(b), F.lit(float("nan"))).otherwise(F.least(a, b)))
 
 
 def bits(x: Column) -> Column:
     """One bit for each element: above the mean of its array."""
-    m = mean(x)
-    return F.transform(x, lambda v: (v > m).cast("int"))
+    return bind(x, lambda y: bind(mean(y), lambda m: F.transform(y, lambda v: (v > m).cast("int"))))
 
 
 def hamming_distance(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    """Bits that differ between two hashes (arrays of bytes or bits) of one length; other lengths are an error."""
+    differ = lambda p: F.aggregate(F.zip_with(p["x"], p["y"], lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    one = lambda p: F.when(p["x"].isNull() | p["y"].isNull(), None).when(F.size(p["x"]) == F.size(p["y"]), differ(p)).otherwise(F.raise_error(F.lit("hashes differ in length")).cast("int"))
+    return bind(F.struct(x.alias("x"), y.alias("y")), one)
 
 
-def hash_similarity(x: Column, y: Column, n_bits: int) -> Column:
-    return 100.0 * (1.0 - hamming_distance(x, y) / n_bits)
+def hash_similarity(x: Column, y: Column, n_bits: int | None = None) -> Column:
+    """100 (1 - distance / bits); a hash of bytes has 8 bits an element unless n_bits says otherwise."""
+    n = F.lit(n_bits) if n_bits else F.size(x) * 8
+    return 100.0 * (1.0 - hamming_distance(x, y) / n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import layout as L
 from ..functions import pixel as P
+from . import images, relational, shapes
 
 #: name -> (column expression over x, DuckDB expression over the element v)
 ELEMENT = {
@@ -34,6 +35,8 @@ ELEMENT = {
     "normalize_range": (lambda x: P.normalize_range(x, -0.25, 0.25), "least(greatest((v + 0.25) / 0.5, 0.0), 1.0)"),
     "cast_u8": (lambda x: F.transform(P.cast_u8(P.scale(x, 512)), lambda v: v.cast("double")), "least(greatest(round(v * 512), 0.0), 255.0)"),
     "normalize_minmax": (P.normalize_minmax, "(v - lo) / (hi - lo)"),
+    "normalize_zscore": (P.normalize_zscore, "(v - list_avg(x)) / list_stddev_pop(x)"),
+    "adjust_contrast": (lambda x: P.adjust_contrast(x, 1.5), "(v - list_sum(x) / len(x)) * 1.5 + list_sum(x) / len(x)"),
 }
 #: name -> (column expression over x, DuckDB expression over list x)
 REDUCE = {
@@ -41,8 +44,8 @@ REDUCE = {
     "reduce_mean": (P.mean, "list_avg(x)"),
     "reduce_std": (P.std, "list_stddev_pop(x)"),
     "reduce_var": (P.variance, "list_var_pop(x)"),
-    "reduce_min": (F.array_min, "list_min(x)"),
-    "reduce_max": (F.array_max, "list_max(x)"),
+    "reduce_min": (P.reduce_min, "list_min(x)"),
+    "reduce_max": (P.reduce_max, "list_max(x)"),
     "reduce_argmax": (lambda x: P.argmax(x).cast("double"), "CAST(list_position(x, list_max(x)) - 1 AS DOUBLE)"),
     "reduce_argmin": (lambda x: P.argmin(x).cast("double"), "CAST(list_position(x, list_min(x)) - 1 AS DOUBLE)"),
     "reduce_percentile": (lambda x: P.percentile(x, 90.0), "list_aggregate(x, 'quantile_cont', 0.9)"),
@@ -76,7 +79,7 @@ def _pair(f):
 
 
 _X = "SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings"
-_LONG = f"SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, x[pos] AS v, list_min(x) AS lo, list_max(x) AS hi FROM ({_X}) s, unnest(range(1, len(x) + 1)) AS u(pos)"
+_LONG = f"SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, x, x[pos] AS v, list_min(x) AS lo, list_max(x) AS hi FROM ({_X}) s, unnest(range(1, len(x) + 1)) AS u(pos)"
 _PAIRS = f"SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, x[pos] AS a, x[len(x) + 1 - pos] AS b FROM ({_X}) s, unnest(range(1, len(x) + 1)) AS u(pos)"
 
 
@@ -171,6 +174,9 @@ QUERIES = {
     **{n: _element(f) for n, (f, _) in ELEMENT.items()},
     **{n: _reduce(f) for n, (f, _) in REDUCE.items()},
     **{f"pair_{n}": _pair(f) for n, (f, _) in PAIR.items()},
+    **images.QUERIES,
+    **shapes.QUERIES,
+    **relational.QUERIES,
 }
 ORACLE_SQL = {
     "bbox_stats": BOX_SQL,
@@ -180,4 +186,7 @@ ORACLE_SQL = {
     **{n: f"SELECT vec_id, pos, round({e}, 6) AS value FROM ({_LONG})" for n, (_, e) in ELEMENT.items()},
     **{n: f"SELECT vec_id, round({e}, 5) AS value FROM ({_X})" for n, (_, e) in REDUCE.items()},
     **{f"pair_{n}": f"SELECT vec_id, pos, round({e}, 5) AS value FROM ({_PAIRS})" for n, (_, e) in PAIR.items()},
+    **images.ORACLE_SQL,
+    **shapes.ORACLE_SQL,
+    **relational.ORACLE_SQL,
 }
