@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEPT, U64, Known, freed, kept_type, packed, parts, read, unpacked
+from .common import KEPT, U64, Known, distinct, freed, kept_type, packed, parts, read, unpacked
 from .pretoken import pretoken_keys, pretokens
 
 NONE = np.int64(-1)
@@ -234,12 +234,13 @@ class Encoder:
             keys = pretoken_keys(data, starts)
             row = self.known.find(data, starts[:-1], starts[1:], keys)
             miss = np.flatnonzero(row < 0)
-            which = np.empty(len(miss), np.int64)
-            for m, (i, j, key) in enumerate(zip(starts[miss].tolist(), starts[miss + 1].tolist(), keys[miss].tolist(), strict=True)):
-                at = fresh.setdefault(data[i:j].tobytes(), len(fresh))
-                if at == len(fresh_keys):
+            first, back = distinct(data, starts[miss], starts[miss + 1], keys[miss])
+            at = np.empty(len(first), np.int64)
+            for m, (i, j, key) in enumerate(zip(starts[miss[first]].tolist(), starts[miss[first] + 1].tolist(), keys[miss[first]].tolist(), strict=True)):
+                at[m] = fresh.setdefault(data[i:j].tobytes(), len(fresh))
+                if at[m] == len(fresh_keys):
                     fresh_keys.append(key)
-                which[m] = at
+            which = at[back]
             held.append((row, miss, which, toff))
         spans = list(fresh)
         moff = np.concatenate(([0], np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))))
@@ -284,7 +285,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def grouped(col, limit: int = 1 << 20, parts_each: int = 8):
+def grouped(col, limit: int = 1 << 20, parts_each: int = 4):
     """Lists of up to parts_each parts of a column."""
     group = []
     for part in parts(col, limit):

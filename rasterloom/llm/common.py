@@ -146,18 +146,27 @@ def shingle_hashes(words: np.ndarray, woff: np.ndarray, k: int = 5) -> tuple[np.
     return out, soff
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def freed(run):
-    """A function over batches whose worker gives free memory back to the system when the task ends: workers stay for
-    later stages, and what one stage needed would otherwise add to the next one's."""
+    """A function over batches whose worker gives free memory back to the system after each batch and when the task ends:
+    workers stay for later stages, and what one stage needed would otherwise add to the next one's."""
 
     def task(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                _give_back()
+
         try:
-            yield from run(batches)
+            yield from run(each())
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            _give_back()
 
     return task
 
@@ -253,6 +262,29 @@ class SlotCache:
         self.row[slot] = rows
 
 
+def same_bytes(data: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Whether data[s:e] is what other holds from begin on, for spans of one byte and more."""
+    n = e - s
+    off = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(off[-1])
+    differ = data[at + np.repeat(s - off[:-1], n)] != other[at + np.repeat(begin - off[:-1], n)]
+    return np.add.reduceat(differ, off[:-1]) == 0 if differ.any() else np.ones(len(s), bool)
+
+
+def distinct(data: np.ndarray, s: np.ndarray, e: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one span for each text among data[s:e], and for each span which of those it is. Equal keys are looked
+    at byte by byte; spans that share a key with another text stand for themselves."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    lead = first[back]
+    same = (e - s) == (e - s)[lead]
+    long = np.flatnonzero(same & (e - s > 7) & (lead != np.arange(len(s))))
+    if len(long):
+        same[long] = same_bytes(data, s[long], e[long], data, s[lead[long]])
+    odd = np.flatnonzero(~same)
+    back[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), back
+
+
 class Known:
     """Pre-tokens met before, with two numbers each, in a bounded number of slots. A hit counts only if the bytes agree:
     keys of spans under 8 bytes are the bytes themselves, longer spans are compared with the ones held."""
@@ -273,12 +305,8 @@ class Known:
         same = self.size[r] == size
         long = np.flatnonzero(same & (size > 7))
         if len(long):
-            n = size[long]
-            off = np.concatenate(([0], np.cumsum(n)))
-            at = np.arange(off[-1])
-            differ = data[at + np.repeat(s[hit[long]] - off[:-1], n)] != self.pool[at + np.repeat(self.begin[r[long]] - off[:-1], n)]
-            if differ.any():
-                same[long[np.add.reduceat(differ, off[:-1]) > 0]] = False
+            at = hit[long]
+            same[long] = same_bytes(data, s[at], e[at], self.pool, self.begin[r[long]])
         row[hit[~same]] = -1
         return row
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import grouped
-from .common import U64, Known, freed, join_hot, read, shared_dir, stage_table
+from .common import Known, distinct, freed, join_hot, read, shared_dir, stage_table
 from .pretoken import pretoken_keys, pretokens
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
@@ -83,13 +83,10 @@ class Counter:
             n = self.known.a[row]
             miss = np.flatnonzero(row < 0)
             if len(miss):
-                fresh: dict[bytes, int] = {}
+                first, back = distinct(data, starts[miss], starts[miss + 1], keys[miss])
                 raw = data.tobytes()
-                back = np.asarray([fresh.setdefault(raw[i:j], len(fresh)) for i, j in zip(starts[miss].tolist(), starts[miss + 1].tolist(), strict=True)])
-                spans = list(fresh)
+                spans = [raw[i:j] for i, j in zip(starts[miss[first]].tolist(), starts[miss[first] + 1].tolist(), strict=True)]
                 got = np.fromiter((len(x) for x in self.lib.encode_batch_fast([x.decode() for x in spans], add_special_tokens=False)), np.int64, len(spans))
-                first = np.zeros(len(spans), np.int64)
-                first[back[::-1]] = np.arange(len(back))[::-1]
                 self.known.add(spans, keys[miss[first]], got, got)
                 n[miss] = got[back]
             total = np.concatenate(([0], np.cumsum(n)))[toff[which]]

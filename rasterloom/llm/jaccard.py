@@ -31,7 +31,7 @@ from .graph import local_roots, star_components
 
 LEVEL_BITS = 22  # slots of the frequency table
 CLASS_BITS = 23  # bits of the table of classes that have a cluster
-DF_BLOCK = 4_000_000  # shingles a task counts at once
+DF_BLOCK = 2_000_000  # shingles a task counts at once
 PAIRS = 64  # the longest run of one shingle whose pairs are looked at one by one
 WIDTH = 256  # groups of the points that go ahead of the sets
 BLOCK = 2048  # members of a cluster that a task takes at once, twice

@@ -390,7 +390,7 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
                 if len(s):
                     held.append((key, rolling(h, s, e + size)))
                     n_held += len(s)
-            if n_held > 1_000_000:
+            if n_held > 500_000:
                 yield close()
                 held, n_held = [], 0
         if held:
@@ -432,7 +432,7 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
                 held.append((tid, key, rolling(h, s, e + size), uid, uid2, s - off[doc], (e - s + 1).astype(np.int32), (p - s).astype(np.int32)))
                 n_held += len(s)
                 n_bytes += int((e - s).sum()) + size * len(s)
-                if n_held > 300_000 or n_bytes > 64 << 20:
+                if n_held > 100_000 or n_bytes > 32 << 20:
                     yield from close()
                     held.clear()
                     texts.clear()
