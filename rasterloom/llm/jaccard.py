@@ -346,7 +346,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             size = clusters.join(classes.select(F.col("rid").alias("c"), "n"), F.col("node") == F.col("c"))
             by_bytes = F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
         count = size.groupBy("root").agg(F.count(F.lit(1)).alias("size"), by_bytes.cast("int").alias("nb2")).withColumn("nb", F.greatest(F.ceil(F.col("size") / BLOCK).cast("int"), "nb2"))
-        at = clusters.join(count.where("nb > 1").select("root", "nb"), "root", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+        at = join_hot(clusters, stage_table(count.select("root", "size", "nb"), "cluster-sizes"), "root", "size")
         mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
         at = at.select("node", "root", mine.alias("own"), F.inline(pair))
