@@ -1,20 +1,22 @@
 """Language-model scoring by logistic context mixing over bits.
 
-Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts of
-the last 1 to 4 bytes; each context's counts of zeros and ones over all training texts give one prediction. The
-predictions are combined in the logistic domain by weights that a gate selects (bit place and how often the longer
-contexts were met), and an adaptive probability map refines the result. Counts are summed over all training texts
-in Spark into tables of fixed size. Weights and map are learned over every bit of all training texts, text ends
-included, with the bit's own count taken out: equal (four bytes, byte) have equal predictions, so rounds of Newton
-steps run over the counted pairs, each weighted by its count. Their sums are whole numbers of a fixed unit, so they
-do not depend on how rows are dealt out. Scoring keeps the model as learned, so a text's score does not depend on
-the others.
+Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts: the last
+1 to 4 bytes, and the word so far without case. Each context's counts of zeros and ones over all training texts give one
+prediction. The predictions are combined in the logistic domain by weights that a gate selects (bit place and how often
+the longer contexts were met), and an adaptive probability map refines the result. Counts are summed over all training
+texts in Spark into tables sized by the number of contexts met (up to LARGEST_BITS, a bound of memory). Weights and map
+are learned over every bit of all training texts, text ends included, with the bit's own count taken out: equal (word so
+far, four bytes, byte) have equal predictions, so rounds of Newton steps run over the counted events, each weighted by
+its count. Their sums are whole numbers of a fixed unit, so they do not depend on how rows are dealt out. Scoring keeps
+the model as learned, so a text's score does not depend on the others.
 
 The base score is the add-one unigram model over words: counts of the frequent words (at most FREQUENT) are
 broadcast, the others are joined.
 
 Cases: a null text counts as empty (one end token, one closing byte); without training texts N and V are 0 and
-every bit has probability one half; repeated rows each have their score.
+every bit has probability one half; repeated rows each have their score; extra columns are not read; empty input gives
+empty output. Words are counted by 64-bit hashes: among V words a new one is taken for a known one with probability
+V / 2**64.
 """
 
 from __future__ import annotations
@@ -25,13 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, SlotCache, freed, mix64, parts, read, stage_table, word_hashes
+from .common import LOWER, SPACE, U64, SlotCache, freed, mix64, parts, read, span_codes, stage_table, word_hashes
 from .langid import crc_rest
 
-ORDERS = (1, 2, 3, 4)
-SLOT_BITS = {1: 16, 2: 19, 3: 20, 4: 22}
-START = {k: sum(1 << SLOT_BITS[j] for j in ORDERS if j < k) for k in ORDERS}
-SLOTS = sum(1 << b for b in SLOT_BITS.values())
+ORDERS = (1, 2, 3, 4, 5)  # bytes of context; 5 stands for the word so far
+#: Slots (as powers of two) that the tables of each order may have; order 1 is a plain table.
+LARGEST_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 22}
 PAIR, WORD = 4, 9  # kinds of counted rows: (last four bytes, byte), and words
 FREQUENT = 1 << 19
 ROUNDS = 12  # Newton steps at most
@@ -41,8 +42,9 @@ CONF = np.asarray([0, 1, 2, 2, 3, 3, 3, 3] + [4] * 24 + [5] * 225, np.uint8)  #
 GATES = 8 * 6 * 6
 
 
-def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every text and its closing zero: the last four bytes, the byte, and each text's offsets."""
+def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every text and its closing zero one code, from the top: 24 bits of the word so far, the last
+    four bytes, the byte; and each text's offsets."""
     n, lens = len(off) - 1, np.diff(off)
     out = np.zeros(len(data) + 5 * n, np.uint8)
     base = off[:-1] + 5 * np.arange(n) + 4
@@ -53,20 +55,37 @@ def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         ctx[j:] = (ctx[j:] << np.uint32(8)) | x[:-j] if len(out) > j else ctx[j:]
     toff = np.concatenate(([0], np.cumsum(lens + 1)))
     at = np.arange(toff[-1]) + np.repeat(base - toff[:-1], lens + 1)
-    return ctx[at], out[at], toff
+    word = words_so_far(LOWER[out])[at]
+    return (word << U64(40)) | (ctx[at].astype(U64) << U64(8)) | out[at].astype(U64), toff
 
 
-def context(ctx: np.ndarray, k: int) -> np.ndarray:
-    """The last k bytes as a number."""
-    return ctx & np.uint32((1 << 8 * k) - 1)
+def words_so_far(low: np.ndarray) -> np.ndarray:
+    """24 bits that stand for the bytes since the last white space or zero, at each place; 0 where there are none."""
+    blank = SPACE[low] | (low == 0)
+    place = np.arange(len(low))
+    start = np.maximum.accumulate(np.where(blank, place + 1, 0))
+    start = np.concatenate(([0], start[:-1]))  # where the word that is under way begins
+    code = span_codes(np.minimum(place - start, 4095), low)
+    code[blank] = 0
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(code, dtype=U64)))
+    return mix64(sums[place] - sums[start]) >> U64(40)
 
 
-def slots(c: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+def context(code: np.ndarray, k: int) -> np.ndarray:
+    """The last k bytes, or the word so far, as a number."""
+    return code >> U64(40) if k == 5 else (code >> U64(8)) & U64((1 << 8 * k) - 1)
+
+
+def start_of(bits: dict[int, int], k: int) -> int:
+    return sum(1 << bits[j] for j in ORDERS if j < k)
+
+
+def slots(c: np.ndarray, node: np.ndarray, k: int, bits: dict[int, int]) -> np.ndarray:
     """Place of (context, bits so far with a leading one) in the common table."""
-    x = (c.astype(U64) << U64(8)) | node.astype(U64)
+    x = (c << U64(8)) | node.astype(U64)
     if k > 1:
-        x = mix64(x + U64(k << 40)) & U64((1 << SLOT_BITS[k]) - 1)
-    return x.astype(np.int64) + START[k]
+        x = mix64(x + U64(k << 48)) & U64((1 << bits[k]) - 1)
+    return x.astype(np.int64) + start_of(bits, k)
 
 
 def _squash(x):
@@ -79,7 +98,7 @@ def _predict(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def gate_of(bit: int, conf: dict[int, np.ndarray]) -> np.ndarray:
-    return bit * 36 + conf[4].astype(np.int64) * 6 + conf[3]
+    return bit * 36 + conf[4].astype(np.int64) * 6 + conf[5]
 
 
 class Refiner:
@@ -101,18 +120,18 @@ class Mixer:
         self.apm = Refiner()
 
 
-def training_bits(n0: np.ndarray, n1: np.ndarray, ctx: np.ndarray, byte: np.ndarray):
+def training_bits(n0: np.ndarray, n1: np.ndarray, code: np.ndarray, bits: dict[int, int]):
     """For each bit place of the bytes: node, bit, predictions [rows, orders] and gate, without this very bit's count."""
-    cs = {k: context(ctx, k) for k in ORDERS}
+    cs, byte = {k: context(code, k) for k in ORDERS}, (code & U64(255)).astype(np.int64)
     node = np.ones(len(byte), np.int64)
     for bit in range(8):
         y = (byte >> (7 - bit)) & 1
         x, conf = np.empty((len(byte), len(ORDERS))), {}
         for i, k in enumerate(ORDERS):
-            s = slots(cs[k], node, k)
+            s = slots(cs[k], node, k, bits)
             a, b = np.maximum(n0[s] - (1 - y), 0), np.maximum(n1[s] - y, 0)
             x[:, i] = _predict(a, b)
-            if k > 2:
+            if k > 3:
                 conf[k] = CONF[np.minimum(a + b, 255).astype(np.int64)]
         yield node, y, x, gate_of(bit, conf)
         node = node * 2 + y
@@ -151,24 +170,24 @@ def _summed(pairs: DataFrame, tables, fold, width: int, unit: float) -> np.ndarr
     """Sums of fold over all pairs (code, n); each task sends one row of `width` numbers."""
 
     def run(batches):
-        n0, n1 = tables.value
+        n0, n1, bits = tables.value
         total = np.zeros(width)
         for batch in batches:
-            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
-            for bits in training_bits(n0, n1, (code >> 8).astype(np.uint32), code & 255):
-                fold(total, unit, *bits, n)
+            code, n = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy().astype(float)
+            for step in training_bits(n0, n1, code, bits):
+                fold(total, unit, *step, n)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     got = pairs.mapInArrow(freed(run), "sums binary").toArrow()["sums"].to_pylist()
     return sum((np.frombuffer(x) for x in got), np.zeros(width)) / unit
 
 
-def learn(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray) -> Mixer:
-    """Weights and map over every training bit: pairs (code, n) of four bytes with the byte that follows, and its count."""
+def learn(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray, bits: dict[int, int]) -> Mixer:
+    """Weights and map over every training bit: pairs (code, n) of a byte after its contexts, and its count."""
     mixer, k = Mixer(), len(ORDERS)
     size = pairs.agg(F.sum("n")).first()[0] or 0
     unit = 2.0 ** (52 - int(256 * size).bit_length())  # no sum passes 2**53 units, so every order of adding gives the same
-    tables = pairs.sparkSession.sparkContext.broadcast((n0, n1))
+    tables = pairs.sparkSession.sparkContext.broadcast((n0, n1, bits))
     start = mixer.w.copy()
     best, best_loss, step = start.copy(), np.full(GATES, np.inf), np.zeros((GATES, k))
     w = start
@@ -198,8 +217,8 @@ def learn(pairs: DataFrame, n0: np.ndarray, n1: np.ndarray) -> Mixer:
 class Model:
     """Fixed tables for scoring: prediction and count class of every slot."""
 
-    def __init__(self, n0: np.ndarray, n1: np.ndarray, mixer: Mixer):
-        self.st = _predict(n0, n1).astype(np.float32)
+    def __init__(self, n0: np.ndarray, n1: np.ndarray, mixer: Mixer, bits: dict[int, int]):
+        self.bits, self.st = bits, _predict(n0, n1).astype(np.float32)
         self.conf = CONF[np.minimum(n0 + n1, 255).astype(np.int64)]
         self.w, self.apm = mixer.w.astype(np.float32), mixer.apm
         self.known = None
@@ -207,16 +226,16 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "known": None}
 
-    def bytes_cost(self, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its four bytes of context."""
-        out = np.zeros(len(byte))
-        node = np.ones(len(byte), np.int64)
-        cs = {k: context(ctx, k) for k in ORDERS}
-        b = byte.astype(np.int64)
+    def bytes_cost(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of each code's byte after its contexts."""
+        out = np.zeros(len(code))
+        node = np.ones(len(code), np.int64)
+        cs = {k: context(code, k) for k in ORDERS}
+        b = (code & U64(255)).astype(np.int64)
         for bit in range(8):
             y = (b >> (7 - bit)) & 1
-            at = {k: slots(cs[k], node, k) for k in ORDERS}
-            conf = {k: self.conf[at[k]] for k in (3, 4)}
+            at = {k: slots(cs[k], node, k, self.bits) for k in ORDERS}
+            conf = {k: self.conf[at[k]] for k in (4, 5)}
             w = self.w[gate_of(bit, conf)]
             x = sum(w[:, i] * self.st[at[k]] for i, k in enumerate(ORDERS))
             p = np.clip((_squash(x) + self.apm.at(node, x)[2]) / 2, 1e-6, 1 - 1e-6)
@@ -225,17 +244,17 @@ class Model:
         return out
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a part; bytes met in the same context before come from a cache."""
+        """log10 probability of each text of a part; bytes met in the same contexts before come from a cache."""
         if self.known is None:
             self.known, self.values = SlotCache(20), np.zeros(1 << 20)
-        ctx, byte, toff = streams(data, off)
-        key = mix64((ctx.astype(U64) << U64(8)) | byte.astype(U64))
+        code, toff = streams(data, off)
+        key = mix64(code)
         row = self.known.get(key)
         cost = self.values[row]
         miss = np.flatnonzero(row < 0)
         if len(miss):
             uniq, at, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            got = self.bytes_cost(ctx[miss[at]], byte[miss[at]])
+            got = np.concatenate([self.bytes_cost(code[miss[at[i : i + (1 << 17)]]]) for i in range(0, len(at), 1 << 17)])
             cost[miss] = got[back]
             slot = (uniq & self.known.mask).astype(np.int64)
             self.known.put(uniq, slot)
@@ -252,7 +271,8 @@ def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(train: DataFrame) -> DataFrame:
-    """train (text) -> (kind, code, n): counts of (last four bytes, byte), and of words, over all texts."""
+    """train (text) -> (kind, code, n): counts of bytes after their contexts (codes of `streams`), and of words, over all
+    texts."""
 
     def run(batches):
         held: dict[int, list[np.ndarray]] = {PAIR: [], WORD: []}
@@ -267,8 +287,7 @@ def gather(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, _, data, off in parts(batch.column(0)):
-                ctx, byte, _ = streams(data, off)
-                held[PAIR].append((ctx.astype(U64) << U64(8)) | byte.astype(U64))
+                held[PAIR].append(streams(data, off)[0])
                 held[WORD].append(word_hashes(LOWER[data], off)[0])
                 size += len(data)
                 if size > 8 << 20:
@@ -280,13 +299,22 @@ def gather(train: DataFrame) -> DataFrame:
 
 
 def by_order(pairs: DataFrame) -> DataFrame:
-    """pairs (code, n) -> (kind, code, n): counts of (last k bytes, byte) for each order k."""
-    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in ORDERS])
+    """pairs (code, n) -> (kind, code, n): counts of (context, byte) for each order."""
+    byte = F.col("code").bitwiseAND(F.lit(255))
+    word = F.shiftleft(F.shiftrightunsigned("code", 40), 8).bitwiseOR(byte)
+    codes = {k: word if k == 5 else F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) for k in ORDERS}
+    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), c.alias("code")) for k, c in codes.items()])
     return pairs.select(F.inline(kinds), "n").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of every slot of counts by order; SLOTS rows at most reach the driver."""
+def table_bits(counts: DataFrame) -> dict[int, int]:
+    """Slots for each order, as powers of two: four for each (context, byte) met, up to LARGEST_BITS."""
+    met = {r["kind"]: r["v"] for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("v")).collect()}
+    return {k: top if k == 1 else int(np.clip(np.ceil(np.log2(4 * met.get(k, 0) + 1)), 10, top)) for k, top in LARGEST_BITS.items()}
+
+
+def bit_tables(counts: DataFrame, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of every slot of counts by order; one row for a slot at most reaches the driver."""
 
     def run(batches):
         for batch in batches:
@@ -296,11 +324,11 @@ def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 m = kind == k
                 if not m.any():
                     continue
-                c, byte, w = (code[m] >> 8).astype(np.uint32), code[m] & 255, n[m].astype(float)
+                c, byte, w = (code[m] >> 8).astype(U64), code[m] & 255, n[m].astype(float)
                 node = np.ones(len(c), np.int64)
                 for bit in range(8):
                     y = (byte >> (7 - bit)) & 1
-                    out.append((slots(c, node, k) * 2 + y, w))
+                    out.append((slots(c, node, k, bits) * 2 + y, w))
                     node = node * 2 + y
             if out:
                 at, w = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -308,14 +336,23 @@ def bit_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(np.bincount(back, w).astype(np.float32))], names=["slot", "n"])
 
     got = counts.mapInArrow(run, "slot int, n float").groupBy("slot").agg(F.sum("n").cast("float").alias("n")).toArrow()
-    both = np.zeros(2 * SLOTS, np.float32)
+    both = np.zeros(2 * sum(1 << b for b in bits.values()), np.float32)
     for b in got.to_batches():
         both[b.column(0).to_numpy()] = b.column(1).to_numpy()
     return both[::2].copy(), both[1::2].copy()
 
 
+def fit(pairs: DataFrame) -> Model:
+    """Tables, weights and map from pairs (code, n)."""
+    counts = stage_table(by_order(pairs), "lm-orders")
+    bits = table_bits(counts)
+    n0, n1 = bit_tables(counts, bits)
+    return Model(n0, n1, learn(pairs, n0, n1, bits), bits)
+
+
 def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learns from rows is_train."""
+    """key, n_tokens, n_known, train_tokens, base_score, score, and bits_per_byte (total bits by bytes, the closing one
+    included) for every row of docs; learns from rows is_train."""
     spark = docs.sparkSession
     whole = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), F.coalesce(is_train, F.lit(False)).alias("tr"))
     train = whole.where("tr")
@@ -335,9 +372,9 @@ def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "te
     f_order = np.argsort(f_key)
     f_key, f_n = f_key[f_order], often["n"].to_numpy()[f_order]
     pairs = counts.where(F.col("kind") == PAIR).select("code", "n")
-    n0, n1 = bit_tables(by_order(pairs))
-    mixer = learn(pairs, n0, n1)
-    shared = spark.sparkContext.broadcast((f_key, f_n, Model(n0, n1, mixer)))
+    shared = spark.sparkContext.broadcast((f_key, f_n, fit(pairs)))
+
+    names = ["row", "k", "n", "known", "log", "score", "rate", "word"]
 
     def run(batches):
         f_key, f_n, model = shared.value
@@ -356,7 +393,7 @@ def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "te
                 ids = row_id + np.arange(b - a)
                 row_id += b - a
                 m = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(a, m), pa.array(np.diff(woff) + 1), pa.array(known.astype(np.int64)), pa.array(log), pa.array(score), pa.nulls(m, pa.int64())], names=["row", "k", "n", "known", "log", "score", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(a, m), pa.array(np.diff(woff) + 1), pa.array(known.astype(np.int64)), pa.array(log), pa.array(score), pa.array(-score / np.log10(2) / (np.diff(off) + 1)), pa.nulls(m, pa.int64())], names=names)
                 rest = np.flatnonzero(~hit)
                 if len(rest):
                     doc = np.searchsorted(woff, rest, "right") - 1
@@ -364,20 +401,20 @@ def lm_scores(docs: DataFrame, is_train, *, key: str = "doc_id", text: str = "te
                     d, w = doc[order], wh[rest][order]
                     first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1]))))
                     m = len(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[d[first]]), pa.nulls(m, pa.int64()), pa.array(np.diff(np.append(first, len(d)))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(w[first].view(np.int64))], names=["row", "k", "n", "known", "log", "score", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[d[first]]), pa.nulls(m, pa.int64()), pa.array(np.diff(np.append(first, len(d)))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(w[first].view(np.int64))], names=names)
 
-    one = stage_table(whole.select(F.col("k").cast("bigint"), "t").mapInArrow(run, "row bigint, k bigint, n bigint, known bigint, log double, score double, word bigint"), "lm-rows")
+    one = stage_table(whole.select(F.col("k").cast("bigint"), "t").mapInArrow(run, "row bigint, k bigint, n bigint, known bigint, log double, score double, rate double, word bigint"), "lm-rows")
     rare = one.where("word is not null").join(words.where(F.col("n") < low).select(F.col("code").alias("word"), F.col("n").alias("c")), "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_log"))
     out = one.where("word is null").join(rare, "row", "left")
     scale = float(np.log10(n_total + v_total + 1.0))
     return out.select(
         F.col("k").alias(key), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_total).cast("bigint").alias("train_tokens"),
-        (F.col("log") + F.coalesce("more_log", F.lit(0.0)) - F.col("n") * F.lit(scale)).alias("base_score"), "score",
+        (F.col("log") + F.coalesce("more_log", F.lit(0.0)) - F.col("n") * F.lit(scale)).alias("base_score"), "score", F.col("rate").alias("bits_per_byte"),
     )
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     out = lm_scores(docs, crc_rest("doc_id", 7) != 2)
-    return out.select("doc_id", (crc_rest("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (crc_rest("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -220,15 +220,29 @@ def test_lm_learns_from_every_byte(spark):
     pairs = lm.gather(df).where(f"kind = {lm.PAIR}").select("code", "n")
     raw = [b"\0" * 4 + (t or "").encode() + b"\0" for t in texts]
     want = Counter(int.from_bytes(t[j - 4 : j + 1], "big") for t in raw for j in range(4, len(t)))
-    assert {r.code: r.n for r in pairs.collect()} == want
-    n0, n1 = lm.bit_tables(lm.by_order(pairs))
-    mixer = lm.learn(pairs, n0, n1)
-    again = lm.learn(pairs.repartition(5), n0, n1)
+    codes = {r.code: r.n for r in pairs.collect()}
+    got = Counter()
+    for c, n in codes.items():
+        got[c & (1 << 40) - 1] += n
+    assert got == want
+    # the word so far: equal for equal words, different for different ones
+    flat = {}
+    for t in raw:
+        for j in range(4, len(t)):
+            so_far = re.split(rb"[\x00\x20\x09-\x0D]", t[:j].lower())[-1]
+            flat.setdefault((so_far, t[j - 4 : j + 1]), 0)
+    assert len(flat) == len(codes)
+    counts = lm.by_order(pairs)
+    bits = lm.table_bits(counts)
+    assert bits[1] == 16 and all(10 <= bits[k] <= lm.LARGEST_BITS[k] for k in (2, 3, 4, 5))
+    n0, n1 = lm.bit_tables(counts, bits)
+    mixer = lm.learn(pairs, n0, n1, bits)
+    again = lm.learn(pairs.repartition(5), n0, n1, bits)
     assert (mixer.w == again.w).all() and (mixer.apm.t == again.apm.t).all()
     # at the learned weights the slope over every byte of every text, one by one, is that of the ridge
-    code = np.asarray([c for c, n in want.items() for _ in range(n)])
+    code = np.asarray([c for c, n in codes.items() for _ in range(n)], np.int64).view(np.uint64)
     slope = lm.RIDGE * (0.3 - mixer.w)
-    for _, y, x, g in lm.training_bits(n0, n1, (code >> 8).astype(np.uint32), code & 255):
+    for _, y, x, g in lm.training_bits(n0, n1, code, bits):
         np.add.at(slope, g, (y - lm._squash((mixer.w[g] * x).sum(1)))[:, None] * x)
     assert np.abs(slope).max() < 0.1 and np.abs(mixer.w - 0.3).max() > 0.1
 
@@ -237,6 +251,6 @@ def test_lm_learns_from_short_texts(spark, monkeypatch):
     rows = [(i, " ".join(R.choice(WORDS) for _ in range(R.randint(1, 12)))) for i in range(80)]
     seen = []
     made = lm.Model.__init__
-    monkeypatch.setattr(lm.Model, "__init__", lambda self, n0, n1, mixer: seen.append(mixer) or made(self, n0, n1, mixer))
+    monkeypatch.setattr(lm.Model, "__init__", lambda self, n0, n1, mixer, bits: seen.append(mixer) or made(self, n0, n1, mixer, bits))
     lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), langid.crc_rest("doc_id", 7) != 2).count()
     assert np.abs(seen[0].w - 0.3).max() > 0.1 and np.abs(seen[0].apm.t - lm.Refiner().t).max() > 0.01
