@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEPT, U64, Known, distinct, freed, kept_type, packed, parts, read, unpacked
+from .common import KEPT, PART, U64, Known, distinct, freed, kept_type, packed, parts, read, unpacked
 from .pretoken import pretoken_keys, pretokens
 
 NONE = np.int64(-1)
@@ -285,7 +285,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def grouped(col, limit: int = 1 << 20, parts_each: int = 4):
+def grouped(col, limit: int = PART, parts_each: int = 8):
     """Lists of up to parts_each parts of a column."""
     group = []
     for part in parts(col, limit):

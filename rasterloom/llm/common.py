@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PART = 1 << 20
+PART = 1 << 19
 U64 = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -43,10 +43,11 @@ PLACES = 64
 #: A pseudo-random number for each (place in a span, byte); later places get theirs computed.
 CODES = _stream(1, PLACES * 256)
 COEF = _stream(3, 64) | U64(1)
-BLOCK = 1 << 20  # bytes that are hashed at once
+BLOCK = 1 << 17  # bytes that are hashed at once
 
 
-def _codes(place: np.ndarray, b: np.ndarray) -> np.ndarray:
+def span_codes(place: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A pseudo-random number for each byte at its place in a span."""
     at = (place << 8) | b
     out = CODES[np.minimum(at, len(CODES) - 1)]
     far = np.flatnonzero(place >= PLACES)
@@ -68,12 +69,12 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
             total = U64(0)
             for a in range(0, int(size[i]), BLOCK):
                 piece = data[s[i] + a : min(s[i] + a + BLOCK, e[i])].astype(np.int64)
-                total = total + _codes(np.arange(a, a + len(piece)), piece).sum(dtype=U64)
+                total = total + span_codes(np.arange(a, a + len(piece)), piece).sum(dtype=U64)
             out[i] = total
         else:
             off = ends[i : j + 1] - ends[i]
             place = np.arange(off[-1]) - np.repeat(off[:-1], size[i:j])
-            code = _codes(place, data[place + np.repeat(s[i:j], size[i:j])].astype(np.int64))
+            code = span_codes(place, data[place + np.repeat(s[i:j], size[i:j])].astype(np.int64))
             sums = np.concatenate((np.zeros(1, U64), np.cumsum(code, dtype=U64)))
             out[i:j] = sums[off[1:]] - sums[off[:-1]]
         i = j

@@ -21,9 +21,10 @@ LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 def classes() -> np.ndarray:
     """Class of every code point, from the regex library's own tables."""
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
-        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    for at in range(0, len(out), 1 << 14):  # block by block, so little memory is held at once
+        every = "".join(chr(c) for c in range(at, min(at + (1 << 14), len(out))) if not 0xD800 <= c < 0xE000)
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
+            out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
