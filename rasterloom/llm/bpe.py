@@ -217,9 +217,9 @@ def ranks(path: str) -> Ranks:
 class Encoder:
     """Encodes parts of texts; ids of pre-tokens met before come from a cache of bounded size that is emptied when full."""
 
-    def __init__(self, path: str, *, slots: int = 21, full: int = 16_000_000):
+    def __init__(self, path: str, *, slots: int = 20, full: int = 6_000_000):
         self.ranks, self.full = ranks(path), full
-        self.known = Known(slots, 1 << 25)
+        self.known = Known(slots)
         self.ids = np.zeros(1 << 16, np.uint16 if self.ranks.size <= 1 << 16 else np.uint32)
         self.used = 0
 
@@ -248,7 +248,7 @@ class Encoder:
         own = ids.astype(self.ids.dtype)
         out = []
         for row, miss, which, toff in held:
-            begin, count = self.known.a[row], self.known.b[row]
+            begin, count = self.known.a[row].astype(np.int64), self.known.b[row].astype(np.int64)
             begin[miss], count[miss] = ioff[which] + self.used, ioff[which + 1] - ioff[which]
             total = np.concatenate(([0], np.cumsum(count)))
             index = np.repeat(begin - total[:-1], count) + np.arange(total[-1])
@@ -263,8 +263,8 @@ class Encoder:
     def _hold(self, spans: list[bytes], keys: list[int], own: np.ndarray, ioff: np.ndarray) -> None:
         if not spans or len(own) > self.full:
             return
-        if self.used + len(own) > self.full or self.known.used + sum(map(len, spans)) > self.known.full:
-            self.known, self.used = Known(self.known.bits, self.known.full), 0
+        if self.used + len(own) > self.full or not self.known.room(len(spans), sum(map(len, spans))):
+            self.known, self.used = Known(self.known.bits), 0
         need = self.used + len(own)
         if need > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(need, len(self.ids)), self.ids.dtype)))

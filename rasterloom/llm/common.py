@@ -250,7 +250,7 @@ class SlotCache:
 
     def __init__(self, bits: int):
         self.key = np.zeros(1 << bits, U64)
-        self.row = np.full(1 << bits, -1, np.int64)
+        self.row = np.full(1 << bits, -1, np.int32)
         self.mask = U64((1 << bits) - 1)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
@@ -287,17 +287,21 @@ def distinct(data: np.ndarray, s: np.ndarray, e: np.ndarray, keys: np.ndarray) -
 
 
 class Known:
-    """Pre-tokens met before, with two numbers each, in a bounded number of slots. A hit counts only if the bytes agree:
-    keys of spans under 8 bytes are the bytes themselves, longer spans are compared with the ones held."""
+    """Pre-tokens met before, with two numbers each: at most 2**bits of them and 16 bytes for each, then it starts anew.
+    A hit counts only if the bytes agree: keys of spans under 8 bytes are the bytes themselves, longer spans are
+    compared with the ones held."""
 
     LONGEST = 4096  # longer spans are not held
 
-    def __init__(self, bits: int = 21, full: int = 1 << 25):
-        self.slots, self.full, self.bits = SlotCache(bits), full, bits
-        self.begin, self.size, self.a, self.b = (np.zeros(1 << 12, np.int64) for _ in range(4))
+    def __init__(self, bits: int = 20):
+        self.slots, self.most, self.full, self.bits = SlotCache(bits), 1 << bits, 16 << bits, bits
+        self.begin, self.size, self.a, self.b = (np.zeros(1 << 12, np.int32) for _ in range(4))
         self.pool = np.zeros(1 << 16, np.uint8)
         self.rows = self.used = 0
 
+    def room(self, n: int, total: int) -> bool:
+        return self.rows + n <= self.most and self.used + total <= self.full
+
     def find(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The row of each span, or -1."""
         row = self.slots.get(keys)
@@ -318,13 +322,13 @@ class Known:
             spans = [x for x, k in zip(spans, small.tolist(), strict=True) if k]
             keys, a, b, size = keys[small], a[small], b[small], size[small]
         n, total = len(spans), int(size.sum())
-        if self.used + total > self.full or self.rows + n > self.full:
-            self.__init__(self.bits, self.full)
-        if total > self.full or n > self.full:
+        if not self.room(n, total):
+            self.__init__(self.bits)
+        if not self.room(n, total):
             return
         if self.rows + n > len(self.a):
             more = max(self.rows + n, 2 * len(self.a)) - len(self.a)
-            self.begin, self.size, self.a, self.b = (np.concatenate((x, np.zeros(more, np.int64))) for x in (self.begin, self.size, self.a, self.b))
+            self.begin, self.size, self.a, self.b = (np.concatenate((x, np.zeros(more, np.int32))) for x in (self.begin, self.size, self.a, self.b))
         if self.used + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(self.used + total, 2 * len(self.pool)) - len(self.pool), np.uint8)))
         new = slice(self.rows, self.rows + n)

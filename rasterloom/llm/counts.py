@@ -80,7 +80,7 @@ class Counter:
             starts, toff = pretokens(data, poff)
             keys = pretoken_keys(data, starts)
             row = self.known.find(data, starts[:-1], starts[1:], keys)
-            n = self.known.a[row]
+            n = self.known.a[row].astype(np.int64)
             miss = np.flatnonzero(row < 0)
             if len(miss):
                 first, back = distinct(data, starts[miss], starts[miss + 1], keys[miss])
