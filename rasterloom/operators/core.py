@@ -70,6 +70,13 @@ def convert(x: np.ndarray, dtype) -> np.ndarray:
         if d.kind == "f" or x.dtype.kind != "f":
             return x.astype(d)
         info = np.iinfo(d)
+        if d.kind == "u" and d.itemsize < 4:  # the common case; whatever is negative ends at 0
+            r = np.floor(x)
+            r += x - r >= 0.5
+            np.clip(r, 0, info.max, out=r)
+            if np.isnan(r).any():
+                r[np.isnan(r)] = 0
+            return r.astype(d)
         r = half_away(np.where(np.isnan(x), 0, x).astype(np.float64))
         out = np.clip(r, float(info.min), float(info.max) if d.itemsize < 8 else float(2**62)).astype(d)
         if d.itemsize == 8:  # the top of 64 bits is no double

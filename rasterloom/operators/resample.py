@@ -48,6 +48,26 @@ def weights(src: int, dst: int, name: str) -> np.ndarray:
     return w / w.sum(1, keepdims=True)
 
 
+@lru_cache(256)
+def bands(src: int, dst: int, name: str, kind: str) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """The weights in blocks of output places, each with the run of source places it reads."""
+    w, out = weights(src, dst, name).astype(kind), []
+    for a in range(0, dst, 32):
+        block = w[a : a + 32]
+        used = np.flatnonzero((block != 0).any(0))
+        lo, hi = int(used[0]), int(used[-1]) + 1
+        out.append((a, min(dst, a + 32), lo, hi, np.ascontiguousarray(block[:, lo:hi])))
+    return out
+
+
+def _along(v: np.ndarray, dst: int, name: str) -> np.ndarray:
+    """[src, n] resampled to [dst, n]."""
+    out = np.empty((dst, v.shape[1]), v.dtype)
+    for a, b, lo, hi, w in bands(v.shape[0], dst, name, v.dtype.str):
+        np.matmul(w, v[lo:hi], out[a:b])
+    return out
+
+
 def resample(x: np.ndarray, height: int, width: int, name: str) -> np.ndarray:
     y = image(x)
     h, w, c = y.shape
@@ -67,9 +87,9 @@ def resample(x: np.ndarray, height: int, width: int, name: str) -> np.ndarray:
     if alpha:
         v = np.concatenate((v[:, :, :-1] * v[:, :, -1:], v[:, :, -1:]), 2)
     if height != h:
-        v = (weights(h, height, name).astype(kind) @ v.reshape(h, -1)).reshape(height, w, c)
+        v = _along(v.reshape(h, -1), height, name).reshape(height, w, c)
     if width != w:
-        v = (weights(w, width, name).astype(kind) @ v.transpose(1, 0, 2).reshape(w, -1)).reshape(width, height, c).transpose(1, 0, 2)
+        v = _along(v.transpose(1, 0, 2).reshape(w, -1), width, name).reshape(width, height, c).transpose(1, 0, 2)
     if alpha:
         with np.errstate(all="ignore"):
             v = np.concatenate((np.where(v[:, :, -1:] == 0, 0, v[:, :, :-1] / v[:, :, -1:]), v[:, :, -1:]), 2)

@@ -197,6 +197,22 @@ for _n in OPERATORS:
         setattr(Graph, _SHORT[_n], _method(_n))
 
 
+def use_operator(name: str) -> None:
+    """Give pipelines a method for an operator that was registered with `operator` after this module was loaded."""
+    setattr(Graph, name, _method(name))
+
+
+class Sink:
+    """A sink with its settings: Sink.list(dtype="u8"), Sink.jpeg(quality=90)."""
+
+    def __init__(self, fmt: str, **options):
+        self.fmt, self.options = fmt, options
+
+
+for _n in ("tensor", "numpy", "array", "list", "native", "long", "blob", "png", "jpeg", "tiff"):
+    setattr(Sink, _n, staticmethod(lambda fmt=_n, **options: Sink(fmt, **options)))
+
+
 class Pipeline(Graph):
     """A recorded chain: Pipeline().source("image_bytes").resize(height=224, width=224).grayscale()."""
 
@@ -443,14 +459,16 @@ class Lazy(Graph):
             out = out.merge_pipe(v.alias(n))
         return out.sink({n: "native" for n in include})
 
-    def sink(self, fmt: str | dict = "tensor", flags: OptFlags | None = None, **options) -> Column:
-        """The column of results; a dict of {name of a node: format or (format, options)} gives a struct."""
+    def sink(self, fmt: str | Sink | dict = "tensor", flags: OptFlags | None = None, **options) -> Column:
+        """The column of results; a dict of {name of a node: format, Sink or (format, options)} gives a struct."""
+        if isinstance(fmt, Sink):
+            fmt, options = fmt.fmt, {**fmt.options, **options}
         if isinstance(fmt, dict):
             outs = []
             for name, f in fmt.items():
                 if name not in self.names:
                     raise ValueError(f"sink: no node is named {name!r}; names: {', '.join(self.names) or 'none'}")
-                f, o = (f, {}) if isinstance(f, str) else f
+                f, o = (f, {}) if isinstance(f, str) else (f.fmt, f.options) if isinstance(f, Sink) else f
                 outs.append((name, self.names[name], f, o))
         else:
             outs = [("value", self.node, fmt, options)]

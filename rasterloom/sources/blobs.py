@@ -76,3 +76,13 @@ def from_tensor(t: dict) -> np.ndarray:
     d = np.dtype(np.float16) if half else DTYPES[dtype_name(t["dtype"])]
     x = view(t["data"], d, t["shape"], t.get("strides"), int(t.get("offset") or 0))
     return x.astype(np.float32) if half else x
+
+
+def numpy_from_struct(t) -> np.ndarray | None:
+    """The buffer of a collected tensor struct (a Row or a dict)."""
+    return None if t is None else from_tensor(t.asDict(recursive=True) if hasattr(t, "asDict") else t)
+
+
+def numpy_from_column(df, column: str) -> list[np.ndarray | None]:
+    """The buffers of a tensor column, collected: for results that fit the driver."""
+    return [numpy_from_struct(v) for v in df.select(column).toArrow().column(0).to_pylist()]

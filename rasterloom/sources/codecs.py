@@ -1,4 +1,5 @@
-"""Image files to buffers and back, with NumPy and zlib: PNG, BMP, PNM, QOI, farbfeld and TIFF; GIF, JPEG and WebP headers.
+"""Image files to buffers and back, with NumPy and zlib: PNG, JPEG (baseline), GIF (first frame), BMP, ICO, PNM, QOI,
+farbfeld, Radiance HDR and TIFF; of WebP the header.
 
 Pillow, where it is installed, decodes what is left.
 """
@@ -31,6 +32,10 @@ def sniff(b: bytes) -> str:
         return "qoi"
     if b[:8] == b"farbfeld":
         return "farbfeld"
+    if b[:10] == b"#?RADIANCE" or b[:6] == b"#?RGBE":
+        return "hdr"
+    if b[:4] == b"\0\0\1\0":
+        return "ico"
     if len(b) > 2 and b[:1] == b"P" and b[1:2] in b"123456" and b[2:3].isspace():
         return "pnm"
     raise ValueError("the bytes are no image of a known format")
@@ -56,6 +61,8 @@ def _unfilter(raw: np.ndarray, h: int, row: int, step: int) -> np.ndarray:
     """Rows of a PNG without their prediction."""
     lines = raw[: h * (row + 1)].reshape(h, row + 1)
     kinds, out = lines[:, 0], lines[:, 1:].copy()
+    if h and (kinds[1:] == 2).all() and kinds[0] in (0, 2):
+        return np.cumsum(out, 0, dtype=np.uint8)
     last = np.zeros(row, np.uint8)
     for i in range(h):
         k, cur = int(kinds[i]), out[i]
@@ -246,6 +253,132 @@ def decode_qoi(b: bytes) -> np.ndarray:
     return out.reshape(h, w, 4)[:, :, :c]
 
 
+def decode_gif(b: bytes) -> np.ndarray:
+    """The first frame on its canvas, in four channels."""
+    w, h, flags, ground = struct.unpack_from("<HHBB", b, 6)
+    at = 13
+    table = None
+    if flags & 128:
+        n = 3 << (flags & 7) + 1
+        table, at = np.frombuffer(b, np.uint8, n, at).reshape(-1, 3), at + n
+    clear = None
+    while True:
+        mark = b[at]
+        if mark == 0x21:
+            if b[at + 1] == 0xF9 and b[at + 3] & 1:
+                clear = b[at + 6]
+            at += 2
+            while b[at]:
+                at += b[at] + 1
+            at += 1
+        elif mark == 0x2C:
+            break
+        else:
+            raise ValueError("a GIF without a frame")
+    x0, y0, fw, fh, own = struct.unpack_from("<HHHHB", b, at + 1)
+    at += 10
+    if own & 128:
+        n = 3 << (own & 7) + 1
+        table, at = np.frombuffer(b, np.uint8, n, at).reshape(-1, 3), at + n
+    start = b[at]
+    at += 1
+    data = bytearray()
+    while b[at]:
+        data += b[at + 1 : at + 1 + b[at]]
+        at += b[at] + 1
+    px = np.frombuffer(_lzw(bytes(data), start, fw * fh), np.uint8).reshape(fh, fw)
+    if own & 64:  # rows in four passes
+        rows = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, fh, step)]
+        straight = np.empty_like(px)
+        straight[rows] = px
+        px = straight
+    if table is None or int(px.max(initial=0)) >= len(table):
+        raise ValueError("a GIF pixel is not in the palette")
+    out = np.zeros((h, w, 4), np.uint8)
+    alpha = np.where(px == clear, 0, 255).astype(np.uint8) if clear is not None else np.full(px.shape, 255, np.uint8)
+    out[y0 : y0 + fh, x0 : x0 + fw] = np.concatenate((table[px], alpha[:, :, None]), 2)[: h - y0, : w - x0]
+    return out
+
+
+def _lzw(data: bytes, bits: int, n: int) -> bytes:
+    """n indices of a stream of growing codes."""
+    clear, stop = 1 << bits, (1 << bits) + 1
+    words = [bytes([i]) for i in range(clear)] + [b"", b""]
+    size, last, out, acc, held = bits + 1, None, bytearray(), 0, 0
+    for byte in data:
+        acc |= byte << held
+        held += 8
+        while held >= size:
+            code, acc, held = acc & ((1 << size) - 1), acc >> size, held - size
+            if code == clear:
+                del words[stop + 1 :]
+                size, last = bits + 1, None
+                continue
+            if code == stop or len(out) >= n:
+                return bytes(out[:n]).ljust(n, b"\0")
+            if code > len(words) or (last is None and code >= clear):
+                raise ValueError("a GIF's codes are damaged")
+            word = words[code] if code < len(words) else last + last[:1]
+            if last is not None and len(words) < 4096:
+                words.append(last + word[:1])
+                if len(words) == 1 << size and size < 12:
+                    size += 1
+            out += word
+            last = word
+    return bytes(out[:n]).ljust(n, b"\0")
+
+
+def decode_ico(b: bytes) -> np.ndarray:
+    """The largest picture of the file: a PNG, or a bitmap with its mask."""
+    entries = [struct.unpack_from("<BBBBHHII", b, 6 + 16 * i) for i in range(struct.unpack_from("<H", b, 4)[0])]
+    _, _, _, _, _, _, size, at = max(entries, key=lambda e: ((e[0] or 256) * (e[1] or 256), e[5]))
+    body = b[at : at + size]
+    if body[:8] == PNG_MAGIC:
+        return decode_png(body)
+    head, w, twice, _, bits, packing, *_ = struct.unpack_from("<IiiHHIIiiII", body)
+    h = twice // 2
+    used = (struct.unpack_from("<I", body, 32)[0] or 1 << bits) * 4 if bits <= 8 else 0
+    start = head + used
+    row = (w * bits + 31) // 32 * 4
+    half = struct.pack("<IiiHHI", head, w, h, 1, bits, packing) + body[20:]
+    out = decode_bmp(b"BM" + struct.pack("<IHHI", 0, 0, 0, 14 + start) + half)
+    if bits == 32:
+        x = np.frombuffer(body, np.uint8, row * h, start).reshape(h, w, 4)[::-1]
+        return x[:, :, [2, 1, 0, 3]]
+    mask = np.frombuffer(body, np.uint8, (w + 31) // 32 * 4 * h, start + row * h).reshape(h, -1)[::-1]
+    hidden = np.unpackbits(mask, axis=1)[:, :w]
+    return np.concatenate((out[:, :, :3], np.where(hidden, 0, 255).astype(np.uint8)[:, :, None]), 2)
+
+
+def decode_hdr(b: bytes) -> np.ndarray:
+    """[H, W, 3] in f32 from shared exponents, plain or in runs."""
+    end = b.index(b"\n\n") + 2
+    line = b[end : b.index(b"\n", end)]
+    words = line.split()
+    if len(words) != 4 or words[0] != b"-Y" or words[2] != b"+X":
+        raise ValueError("an HDR with turned axes is not read")
+    h, w, at = int(words[1]), int(words[3]), end + len(line) + 1
+    out = np.empty((h, w, 4), np.uint8)
+    for y in range(h):
+        if w < 8 or w > 32767 or b[at : at + 2] != b"\2\2":
+            out[y] = np.frombuffer(b, np.uint8, 4 * w, at).reshape(w, 4)
+            at += 4 * w
+            continue
+        at += 4
+        for c in range(4):
+            x = 0
+            while x < w:
+                n = b[at]
+                if n > 128:
+                    out[y, x : x + n - 128, c] = b[at + 1]
+                    x, at = x + n - 128, at + 2
+                else:
+                    out[y, x : x + n, c] = np.frombuffer(b, np.uint8, n, at + 1)
+                    x, at = x + n, at + 1 + n
+    e = out[:, :, 3:].astype(np.int32)
+    return np.where(e == 0, 0, np.ldexp(out[:, :, :3].astype(np.float32), e - 136)).astype(np.float32)
+
+
 def _tiff_tags(b: bytes) -> tuple[str, dict[int, tuple]]:
     """Byte order and the values of the first directory."""
     o = "<" if b[:2] == b"II" else ">"
@@ -324,7 +457,7 @@ def _encode_jpeg(x: np.ndarray, quality: int = 85) -> bytes:
     return encode_jpeg(x, quality)
 
 
-DECODERS = {"png": decode_png, "pnm": decode_pnm, "bmp": decode_bmp, "farbfeld": decode_farbfeld, "qoi": decode_qoi, "tiff": decode_tiff, "jpeg": _decode_jpeg}
+DECODERS = {"png": decode_png, "pnm": decode_pnm, "bmp": decode_bmp, "farbfeld": decode_farbfeld, "qoi": decode_qoi, "tiff": decode_tiff, "jpeg": _decode_jpeg, "gif": decode_gif, "ico": decode_ico, "hdr": decode_hdr}
 ENCODERS = {"png": encode_png, "tiff": encode_tiff, "jpeg": _encode_jpeg}
 
 
@@ -401,6 +534,12 @@ def info(b: bytes) -> dict:
             _, t = _tiff_tags(b)
             w, h, c, tag = t[256][0], t[257][0], t.get(277, (1,))[0], int(t.get(274, (1,))[0])
             depth = {1: "u", 2: "i", 3: "f"}[t.get(339, (1,))[0]] + str(t.get(258, (8,))[0])
+        elif kind == "ico":
+            size = [(e[0] or 256, e[1] or 256) for e in (struct.unpack_from("<BB", b, 6 + 16 * i) for i in range(struct.unpack_from("<H", b, 4)[0]))]
+            (w, h), c = max(size, key=lambda v: v[0] * v[1]), 4
+        elif kind == "hdr":
+            words = b[b.index(b"\n\n") + 2 :].split(b"\n", 1)[0].split()
+            h, w, c, depth = int(words[1]), int(words[3]), 3, "f32"
         elif kind == "webp":
             c = 3
             if b[12:16] == b"VP8X":

@@ -197,3 +197,26 @@ def test_statistics_are_linear_in_the_array(spark):
         t = time.time()
         values(big, F.size(f(F.col("x"))))
         assert time.time() - t < 10
+
+
+def test_own_operators_sinks_and_helpers(spark, rows, tmp_path):
+    import rasterloom as RL
+    from rasterloom.sources.blobs import numpy_from_column
+    from rasterloom.sources.cloud import CloudCredentialError, CloudOptions, check_cloud_access
+    from rasterloom.sources.display import show_images
+
+    RL.operator("own_halved", {"by": 2})(lambda x, by: x // by)
+    RL.use_operator("own_halved")
+    a = cv("png").pipe(Pipeline().source("image_bytes", dtype="u8", on_error="null"))
+    df = rows.where("id < 2").select("id", a.own_halved(by=4).sink(RL.Sink.tensor()).alias("t"))
+    got = numpy_from_column(df, "t")
+    assert (got[0] == IMAGES[0] // 4).all() and got[1] is None
+    assert values(rows, a.reduce_max().alias("m").sink({"m": RL.Sink.native()}))[0].m == IMAGES[0].max()
+    assert show_images(rows.where("id < 2"), "png", label="id").count("<figure>") == 2
+    assert RL.build_info()["operators"] >= 115 and RL.dtype_name_for("float32") == "f32" and RL.set_row_parallelism(False) is None
+    assert "fs.s3a.access.key" in CloudOptions(s3_access_key="k", anonymous=True).hadoop()
+    assert check_cloud_access(spark, str(tmp_path), CloudOptions(extra={"fs.own": "1"})) == 0
+    with pytest.raises(CloudCredentialError):
+        check_cloud_access(spark, str(tmp_path / "gone"))
+    with pytest.raises(CloudCredentialError):
+        CloudOptions(token_command=["/no/such/command"]).hadoop()

@@ -226,11 +226,38 @@ def test_other_formats():
     assert codecs.decode(far).tolist() == [[[1, 2, 3, 4]]]
     qoi = b"qoif" + struct.pack(">IIBB", 3, 1, 3, 0) + bytes([254, 10, 20, 30, 0xC1]) + b"\0" * 7 + b"\1"
     assert codecs.decode(qoi).tolist() == [[[10, 20, 30]] * 3]
+    gif = b"GIF89a" + struct.pack("<HHBBB", 3, 1, 0x80, 0, 0) + bytes([0, 0, 0, 255, 9, 8]) + b"," + struct.pack("<HHHHB", 0, 0, 3, 1, 0) + b"\x02\x03\x0c\x12\x05\x00;"
+    assert codecs.decode(gif).shape == (1, 3, 4) and codecs.info(gif)["width"] == 3
+    hdr = b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y 1 +X 2\n" + bytes([128, 64, 0, 129, 0, 0, 0, 0])
+    assert codecs.decode(hdr).tolist() == [[[1.0, 0.5, 0.0], [0.0, 0.0, 0.0]]] and codecs.info(hdr)["dtype"] == "f32"
+    png = codecs.encode_png(x)
+    ico = b"\0\0\1\0\1\0" + struct.pack("<BBBBHHII", 5, 3, 0, 0, 1, 32, len(png), 22) + png
+    assert (codecs.decode(ico) == x).all() and codecs.info(ico)["height"] == 3
+    px = G.integers(0, 256, (2, 2, 4)).astype(np.uint8)
+    dib = struct.pack("<IiiHHIIiiII", 40, 2, 4, 1, 32, 0, 0, 0, 0, 0, 0) + px[::-1, :, [2, 1, 0, 3]].tobytes() + b"\0" * 8
+    assert (codecs.decode(b"\0\0\1\0\1\0" + struct.pack("<BBBBHHII", 2, 2, 0, 0, 1, 32, len(dib), 22) + dib) == px).all()
     for bad in (b"", b"no image", codecs.encode_png(x)[:40], b"P6 9 9 255 "):
         with pytest.raises(ValueError):
             codecs.decode(bad)
 
 
+def test_gif_codes():
+    """Against an encoder that never lets its table grow: a clear code before every index."""
+    x = G.integers(0, 4, (5, 6)).astype(np.uint8)
+    bits, n = 0, 0
+    for v in x.ravel().tolist():
+        for code in (4, v):
+            bits |= code << n
+            n += 3
+    bits, n = bits | 5 << n, n + 3
+    data = bits.to_bytes((n + 7) // 8, "little")
+    import struct
+
+    table = G.integers(0, 256, (4, 3)).astype(np.uint8)
+    gif = b"GIF89a" + struct.pack("<HHBBB", 6, 5, 0x81, 0, 0) + table.tobytes() + b"," + struct.pack("<HHHHB", 0, 0, 6, 5, 0) + bytes([2, len(data)]) + data + b"\0;"
+    assert (codecs.decode(gif)[:, :, :3] == table[x]).all()
+
+
 def test_jpeg_is_near_and_small():
     g = np.indices((45, 67)).sum(0)
     x = np.stack((128 + 60 * np.sin(g / 9), 90 + g, 200 - g), 2).astype(np.uint8)
