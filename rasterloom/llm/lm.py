@@ -1,13 +1,11 @@
 """Language-model scoring by logistic context mixing over bits.
 
-Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts: the last
-1 to 4 bytes, and the word so far without case. Each context's counts of zeros and ones over all training texts give one
-prediction. The predictions are combined in the logistic domain by weights that a gate selects (bit place and how often
+Every bit of a text (bytes from the high bit down, with a closing zero byte) is predicted from hashed contexts of the
+last 1 to 4 bytes; each context's counts of zeros and ones over all training texts give one prediction. The predictions are combined in the logistic domain by weights that a gate selects (bit place and how often
 the longer contexts were met), and an adaptive probability map refines the result. Counts are summed over all training
 texts in Spark into tables sized by the number of contexts met (up to LARGEST_BITS, a bound of memory). Weights and map
-are learned over every bit of all training texts, text ends included, with the bit's own count taken out: equal (word so
-far, four bytes, byte) have equal predictions, so rounds of Newton steps run over the counted events, each weighted by
-its count. Their sums are whole numbers of a fixed unit, so they do not depend on how rows are dealt out. Scoring keeps
+are learned over every bit of all training texts, text ends included, with the bit's own count taken out: equal (four
+bytes, byte) have equal predictions, so rounds of Newton steps run over the counted events, each weighted by its count. Their sums are whole numbers of a fixed unit, so they do not depend on how rows are dealt out. Scoring keeps
 the model as learned, so a text's score does not depend on the others.
 
 The base score is the add-one unigram model over words: counts of the frequent words (at most FREQUENT) are
@@ -27,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, SlotCache, freed, mix64, parts, read, span_codes, stage_table, word_hashes
+from .common import LOWER, U64, SlotCache, freed, mix64, parts, read, stage_table, word_hashes
 from .langid import crc_rest
 
-ORDERS = (1, 2, 3, 4, 5)  # bytes of context; 5 stands for the word so far
+ORDERS = (1, 2, 3, 4)  # bytes of context
 #: Slots (as powers of two) that the tables of each order may have; order 1 is a plain table.
-LARGEST_BITS = {1: 16, 2: 20, 3: 21, 4: 22, 5: 22}
+LARGEST_BITS = {1: 16, 2: 20, 3: 21, 4: 23}
 PAIR, WORD = 4, 9  # kinds of counted rows: (last four bytes, byte), and words
 FREQUENT = 1 << 19
 ROUNDS = 12  # Newton steps at most
@@ -43,8 +41,8 @@ GATES = 8 * 6 * 6
 
 
 def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every text and its closing zero one code, from the top: 24 bits of the word so far, the last
-    four bytes, the byte; and each text's offsets."""
+    """For every byte of every text and its closing zero one code, the last four bytes and the byte; and each text's
+    offsets."""
     n, lens = len(off) - 1, np.diff(off)
     out = np.zeros(len(data) + 5 * n, np.uint8)
     base = off[:-1] + 5 * np.arange(n) + 4
@@ -55,25 +53,12 @@ def streams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ctx[j:] = (ctx[j:] << np.uint32(8)) | x[:-j] if len(out) > j else ctx[j:]
     toff = np.concatenate(([0], np.cumsum(lens + 1)))
     at = np.arange(toff[-1]) + np.repeat(base - toff[:-1], lens + 1)
-    word = words_so_far(LOWER[out])[at]
-    return (word << U64(40)) | (ctx[at].astype(U64) << U64(8)) | out[at].astype(U64), toff
-
-
-def words_so_far(low: np.ndarray) -> np.ndarray:
-    """24 bits that stand for the bytes since the last white space or zero, at each place; 0 where there are none."""
-    blank = SPACE[low] | (low == 0)
-    place = np.arange(len(low))
-    start = np.maximum.accumulate(np.where(blank, place + 1, 0))
-    start = np.concatenate(([0], start[:-1]))  # where the word that is under way begins
-    code = span_codes(np.minimum(place - start, 4095), low)
-    code[blank] = 0
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum(code, dtype=U64)))
-    return mix64(sums[place] - sums[start]) >> U64(40)
+    return (ctx[at].astype(U64) << U64(8)) | out[at].astype(U64), toff
 
 
 def context(code: np.ndarray, k: int) -> np.ndarray:
-    """The last k bytes, or the word so far, as a number."""
-    return code >> U64(40) if k == 5 else (code >> U64(8)) & U64((1 << 8 * k) - 1)
+    """The last k bytes as a number."""
+    return (code >> U64(8)) & U64((1 << 8 * k) - 1)
 
 
 def start_of(bits: dict[int, int], k: int) -> int:
@@ -98,7 +83,7 @@ def _predict(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def gate_of(bit: int, conf: dict[int, np.ndarray]) -> np.ndarray:
-    return bit * 36 + conf[4].astype(np.int64) * 6 + conf[5]
+    return bit * 36 + conf[4].astype(np.int64) * 6 + conf[3]
 
 
 class Refiner:
@@ -131,7 +116,7 @@ def training_bits(n0: np.ndarray, n1: np.ndarray, code: np.ndarray, bits: dict[i
             s = slots(cs[k], node, k, bits)
             a, b = np.maximum(n0[s] - (1 - y), 0), np.maximum(n1[s] - y, 0)
             x[:, i] = _predict(a, b)
-            if k > 3:
+            if k > 2:
                 conf[k] = CONF[np.minimum(a + b, 255).astype(np.int64)]
         yield node, y, x, gate_of(bit, conf)
         node = node * 2 + y
@@ -235,7 +220,7 @@ class Model:
         for bit in range(8):
             y = (b >> (7 - bit)) & 1
             at = {k: slots(cs[k], node, k, self.bits) for k in ORDERS}
-            conf = {k: self.conf[at[k]] for k in (4, 5)}
+            conf = {k: self.conf[at[k]] for k in (3, 4)}
             w = self.w[gate_of(bit, conf)]
             x = sum(w[:, i] * self.st[at[k]] for i, k in enumerate(ORDERS))
             p = np.clip((_squash(x) + self.apm.at(node, x)[2]) / 2, 1e-6, 1 - 1e-6)
@@ -300,10 +285,7 @@ def gather(train: DataFrame) -> DataFrame:
 
 def by_order(pairs: DataFrame) -> DataFrame:
     """pairs (code, n) -> (kind, code, n): counts of (context, byte) for each order."""
-    byte = F.col("code").bitwiseAND(F.lit(255))
-    word = F.shiftleft(F.shiftrightunsigned("code", 40), 8).bitwiseOR(byte)
-    codes = {k: word if k == 5 else F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)) for k in ORDERS}
-    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), c.alias("code")) for k, c in codes.items()])
+    kinds = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("kind"), F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in ORDERS])
     return pairs.select(F.inline(kinds), "n").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
