@@ -37,7 +37,7 @@ def blur(x, sigma):
     return like(convert(v, y.dtype), x)
 
 
-@operator("convolve2d", {"kernel": REQUIRED, "border": "replicate", "normalize": False}, dtype=promoted, fixed=("kernel", "border", "normalize"))
+@operator("convolve2d", {"kernel": REQUIRED, "border": "replicate", "normalize": False}, dtype=promoted)
 def convolve2d(x, kernel, border, normalize):
     k = np.asarray(kernel, float)
     if k.ndim == 1:

@@ -57,7 +57,7 @@ def reshape(x, shape):
 
 @operator("flip", {"axes": REQUIRED, "when": True}, fixed=("axes",))
 def flip(x, axes, when):
-    if any(not 0 <= a < x.ndim for a in axes):
+    if any(not -x.ndim <= a < x.ndim for a in axes):
         raise ValueError(f"flip: axes {list(axes)} are not all below {x.ndim}")
     return np.flip(x, tuple(axes)) if when else x
 

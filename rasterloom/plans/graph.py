@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from enum import Enum
 
 import numpy as np
 import pyarrow as pa
@@ -98,23 +99,26 @@ class Graph:
     def _add(self, op: str, nodes: dict, params: dict):
         raise NotImplementedError
 
-    # compositions of operators
+    # compositions of operators, and operators with further spellings of their parameters
 
-    def flip_h(self):
-        return self.flip(axes=[1])
+    def flip_h(self, when=True):
+        return self.flip(axes=[1], when=when)
 
-    def flip_v(self):
-        return self.flip(axes=[0])
+    def flip_v(self, when=True):
+        return self.flip(axes=[0], when=when)
 
-    def crop_box(self, x, y, width, height):
-        """The window of a box, cut to the image."""
-        return self.crop_clip(top=y, left=x, height=height, width=width)
+    def crop_box(self, box: Column):
+        """The smallest window of whole pixels around each row's box, cut to the image."""
+        x, y, w, h = (box[k] for k in ("x", "y", "width", "height"))
+        top, left = F.floor(y), F.floor(x)
+        return self.crop_clip(top=top, left=left, height=F.ceil(y + h) - top, width=F.ceil(x + w) - left)
 
-    def median_filter(self, ksize: int = 3):
-        return self.rank_filter(height=ksize, width=ksize, q=50.0)
+    def median_filter(self, size=3, border: str = "replicate"):
+        return self.rank_filter(height=size, width=size, q=50.0, border=border)
 
-    def adjust_brightness(self, factor):
-        return self.scale(factor=factor).clamp(min=0, max=255)
+    def adjust_brightness(self, factor, preserve_dtype: bool = False):
+        out = self.scale(factor=factor).clamp(0, 255)
+        return out._cast_to(self) if preserve_dtype else out
 
     def convert_color(self, from_space: str, to_space: str):
         return self.cvt_color(from_space=from_space, to_space=to_space)
@@ -138,16 +142,18 @@ class Graph:
     def laplacian(self):
         return self.convolve2d(kernel=[[0, 1, 0], [1, -4, 1], [0, 1, 0]])
 
-    def sharpen(self):
-        return self.convolve2d(kernel=[[0, -1, 0], [-1, 5, -1], [0, -1, 0]])
+    def sharpen(self, strength=1.0):
+        """A kernel of sum 1: the pixel raised by `strength` times its difference to its four neighbours."""
+        zero = F.lit(0.0) if isinstance(strength, Column) else 0.0
+        return self.convolve2d(kernel=[zero, -strength, zero, -strength, 1 + 4 * strength, -strength, zero, -strength, zero])
 
-    def morphology_open(self, ksize=3, iterations=1, footprint: str = "square"):
-        return self.erode(ksize=ksize, iterations=iterations, footprint=footprint).dilate(ksize=ksize, iterations=iterations, footprint=footprint)
+    def morphology_open(self, ksize=3, footprint: str = "square"):
+        return self.erode(ksize=ksize, footprint=footprint).dilate(ksize=ksize, footprint=footprint)
 
-    def morphology_close(self, ksize=3, iterations=1, footprint: str = "square"):
-        return self.dilate(ksize=ksize, iterations=iterations, footprint=footprint).erode(ksize=ksize, iterations=iterations, footprint=footprint)
+    def morphology_close(self, ksize=3, footprint: str = "square"):
+        return self.dilate(ksize=ksize, footprint=footprint).erode(ksize=ksize, footprint=footprint)
 
-    def shear(self, sx, sy, output_size, interpolation: str = "bilinear", border_value=0.0):
+    def shear(self, sx=0.0, sy=0.0, *, output_size, interpolation: str = "bilinear", border_value=0.0):
         return self.warp_affine(matrix=[1.0, sx, 0.0, sy, 1.0, 0.0], output_size=output_size, interpolation=interpolation, border_value=border_value)
 
     def normalize_imagenet(self):
@@ -168,6 +174,7 @@ def _method(name: str):
             nodes[n] = params.pop(n)
         if "out_dtype" in op.params and out_dtype is not REQUIRED:
             params["out_dtype"] = out_dtype
+        params = {k: v.value if isinstance(v, Enum) else v for k, v in params.items()}
         unknown = set(params) - set(op.params)
         if unknown:
             raise TypeError(f"{name}: unknown parameters {', '.join(sorted(unknown))}")
@@ -189,6 +196,38 @@ def _method(name: str):
     return method
 
 
+def _clamp(self, min_val=None, max_val=None, *, out_dtype=REQUIRED, preserve_dtype: bool = False, **ends):
+    low, high = ends.get("min", min_val), ends.get("max", max_val)
+    if low is None or high is None:
+        raise TypeError("clamp: both ends are needed")
+    return _PLAIN["clamp"](self, min=low, max=high, out_dtype=out_dtype, preserve_dtype=preserve_dtype)
+
+
+def _resize_scale(self, scale=None, *, scale_x=None, scale_y=None, filter="lanczos3"):  # noqa: A002
+    if (scale is None) == (scale_x is None and scale_y is None):
+        raise TypeError("resize_scale: either scale, or scale_x and scale_y")
+    return _PLAIN["resize_scale"](self, scale_x=scale if scale_x is None else scale_x, scale_y=scale if scale_y is None else scale_y, filter=filter)
+
+
+def _rasterize(self, *, width=None, height=None, shape=None, **colours):
+    """On a canvas of that size, or of another node's."""
+    if (shape is None) == (width is None or height is None):
+        raise TypeError("rasterize: either width and height, or shape")
+    return _PLAIN["rasterize"](self, height=height if shape is None else shape, width=0 if shape is not None else width, **colours)
+
+
+def _assert_shape(self, *, dims=None, height=None, width=None, channels=None, exact: bool = True):
+    """By all dimensions, or by those of an image."""
+    if dims is None:
+        dims = [height, width] if channels is None else [height, width, channels]
+        exact = channels is not None
+    return _PLAIN["assert_shape"](self, dims=dims, exact=exact)
+
+
+def _channel_merge(self, *others):
+    return _PLAIN["channel_merge"](self, others=[o for v in others for o in (v if isinstance(v, (list, tuple)) else [v])])
+
+
 #: Names that pipelines give to contour operators.
 _SHORT = {n: n.removeprefix("contour_") for n in OPERATORS if n.startswith("contour_")}
 for _n in OPERATORS:
@@ -213,6 +252,10 @@ for _n in ("tensor", "numpy", "array", "list", "native", "long", "blob", "png",
     setattr(Sink, _n, staticmethod(lambda fmt=_n, **options: Sink(fmt, **options)))
 
 
+_PLAIN = {n: getattr(Graph, n) for n in ("clamp", "resize_scale", "rasterize", "assert_shape", "channel_merge")}
+Graph.clamp, Graph.resize_scale, Graph.rasterize, Graph.assert_shape, Graph.channel_merge = _clamp, _resize_scale, _rasterize, _assert_shape, _channel_merge
+
+
 class Pipeline(Graph):
     """A recorded chain: Pipeline().source("image_bytes").resize(height=224, width=224).grayscale()."""
 
@@ -259,8 +302,12 @@ class Pipeline(Graph):
         return out
 
     def _cast_back(self, name):
+        return self._cast_to(None)
+
+    def _cast_to(self, before: Pipeline | None):
+        """To the element type that was planned after the steps of `before` (by default, before the last step)."""
         out = self._copy()
-        out.steps.append(("__cast_back", {}, {}))
+        out.steps.append(("__cast_back", {}, {"at": len(self.steps) - 1 if before is None else len(before.steps)}))
         return out
 
     # what a plan says before any column is known
@@ -358,10 +405,10 @@ class Lazy(Graph):
         out = self
         before: list[Lazy] = []
         for op, nodes, params in p.steps:
+            before.append(out)
             if op == "__cast_back":
-                out = out.cast(dtype=before[-1].node.dtype)
+                out = out._cast_to(before[params["at"]])
                 continue
-            before.append(out)
             out = out._add(op, nodes, params)
         return out
 
@@ -370,7 +417,12 @@ class Lazy(Graph):
         return self._extend(p)
 
     def _cast_back(self, name):
-        return self.cast(dtype=self.node.inputs[0].dtype)
+        return self._cast_to(self._at(self.node.inputs[0]))
+
+    def _cast_to(self, before: Lazy):
+        if before.node.dtype is None:
+            raise ValueError("preserve_dtype: the element type is not known before the rows are; give the source a dtype")
+        return self.cast(dtype=before.node.dtype)
 
     def _add(self, op, nodes, params):
         spec = OPERATORS[op]
@@ -416,7 +468,7 @@ class Lazy(Graph):
         """The image inside the contours, drawn on a canvas of its size."""
         if isinstance(contours, Column):
             contours = cv(contours).pipe(Pipeline().source("contour"))
-        return self.apply_mask(contours.rasterize(height=self, width=0), invert=invert)
+        return self.apply_mask(contours.rasterize(shape=self), invert=invert)
 
     def statistics_lazy(self, include=("mean", "std", "min", "max"), mask: Lazy | None = None) -> dict[str, Lazy]:
         return {n: self.reduce_masked(mask, reduction=n) if mask is not None else self.reduce(reduction=n) for n in include}
@@ -475,6 +527,10 @@ class Lazy(Graph):
         return _emit(outs, isinstance(fmt, dict), self.errors, self.null_params, flags or OptFlags())
 
 
+def _number(v):
+    return int(v) if isinstance(v, float) and v.is_integer() else v
+
+
 def _emit(outs, many: bool, errors: str, null_params: str, flags: OptFlags) -> Column:
     """One Arrow function for all outputs."""
     plan, place, memo = [], {}, {}
@@ -499,6 +555,8 @@ def _emit(outs, many: bool, errors: str, null_params: str, flags: OptFlags) -> C
                     params[k] = ("column", len(columns) - 1)
                 elif isinstance(v, This):
                     params[k] = ("this", v.f)
+                elif isinstance(v, (list, tuple)) and any(isinstance(x, This) for x in v):
+                    params[k] = ("this", lambda x, v=v: [_number(e.f(x)) if isinstance(e, This) else e for e in v])
                 else:
                     params[k] = ("value", v)
             plan.append(("op", OPERATORS[n.op].run, args, params, n.options["order"], n.domain, n.op))

@@ -122,7 +122,7 @@ ELEMENTS: dict[str, tuple[Callable[[], Lazy], int, str]] = {
     "crop_of_this": (lambda: byte().crop(top=this.height // 4, left=this.width // 2, height=this.height - 4, width=this.width // 2), 16, U("2 + pos // 4", "4 + pos % 4")),
     "crop_clip": (lambda: byte().crop_clip(top=-2, left=5, height=6, width=9), 12, U("pos // 3", "5 + pos % 3")),
     "crop_pad": (lambda: byte().crop_pad(top=-1, left=6, height=4, width=4, value=9.0), 16, f"CASE WHEN pos // 4 >= 1 AND pos % 4 < 2 THEN {U('pos // 4 - 1', '6 + pos % 4')} ELSE 9 END"),
-    "crop_box": (lambda: byte().crop_box(x=2, y=1, width=3, height=4), 12, U("1 + pos // 3", "2 + pos % 3")),
+    "crop_box": (lambda: byte().crop_box(F.struct(F.lit(2.4).alias("x"), F.lit(1.0).alias("y"), F.lit(2.5).alias("width"), F.lit(3.9).alias("height"))), 12, U("1 + pos // 3", "2 + pos % 3")),
     "transpose_axes": (lambda: byte().transpose(axes=[1, 0]), 64, U(C, R)),
     "flip_axes": (lambda: byte().flip(axes=[0, 1]), 64, "u[64 - pos]"),
     "channel_select": (lambda: colour().channel_select(index=1), 16, px(1)),
@@ -176,6 +176,9 @@ ELEMENTS: dict[str, tuple[Callable[[], Lazy], int, str]] = {
     "extract_shape": (lambda: colour().extract_shape(), 3, "[4, 4, 3][pos + 1]"),
     "squeeze_expand": (lambda: byte().expand_dims(axis=2).squeeze(axis=2), 64, HERE),
     "assert_shape": (lambda: byte().assert_shape(dims=[8, None]), 64, HERE),
+    "adjust_brightness_keeps_dtype": (lambda: byte().adjust_brightness(factor=1.25, preserve_dtype=True), 64, f"least(round({HERE} * 1.25), 255)"),
+    "sharpen_by_row": (lambda: byte().sharpen(strength=F.col("vec_id").cast("double") % 3), 64, f"{HERE} + (vec_id % 3) * (4 * {HERE} - ({_dot([0, 1, 0, 1, 0, 1, 0, 1, 0])}))"),
+    "resize_scale_both": (lambda: byte().resize_scale(0.5, filter="nearest"), 16, U("2 * (pos // 4) + 1", "2 * (pos % 4) + 1")),
     "background_divide": (lambda: byte().background_divide(sigma=0.0, epsilon=1.0), 64, f"CAST({HERE} AS FLOAT) / CAST({HERE} + 1 AS FLOAT)"),
     "adjust_brightness": (lambda: byte().adjust_brightness(factor=1.25), 64, f"least({HERE} * 1.25, 255)"),
     "u8_adjust_contrast": (lambda: plain().adjust_contrast(factor=1.5), 64, "(x[pos + 1] - list_sum(x) / 64) * 1.5 + list_sum(x) / 64"),
@@ -193,7 +196,7 @@ SCALARS: dict[str, tuple[Callable[[], Column], str]] = {
     "reduce_masked": (lambda: (lambda a: a.reduce_masked(a.flip_h().threshold(value=128.0), reduction="mean"))(byte()).sink("native"), f"coalesce(list_avg({_MASKED}), 'nan'::DOUBLE)"),
     "masked_select_sum": (lambda: (lambda a: a.masked_select(a.flip_h().threshold(value=128.0)).reduce_sum())(byte()).sink("native"), f"coalesce(list_sum({_MASKED}), 0)"),
     "contour_pixels": (lambda: byte().threshold(value=128.0).extract_contours(mode="all", method="none").contour_area(signed=True).reduce_sum().sink("native"), f"len({_ON})"),
-    "rasterize_extracted": (lambda: (lambda m: m.extract_contours(mode="external").rasterize(height=m, width=0).maximum(m.reshape(shape=[8, 8, 1])).subtract(m.extract_contours(mode="external").rasterize(height=m, width=0)).reduce_sum())(byte().threshold(value=128.0)).sink("native"), "0"),
+    "rasterize_extracted": (lambda: (lambda m: m.extract_contours(mode="external").rasterize(shape=m).maximum(m.reshape(shape=[8, 8, 1])).subtract(m.extract_contours(mode="external").rasterize(shape=m)).reduce_sum())(byte().threshold(value=128.0)).sink("native"), "0"),
     "label_reduce_max": (lambda: byte().label_reduce(F.array(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((2, 1), (6, 1), (6, 5), (2, 5))]))).reduce_sum().sink("native"), "list_max(list_transform(list_filter(range(0, 64), lambda k: k // 8 BETWEEN 1 AND 4 AND k % 8 BETWEEN 2 AND 5), lambda k: u[k + 1]))"),
     "header_width": (lambda: cv(byte().resize(height=5, width=6, filter="nearest").sink("png")).width(), "6"),
     "blob_round_trip": (lambda: cv(byte().sink("blob")).pipe(Pipeline().source("blob")).reduce_sum().sink("native"), "list_sum(u)"),

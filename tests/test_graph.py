@@ -220,3 +220,25 @@ def test_own_operators_sinks_and_helpers(spark, rows, tmp_path):
         check_cloud_access(spark, str(tmp_path / "gone"))
     with pytest.raises(CloudCredentialError):
         CloudOptions(token_command=["/no/such/command"]).hadoop()
+
+
+def test_spellings_and_vocabularies(spark, rows):
+    from rasterloom import options
+
+    assert len(options.VOCABULARIES) == 28
+    a = cv("png").pipe(Pipeline().source("image_bytes", dtype="u8", on_error="null"))
+    ok = rows.where("id = 0")
+    small = a.resize_scale(0.5, filter=options.FilterType.NEAREST)
+    assert values(ok, small.extract_shape().sink("native"))[0] == [3.0, 4.0, 3.0]
+    assert values(ok, a.resize(height=4, width=4, filter="nearest").reshape(shape=[this.height * this.width, this.channels]).extract_shape().sink("native"))[0] == [16.0, 3.0]
+    assert values(ok, a.clamp(10, 20).reduce_max().sink("native"))[0] == 20.0 and values(ok, a.assert_shape(height=6, width=8, channels=3).reduce_max().sink("native"))[0] is not None
+    kept = Pipeline().source("image_bytes", dtype="u8", on_error="null").scale(0.5).adjust_brightness(factor=2.0, preserve_dtype=True)
+    assert kept.output_dtype() == "f32" and Pipeline().source("raw", dtype="u8").adjust_brightness(factor=2.0, preserve_dtype=True).output_dtype() == "u8"
+    with pytest.raises(TypeError):
+        a.resize_scale()
+    with pytest.raises(TypeError):
+        a.no_such(1) if hasattr(a, "no_such") else a.resize(height=1)
+    ring = contour_from_coords(F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (4, 0), (4, 3), (0, 3))]))
+    assert values(ok, a.apply_contour_mask(ring).crop(top=3).reduce_max().sink("native"))[0] == 0
+    every = {n for n, op in OPERATORS.items() if not n.startswith("own_")}
+    assert all(hasattr(Pipeline, n) for n in every) and len(every) >= 115
