@@ -66,11 +66,11 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
         if j == i + 1 and size[i] > BLOCK:  # a long span goes piece by piece
-            total = U64(0)
+            total = 0
             for a in range(0, int(size[i]), BLOCK):
                 piece = data[s[i] + a : min(s[i] + a + BLOCK, e[i])].astype(np.int64)
-                total = total + span_codes(np.arange(a, a + len(piece)), piece).sum(dtype=U64)
-            out[i] = total
+                total += int(span_codes(np.arange(a, a + len(piece)), piece).sum(dtype=U64))
+            out[i] = total & (1 << 64) - 1
         else:
             off = ends[i : j + 1] - ends[i]
             place = np.arange(off[-1]) - np.repeat(off[:-1], size[i:j])

@@ -32,6 +32,7 @@ def star_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of bigints -> (node, root) for every node that has an edge; root is its component's smallest node.
 
     Each round writes its edges, so a lost executor costs one round at most. Ends when a round changes nothing.
+    Cases: edges with a null end and loops are left out, repeated edges are one; without edges there are no rows.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stage_table(e, "edges")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -278,6 +279,30 @@ def test_queries_through_their_contract(spark, folder):
     assert all(r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) and r["law"] == "rows" and r["grown_shard"] is None for r in ten)
 
 
+def test_very_long_texts(spark):
+    """Texts of several parts: statistics, shingles, repeats, tokens and counts are those of the whole text."""
+    import tokenizers
+
+    rng = np.random.default_rng(8)
+    words = np.asarray([noise(5).strip() or "x" for _ in range(4000)])
+    long = " ".join(words[rng.integers(0, 4000, 260_000)].tolist())
+    texts = {1: long, 2: long[:900_000] + " other end", 3: "x" * 1_200_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    stats = {r.doc_id: r for r in quality.text_stats(df).collect()}
+    assert all(stats[i].n_words == len(t.split()) and stats[i].word_chars == sum(map(len, t.split())) for i, t in texts.items())
+    got = {r.doc_id: r for r in jaccard.jaccard_components(df).collect()}
+    for i, t in texts.items():
+        w = t.split()
+        assert got[i].n_shingles == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}) and got[i].component_id == i
+    removed = {r.doc_id: r.n_removed for r in suffix.remove_repeats(df).collect()}
+    shared = len(os.path.commonprefix([texts[1], texts[2]]))
+    assert removed == {1: shared, 2: shared, 3: 1_200_000}
+    enc, lib = ranks(), tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for r in bpe.bpe_encode(df.where("doc_id < 3"), P.path("byte_bpe_50k.tiktoken")).collect():
+        assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id])
+    assert {r.doc_id: r.n_tokens for r in counts.count_tokens(df.where("doc_id = 2"), P.path("byte_bpe_50k.json")).collect()} == {2: len(lib.encode(texts[2], add_special_tokens=False))}
+
+
 def test_model_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(" ".join(noise(4) for _ in range(20)),) for _ in range(30)], "text string")
     pairs = lm.gather(df).where(f"kind = {lm.PAIR}").select("code", "n")
