@@ -1,6 +1,7 @@
 """Queries of points, boxes and contours in sets, and their DuckDB SQL.
 
-Line items give boxes b (x = quantity, y = 100 discount, width = tax + 3, height = 4), one set for each order.
+Line items give boxes b (x = quantity, y = 100 discount, width = tax + 3, height = 4), one set for each order. Parts give
+single boxes from their size and key.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from .graph import Pipeline, cv
 _L = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) * 100 AS y, CAST(l_tax AS DOUBLE) * 100 + 3 AS w, 4.0::DOUBLE AS h FROM lineitem"
 
 
+_P = "SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 11 AS DOUBLE) AS y, CAST(p_partkey % 9 + 3 AS DOUBLE) AS w, 4.0::DOUBLE AS h FROM part"
 #: With a place of its own for each box of an order, as sets() sorts them.
 _N = f"SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w, h) AS n FROM ({_L})"
 
@@ -24,6 +26,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount").cast("double") * 100).alias("y"), (F.col("l_tax").cast("double") * 100 + 3).alias("w"), F.lit(4.0).alias("h"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    num = lambda c, n: c.cast("double").alias(n)
+    return p.select("p_partkey", num(F.col("p_size"), "x"), num(F.col("p_partkey") % 11, "y"), num(F.col("p_partkey") % 9 + 3, "w"), F.lit(4.0).alias("h"))
+
+
 def _box() -> Column:
     return G.bbox(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
 
@@ -54,8 +62,8 @@ def contour_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w, h = _cols()
     notched = ring((x, y), (x + w, y), (x + w, y + h), (x + w / 2, y + 1), (x, y + h))
     c = contour(notched)
-    d = lines(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", c.area().alias("area"), c.area(signed=True).alias("signed"), contour(c.flip()).area(signed=True).alias("flipped"), c.perimeter().alias("length"),
+    d = parts(spark, sf_dir).select(
+        "p_partkey", c.area().alias("area"), c.area(signed=True).alias("signed"), contour(c.flip()).area(signed=True).alias("flipped"), c.perimeter().alias("length"),
         c.winding().alias("winding"), contour(c.flip()).winding().alias("other_winding"), c.is_convex().alias("convex"), contour(rect(x, y, w, h)).is_convex().alias("box_convex"),
         c.bounding_box().alias("b"), contour(c.convex_hull()).area().alias("hull"), contour(c.translate(2.0, 3.0)).bounding_box().alias("t"), contour(rect(x, y, w, h)).centroid().alias("m"),
         contour(contour(rect(x, y, w, h)).scale(2.0, 3.0)).bounding_box().alias("s"), contour(contour(rect(x, y, w, h)).smooth()).area().alias("smooth"),
@@ -64,15 +72,15 @@ def contour_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     r = lambda v, n: F.round(v, 5).alias(n)
     return d.select(
-        "l_orderkey", "l_linenumber", *[r(F.col(n), n) for n in ("area", "signed", "flipped", "length", "hull", "smooth", "unit")], "winding", "other_winding", "turned", "convex", "box_convex", "dense", "corners",
+        "p_partkey", *[r(F.col(n), n) for n in ("area", "signed", "flipped", "length", "hull", "smooth", "unit")], "winding", "other_winding", "turned", "convex", "box_convex", "dense", "corners",
         r(F.col("b.width"), "b_width"), r(F.col("t.x"), "t_x"), r(F.col("t.y"), "t_y"), r(F.col("m.x"), "m_x"), r(F.col("m.y"), "m_y"), r(F.col("s.x"), "s_x"), r(F.col("s.height"), "s_height"),
     )
 
 
-CONTOUR_MEASURES_SQL = f"""SELECT l_orderkey, l_linenumber, round(w * h - w * (h - 1) / 2, 5) AS area, round(w * h - w * (h - 1) / 2, 5) AS signed, round(w * (h - 1) / 2 - w * h, 5) AS flipped,
+CONTOUR_MEASURES_SQL = f"""SELECT p_partkey, round(w * h - w * (h - 1) / 2, 5) AS area, round(w * h - w * (h - 1) / 2, 5) AS signed, round(w * (h - 1) / 2 - w * h, 5) AS flipped,
  round(w + 2 * h + 2 * sqrt(w * w / 4 + 9), 5) AS length, round(w * h, 5) AS hull, round(w * h * 7 / 8, 5) AS smooth, round(1 - (h - 1) / h / 2, 5) AS unit,
  'ccw' AS winding, 'cw' AS other_winding, 'cw' AS turned, FALSE AS convex, TRUE AS box_convex, CAST(2 * ceil(round(w / 1.5, 9)) + 2 * ceil(h / 1.5) AS INTEGER) AS dense, 4 AS corners,
- round(w, 5) AS b_width, round(x + 2, 5) AS t_x, round(y + 3, 5) AS t_y, round(x + w / 2, 5) AS m_x, round(y + h / 2, 5) AS m_y, round(x - w / 2, 5) AS s_x, round(3 * h, 5) AS s_height FROM ({_L})"""
+ round(w, 5) AS b_width, round(x + 2, 5) AS t_x, round(y + 3, 5) AS t_y, round(x + w / 2, 5) AS m_x, round(y + h / 2, 5) AS m_y, round(x - w / 2, 5) AS s_x, round(3 * h, 5) AS s_height FROM ({_P})"""
 
 
 def contour_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,24 +89,24 @@ def contour_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = rect(x, y, w, h), rect(F.lit(10.0), F.lit(2.0), F.lit(20.0), F.lit(5.0))
     pair = lambda op: getattr(cv(F.array(F.col("a"))).pipe(Pipeline().source("contour")), op)(cv(F.array(F.col("b"))).pipe(Pipeline().source("contour"))).contour_area().reduce_sum().sink("native")
     total = lambda s: F.aggregate(contour(s, many=True).area(), F.lit(0.0), lambda t, v: t + v)
-    d = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "x", "y", "w", "h", a.alias("a"), b.alias("b"))
+    d = parts(spark, sf_dir).select("p_partkey", "x", "y", "w", "h", a.alias("a"), b.alias("b"))
     p, q = contour(F.col("a")), contour(F.col("b"))
     line = contour(contour_from_coords(F.array(F.array(x, y), F.array(x + w, y)), is_closed=False))
     out = d.select(
-        "l_orderkey", "l_linenumber", pair("union").alias("either"), pair("intersection").alias("both"), pair("difference").alias("only"), pair("symmetric_difference").alias("one"),
+        "p_partkey", pair("union").alias("either"), pair("intersection").alias("both"), pair("difference").alias("only"), pair("symmetric_difference").alias("one"),
         total(contour(F.array("a", "b"), many=True).union_all()).alias("all_"), total(p.offset(1.0, join="miter")).alias("grown"), total(p.offset(-1.0)).alias("shrunk"),
         total(line.stroke(2.0, cap="butt")).alias("stroke"), total(line.stroke(2.0, cap="square")).alias("capped"), p.iou(q).alias("iou"), p.dice(q).alias("dice"), p.hausdorff_distance(contour(p.translate(3.0, 0.0))).alias("hausdorff"),
         contour(p.boundary(), many=True).perimeter()[0].alias("rim"), contour(contour(p.boundary()[0]).close()).area().alias("closed"), contour(contour(F.array("a", "b"), many=True).largest(1), many=True).area()[0].alias("largest"),
         p.contains_point(G.point(F.lit(15.0), F.lit(4.0))).alias("holds"), p.boundary_distances(contour(p.translate(0.0, 1.0)))["hd"].alias("hd"),
     )
-    return out.select("l_orderkey", "l_linenumber", *[(F.round(F.col(c), 4).alias(c) if c != "holds" else F.col(c)) for c in out.columns[2:]])
+    return out.select("p_partkey", *[(F.round(F.col(c), 4).alias(c) if c != "holds" else F.col(c)) for c in out.columns[1:]])
 
 
-CONTOUR_SETS_SQL = f"""SELECT l_orderkey, l_linenumber, round(s - o, 4) AS either, round(o, 4) AS both, round(w * h - o, 4) AS only, round(s - 2 * o, 4) AS one, round(s - o, 4) AS all_,
+CONTOUR_SETS_SQL = f"""SELECT p_partkey, round(s - o, 4) AS either, round(o, 4) AS both, round(w * h - o, 4) AS only, round(s - 2 * o, 4) AS one, round(s - o, 4) AS all_,
  round((w + 2) * (h + 2), 4) AS grown, round((w - 2) * (h - 2), 4) AS shrunk, round(2 * w, 4) AS stroke, round(2 * (w + 2), 4) AS capped, round(o / (s - o), 4) AS iou, round(2 * o / s, 4) AS dice,
  round(least(3.0, w), 4) AS hausdorff, round(2 * (w + h), 4) AS rim, round(w * h, 4) AS closed, round(greatest(w * h, 100), 4) AS largest,
  (15 >= x AND 15 <= x + w AND 4 >= y AND 4 <= y + h) AS holds, 1.0::DOUBLE AS hd
-FROM (SELECT *, w * h + 100 AS s, greatest(least(x + w, 30) - greatest(x, 10), 0) * greatest(least(y + h, 7) - greatest(y, 2), 0) AS o FROM ({_L}))"""
+FROM (SELECT *, w * h + 100 AS s, greatest(least(x + w, 30) - greatest(x, 10), 0) * greatest(least(y + h, 7) - greatest(y, 2), 0) AS o FROM ({_P}))"""
 
 
 def rasterized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +115,14 @@ def rasterized(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = contour_from_coords(F.array(F.array(x / 2, y), F.array(x / 2 + w, y), F.array(x / 2 + w, y + h), F.array(x / 2, y + h)))
     n = cv(shape).pipe(Pipeline().source("contour")).rasterize(height=20, width=40, fill_value=1).reduce_sum().sink("native")
     soft = cv(shape).pipe(Pipeline().source("contour")).rasterize(height=20, width=40, fill_value=100, supersample=2).reduce_max().sink("native")
-    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", n.cast("bigint").alias("painted"), soft.cast("bigint").alias("top"))
+    return parts(spark, sf_dir).select("p_partkey", n.cast("bigint").alias("painted"), soft.cast("bigint").alias("top"))
 
 
 def _centres(lo: str, hi: str, n: int) -> str:
     return f"len(list_filter(range(0, {n}), lambda k: k + 0.5 >= {lo} AND k + 0.5 <= {hi}))"
 
 
-RASTER_SQL = f"SELECT l_orderkey, l_linenumber, CAST({_centres('x / 2', 'x / 2 + w', 40)} * {_centres('y', 'y + h', 20)} AS BIGINT) AS painted, 100::BIGINT AS top FROM ({_L})"
+RASTER_SQL = f"SELECT p_partkey, CAST({_centres('x / 2', 'x / 2 + w', 40)} * {_centres('y', 'y + h', 20)} AS BIGINT) AS painted, 100::BIGINT AS top FROM ({_P})"
 
 
 def box_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +191,10 @@ def point_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     xs = lambda c: s(point(c, many=True).x())
     frame = G.bbox(F.lit(10.0), F.lit(2.0), F.lit(20.0), F.lit(5.0))
     target = rect(F.lit(10.0), F.lit(2.0), F.lit(20.0), F.lit(5.0))
-    d = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", corners.alias("p"), G.point(x, y).alias("o"))
+    d = parts(spark, sf_dir).select("p_partkey", corners.alias("p"), G.point(x, y).alias("o"))
     one = point("o")
     return d.select(
-        "l_orderkey", "l_linenumber", s(p.x()).alias("xs"), s(p.y()).alias("ys"), xs(p.translate(1.0, 2.0)).alias("moved"), xs(p.scale(2.0, 3.0)).alias("scaled"), xs(p.normalize(50.0, 10.0)).alias("normalized"),
+        "p_partkey", s(p.x()).alias("xs"), s(p.y()).alias("ys"), xs(p.translate(1.0, 2.0)).alias("moved"), xs(p.scale(2.0, 3.0)).alias("scaled"), xs(p.normalize(50.0, 10.0)).alias("normalized"),
         xs(p.to_absolute(50.0, 10.0)).alias("absolute"), s(p.distance(o)).alias("distances"), s(p.manhattan_distance(o)).alias("manhattan"), s(point(p.midpoint(o), many=True).y()).alias("middles"),
         xs(p.interpolate(o, 0.25)).alias("quarters"), s(F.transform(p.to_coords("yx"), lambda v: v[0])).alias("firsts"), F.size(F.filter(p.within_bbox(bbox(frame)), lambda v: v)).alias("inside"),
         F.round(one.distance_to_contour(target), 5).alias("to_contour"), F.round(one.signed_distance_to_contour(target), 5).alias("signed"), F.round(one.nearest_point_on_contour(target)["x"], 5).alias("nearest_x"),
@@ -199,13 +207,13 @@ _IN = "least(x - 10, 30 - x, y - 2, 7 - y)"
 _INSIDE = "(x > 10 AND x < 30 AND y > 2 AND y < 7)"
 _D = lambda a, b: f"sqrt(pow({a} - 20, 2) + pow({b} - 5, 2))"
 _CORNERS = [("x", "y"), ("x + w", "y"), ("x + w", "y + h"), ("x", "y + h")]
-POINT_SETS_SQL = f"""SELECT l_orderkey, l_linenumber, round(4 * x + 2 * w, 5) AS xs, round(4 * y + 2 * h, 5) AS ys, round(4 * x + 2 * w + 4, 5) AS moved, round(2 * (4 * x + 2 * w), 5) AS scaled, round((4 * x + 2 * w) / 50, 5) AS normalized,
+POINT_SETS_SQL = f"""SELECT p_partkey, round(4 * x + 2 * w, 5) AS xs, round(4 * y + 2 * h, 5) AS ys, round(4 * x + 2 * w + 4, 5) AS moved, round(2 * (4 * x + 2 * w), 5) AS scaled, round((4 * x + 2 * w) / 50, 5) AS normalized,
  round((4 * x + 2 * w) * 50, 5) AS absolute, round({' + '.join(_D(f'({a})', f'({b})') for a, b in _CORNERS)}, 5) AS distances, round({' + '.join(f'abs({a} - 20) + abs({b} - 5)' for a, b in _CORNERS)}, 5) AS manhattan,
  round((4 * y + 2 * h + 20) / 2, 5) AS middles, round((4 * x + 2 * w) * 0.75 + 20, 5) AS quarters, round(4 * y + 2 * h, 5) AS firsts,
  CAST({' + '.join(f'CASE WHEN {a} BETWEEN 10 AND 30 AND {b} BETWEEN 2 AND 7 THEN 1 ELSE 0 END' for a, b in _CORNERS)} AS INTEGER) AS inside,
  round(CASE WHEN {_INSIDE} THEN {_IN} ELSE {_OUT} END, 5) AS to_contour, round(CASE WHEN {_INSIDE} THEN -({_IN}) ELSE {_OUT} END, 5) AS signed,
  round(CASE WHEN {_INSIDE} THEN CASE WHEN {_IN} = y - 2 THEN x WHEN {_IN} = 30 - x THEN 30 WHEN {_IN} = 7 - y THEN x ELSE 10 END ELSE least(greatest(x, 10), 30) END, 5) AS nearest_x,
- round(x * cos(0.25) - y * sin(0.25), 5) AS turned, round(atan2(5 - y, 20 - x), 5) AS angle FROM ({_L})"""
+ round(x * cos(0.25) - y * sin(0.25), 5) AS turned, round(atan2(5 - y, 20 - x), 5) AS angle FROM ({_P})"""
 
 
 def mask_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, name):
         assert len(got)
         return
     con = duckdb.connect()
-    for t in ("embeddings", "lineitem", "events"):
+    for t in ("embeddings", "lineitem", "events", "part"):
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
