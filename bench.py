@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-w1, w3 and w4 run over PNG images of 480 x 640 made from the vectors (not timed): decode, 224 x 224, grey to an array;
-size and perceptual hash to duplicate groups; a crop by row parameters and a resize.
+w1 to w4 run over PNG images of 480 x 640 made from the vectors (not timed): decode, 224 x 224, grey to an array; a
+thumbnail of 256 as JPEG of quality 85; size and perceptual hash to duplicate groups; a crop by row parameters and a resize.
 """
 
 import json
@@ -52,6 +52,7 @@ def workloads(spark: SparkSession, folder: str) -> dict:
     phash = cv("png").pipe(src.perceptual_hash()).sink("native")
     return {
         "w1_decode_resize_gray": lambda: images.select(cv("png").pipe(src.resize(height=224, width=224, filter="bilinear").grayscale()).sink("array", shape=[224, 224, 1])),
+        "w2_thumbnail_jpeg": lambda: images.select(cv("png").pipe(src.resize_max(max_size=256, filter="bilinear")).sink("jpeg", quality=85)),
         "w3_phash_groups": lambda: images.select("vec_id", cv("png").width().alias("w"), phash.alias("h")).groupBy("w", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
         "w4_crop_resize": lambda: images.select(cv("png").pipe(src.crop(top=top, left=top, height=side, width=side).resize(height=224, width=224, filter="bilinear")).sink("blob")),
     }

@@ -1,4 +1,4 @@
-"""Baseline JPEG: blocks and their transforms in NumPy, the bit stream in Python.
+"""Baseline JPEG in NumPy; only the decoder's bit stream is read in Python.
 
 The encoder counts its symbols first and writes Huffman tables made for them. The decoder reads baseline files with any
 sampling and restart intervals; progressive ones go to Pillow.
@@ -80,6 +80,52 @@ def _blocks(plane: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.rint(f / q).astype(np.int64).reshape(*f.shape[:2], 64)[:, :, ZIGZAG]
 
 
+def _bits_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits a coefficient has, and those bits (negative ones below their power of two)."""
+    n = np.frexp(np.abs(v).astype(float))[1].astype(np.int64)
+    return n, np.where(v >= 0, v, v + (1 << n) - 1)
+
+
+def _entropy(blocks: np.ndarray, c: int) -> tuple[list, bytes]:
+    """Huffman tables made for the blocks [n, 64] (components in turn), and the bit stream."""
+    n = len(blocks)
+    row = np.arange(n)
+    table = 2 * np.minimum(row % c, 1)  # DC of luminance, its AC, DC of chrominance, its AC
+    steps = blocks[:, 0].copy()
+    steps[c:] -= blocks[:-c, 0]
+    size, bits = _bits_of(steps)
+    r, k = np.nonzero(blocks[:, 1:])
+    k = k + 1
+    first = np.concatenate(([True], r[1:] != r[:-1])) if len(r) else np.zeros(0, bool)
+    gap = k - np.where(first, 0, np.concatenate(([0], k[:-1]))) - 1 if len(r) else k
+    ac_size, ac_bits = _bits_of(blocks[r, k])
+    far = np.repeat(np.arange(len(r)), gap // 16)  # sixteen zeros have a symbol of their own
+    last = np.zeros(n, np.int64)
+    last[r] = k  # the last one of a block stays
+    short = np.flatnonzero(last < 63)
+    # (order in the stream, table, symbol, further bits, their number)
+    order = np.concatenate((row * 256, r[far] * 256 + 2 * k[far], r * 256 + 2 * k + 1, short * 256 + 255))
+    which = np.concatenate((table, table[r[far]] + 1, table[r] + 1, table[short] + 1))
+    symbol = np.concatenate((size, np.full(len(far), 0xF0), (gap % 16) << 4 | ac_size, np.zeros(len(short), np.int64)))
+    more = np.concatenate((bits, np.zeros(len(far), np.int64), ac_bits, np.zeros(len(short), np.int64)))
+    count = np.concatenate((size, np.zeros(len(far), np.int64), ac_size, np.zeros(len(short), np.int64)))
+    by = np.argsort(order, kind="stable")
+    which, symbol, more, count = which[by], symbol[by], more[by], count[by]
+    made, code, length = [], np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+    for t in range(2 if c == 1 else 4):
+        seen, times = np.unique(symbol[which == t], return_counts=True)
+        made.append(_codes(_lengths(dict(zip(seen.tolist(), times.tolist(), strict=True)))))
+        for v, (word, size_) in made[-1][2].items():
+            code[t * 256 + v], length[t * 256 + v] = word, size_
+    at = which * 256 + symbol
+    value, total = code[at] << count | more, length[at] + count
+    end = np.cumsum(total)
+    left = np.repeat(end, total) - np.arange(end[-1] if len(end) else 0) - 1  # bits of the value that follow
+    stream = (np.repeat(value, total) >> left & 1).astype(np.uint8)
+    stream = np.concatenate((stream, np.ones(-len(stream) % 8, np.uint8)))
+    return made, np.packbits(stream).tobytes().replace(b"\xff", b"\xff\0")
+
+
 def encode_jpeg(x: np.ndarray, quality: int = 85) -> bytes:
     """u8 with one or three channels, colour at full resolution."""
     y = x[:, :, None] if x.ndim == 2 else x
@@ -94,55 +140,7 @@ def encode_jpeg(x: np.ndarray, quality: int = 85) -> bytes:
     else:
         planes = [y[:, :, 0]]
     coefs = [_blocks(p, q[min(i, 1) if c == 3 else 0]) for i, p in enumerate(planes)]
-    rows, cols = coefs[0].shape[:2]
-    stream: list[tuple[int, int, int, int]] = []  # table, symbol, bits, their number
-    seen: list[dict[int, int]] = [{}, {}, {}, {}]  # DC and AC of luminance, then of chrominance
-
-    def put(t, symbol, bits, n):
-        seen[t][symbol] = seen[t].get(symbol, 0) + 1
-        stream.append((t, symbol, bits, n))
-
-    last = [0] * c
-    flat = [f.reshape(-1, 64) for f in coefs]
-    busy = [[np.flatnonzero(row[1:]) + 1 for row in f] for f in flat]
-    for i in range(rows * cols):
-        for k in range(c):
-            row, t = flat[k][i], 2 * min(k, 1)
-            d = int(row[0]) - last[k]
-            last[k] = int(row[0])
-            n = abs(d).bit_length()
-            put(t, n, d if d >= 0 else d + (1 << n) - 1, n)
-            at = 0
-            for j in busy[k][i].tolist():
-                gap = j - at - 1
-                while gap > 15:
-                    put(t + 1, 0xF0, 0, 0)
-                    gap -= 16
-                v = int(row[j])
-                n = abs(v).bit_length()
-                put(t + 1, gap << 4 | n, v if v >= 0 else v + (1 << n) - 1, n)
-                at = j
-            if at < 63:
-                put(t + 1, 0, 0, 0)
-    made = [_codes(_lengths(s)) for s in seen[: 2 if c == 1 else 4]]
-    acc = held = 0
-    body = bytearray()
-    for t, symbol, bits, n in stream:
-        code, size = made[t][2][symbol]
-        acc = (acc << size | code) << n | bits
-        held += size + n
-        while held >= 8:
-            held -= 8
-            byte = acc >> held & 255
-            body.append(byte)
-            if byte == 255:
-                body.append(0)
-        acc &= (1 << held) - 1
-    if held:
-        byte = (acc << (8 - held) | (1 << (8 - held)) - 1) & 255
-        body.append(byte)
-        if byte == 255:
-            body.append(0)
+    made, body = _entropy(np.stack([f.reshape(-1, 64) for f in coefs], 1).reshape(-1, 64), c)
     part = lambda mark, data: struct.pack(">HH", mark, len(data) + 2) + data
     out = b"\xff\xd8" + part(0xFFE0, b"JFIF\0" + struct.pack(">HBHHBB", 0x0101, 0, 1, 1, 0, 0))
     for i, t in enumerate(q):
@@ -151,7 +149,7 @@ def encode_jpeg(x: np.ndarray, quality: int = 85) -> bytes:
     for t, (counts, symbols, _) in enumerate(made):
         out += part(0xFFC4, bytes([(t & 1) << 4 | t >> 1]) + bytes(counts) + bytes(symbols))
     out += part(0xFFDA, bytes([c]) + b"".join(bytes([k + 1, 0x11 * min(k, 1)]) for k in range(c)) + b"\0\x3f\0")
-    return out + bytes(body) + b"\xff\xd9"
+    return out + body + b"\xff\xd9"
 
 
 def _lookup(counts: bytes, symbols: bytes) -> list[int]:
