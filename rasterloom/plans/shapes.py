@@ -163,10 +163,23 @@ SELECT l_orderkey, CAST(p AS INTEGER) AS place, round(b[p + 1].x, 4) AS x, round
 
 
 def box_correspond(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's boxes, moved by (1, 0.5), matched with the boxes as they are: one match each."""
+    """Each order's boxes, moved by (1, 0.5), matched with the boxes as they are."""
     b = bbox("boxes", many=True)
-    m = sets(spark, sf_dir).select("l_orderkey", F.size("boxes").alias("n"), bbox(b.translate(1.0, 0.5), many=True).correspond(F.col("boxes"), 0.3).alias("m"))
-    return m.select("l_orderkey", F.size(F.expr("filter(m.right_idx, v -> v is not null)")).alias("matched"), F.size(F.expr("array_distinct(filter(m.right_idx, v -> v is not null))")).alias("rights"), F.size("m.overlap").alias("lefts"), F.expr("forall(m.overlap, v -> v = 0 or v >= 0.3)").alias("reached"))
+    m = sets(spark, sf_dir).select("l_orderkey", bbox(b.translate(1.0, 0.5), many=True).correspond(F.col("boxes"), 0.3).alias("m"))
+    marks = F.transform("m.right_idx", lambda v, i: F.when(v.isNull(), 0).otherwise((v + 1) * (i + 1)))
+    return m.select(
+        "l_orderkey", F.size(F.expr("filter(m.right_idx, v -> v is not null)")).cast("bigint").alias("matched"), F.aggregate(marks, F.lit(0), lambda t, v: t + v).cast("bigint").alias("mark"),
+        F.round(F.aggregate("m.overlap", F.lit(0.0), lambda t, v: t + v), 4).alias("overlap"), F.size(F.expr("filter(m.duplicate, v -> v)")).cast("bigint").alias("duplicates"),
+    )
+
+
+#: Each left box in turn takes the first right box of its list that is still free.
+BOX_CORRESPOND_SQL = f"""WITH l AS ({_N}), a AS (SELECT l_orderkey, n, x + 1 AS x, y + 0.5 AS y, w, h FROM l),
+ c AS (SELECT a.l_orderkey, a.n, list(b.n ORDER BY {_iou('a', 'b')} DESC, b.n) FILTER ({_iou('a', 'b')} >= 0.3) AS r, map_from_entries(list(ROW(b.n, {_iou('a', 'b')}))) AS o FROM a JOIN l b USING (l_orderkey) GROUP BY a.l_orderkey, a.n),
+ s AS (SELECT l_orderkey, list(coalesce(r, []::BIGINT[]) ORDER BY n) AS e, list(o ORDER BY n) AS o FROM c GROUP BY l_orderkey),
+ m AS (SELECT l_orderkey, e, o, list_reduce(list_prepend([]::BIGINT[], e), lambda acc, y: list_append(acc, coalesce(list_filter(y, lambda q: NOT list_contains(acc, q))[1], -1))) AS t FROM s)
+SELECT l_orderkey, CAST(len(list_filter(t, lambda v: v > 0)) AS BIGINT) AS matched, CAST(list_sum(list_transform(t, lambda v, i: CASE WHEN v > 0 THEN v * i ELSE 0 END)) AS BIGINT) AS mark,
+ round(list_sum(list_transform(t, lambda v, i: CASE WHEN v > 0 THEN o[i][v] ELSE 0 END)), 4) AS overlap, CAST(len(list_filter(range(1, len(t) + 1), lambda i: t[i] < 0 AND len(e[i]) > 0)) AS BIGINT) AS duplicates FROM m"""
 
 
 def box_contour_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +256,7 @@ ORACLE_SQL = {
     "rasterized_boxes": RASTER_SQL,
     "box_sets": BOX_SETS_SQL,
     "box_nms": BOX_NMS_SQL,
+    "box_correspond": BOX_CORRESPOND_SQL,
     "box_contours": BOX_CONTOUR_SQL,
     "point_sets": POINT_SETS_SQL,
     "mask_scores": MASK_SQL,
