@@ -285,7 +285,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def grouped(col, limit: int = PART, parts_each: int = 8):
+def grouped(col, limit: int = PART, parts_each: int = 16):
     """Lists of up to parts_each parts of a column."""
     group = []
     for part in parts(col, limit):

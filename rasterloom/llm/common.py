@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PART = 1 << 19
+PART = 1 << 18
 U64 = np.uint64
 
 SPACE = np.zeros(256, bool)

@@ -34,7 +34,7 @@ from .common import KEPT, PART, U64, _stream, freed, kept_type, mix64, packed, p
 
 GRAM = 32
 HOT = 10_000  # extents of an anchor, summed over blocks of tasks, from which its group is split
-BLOCK = 1 << 20  # bytes of extents sorted at once
+BLOCK = 1 << 19  # bytes of extents sorted at once
 
 BYTE_CODE = _stream(1, 256)
 BASE = int(_stream(2, 1)[0]) | 1
@@ -432,7 +432,7 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
                 held.append((tid, key, rolling(h, s, e + size), uid, uid2, s - off[doc], (e - s + 1).astype(np.int32), (p - s).astype(np.int32)))
                 n_held += len(s)
                 n_bytes += int((e - s).sum()) + size * len(s)
-                if n_held > 100_000 or n_bytes > 32 << 20:
+                if n_held > 50_000 or n_bytes > 16 << 20:
                     yield from close()
                     held.clear()
                     texts.clear()

@@ -279,6 +279,35 @@ def test_queries_through_their_contract(spark, folder):
     assert all(r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) and r["law"] == "rows" and r["grown_shard"] is None for r in ten)
 
 
+def test_shards_cover_few_cells(spark):
+    """Runs of the curve hold few of the (lang, source) cells, so a filter on both passes most shards by."""
+    rows = [(i, "x" * (2 ** (i % 9)) + f" {i}", f"l{i // 9 % 4}", f"s{i // 36 % 4}") for i in range(1440)]
+    out = shards.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "shard").collect()
+    cells = {}
+    for r in out:
+        cells.setdefault(r.shard, set()).add(rows[r.doc_id][2:])
+    found = sum(map(len, cells.values()))
+    assert len(cells) == 8 and found <= 0.6 * 8 * 16, found
+
+
+def test_learned_rules_decide_on_a_table(spark, folder):
+    d, rows = folder
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    labels = docs.where("doc_id < 160").select("doc_id", (F.size(F.split("text", " ")) < 75).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    rules = quality.fit(docs, labels)
+    assert rules and all(f in quality.FEATURES for r in rules for f, _, _ in r)
+    feature = {
+        "n_words": lambda r: float(r.n_words), "mean_word": lambda r: r.word_chars / max(r.n_words, 1), "symbol_share": lambda r: r.n_symbols / max(r.word_chars, 1),
+        "dup_lines": lambda r: r.n_dup_lines / max(r.n_words, 1), "repeat_share": lambda r: r.n_repeat_words / max(r.n_words, 1),
+    }
+    verdicts = Counter()
+    for r in quality.quality_rules(docs, labels).collect():
+        bad = any(all(feature[f](r) >= t if up else feature[f](r) <= t for f, up, t in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not bad)
+        verdicts[r.kept, r.base_failed] += 1
+    assert verdicts[True, False] and verdicts[False, False]
+
+
 def test_very_long_texts(spark):
     """Texts of several parts: statistics, shingles, repeats, tokens and counts are those of the whole text."""
     import tokenizers
