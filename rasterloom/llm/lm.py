@@ -290,9 +290,9 @@ def by_order(pairs: DataFrame) -> DataFrame:
 
 
 def table_bits(counts: DataFrame) -> dict[int, int]:
-    """Slots for each order, as powers of two: four for each (context, byte) met, up to LARGEST_BITS."""
+    """Slots for each order, as powers of two: sixteen for each (context, byte) met, which has eight bits, up to LARGEST_BITS."""
     met = {r["kind"]: r["v"] for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("v")).collect()}
-    return {k: top if k == 1 else int(np.clip(np.ceil(np.log2(4 * met.get(k, 0) + 1)), 10, top)) for k, top in LARGEST_BITS.items()}
+    return {k: top if k == 1 else int(np.clip(np.ceil(np.log2(16 * met.get(k, 0) + 1)), 10, top)) for k, top in LARGEST_BITS.items()}
 
 
 def bit_tables(counts: DataFrame, bits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
