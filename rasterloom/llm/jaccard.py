@@ -4,9 +4,13 @@ Shingles are hashed into groups, a document is the point of its group counts, an
 two points bound the overlap of their sets from above. An R-tree of such points (nodes keep coordinate maxima and
 size ranges) yields the pairs that the bound lets through; each is verified on the sets.
 
-How it is spread out: equal sets are one class, named by a hash of the set. Two sets that overlap enough share one
-of the first n - ceil(t n) + 1 shingles of each in one common order; the order puts shingles that are frequent (by
-a table of fixed size) last. Classes that share such a shingle are connected into clusters by sorted runs and a
+How it is spread out: equal sets are one class, named by a hash of the set. Sets that link differ in d shingles at
+most, d by their sizes; a set is cut into m > d buckets by hash, and at most d of them differ, so the two share one of
+the first d + 1 buckets of each in one common order. Long texts have many shingles in common by chance, but hardly a
+bucket of several, so they do not run together as the corpus grows. The order puts buckets of frequent shingles (by a
+table of fixed size) last and those of many shingles first; m is one for all sizes from a power of two to the next, and
+larger sets that reach down there are cut that way too. Below 70 % a bucket is one shingle, of the first n - ceil(t n) +
+1. Classes that share a bucket are connected into clusters by sorted runs and a
 distributed component search. Inside clusters the R-tree first works on the group counts alone, which splits
 clusters that share little; the sets travel only for what it leaves, where pairs are verified. Large clusters are
 dealt in pairs of blocks, bounded by members and by bytes, so no task holds more than two blocks.
@@ -32,7 +36,7 @@ from .graph import local_roots, star_components
 LEVEL_BITS = 22  # slots of the frequency table
 CLASS_BITS = 23  # bits of the table of classes that have a cluster
 DF_BLOCK = 2_000_000  # shingles a task counts at once
-PAIRS = 64  # the longest run of one shingle whose pairs are looked at one by one
+PAIRS = 64  # the longest run of one token whose pairs are looked at one by one
 WIDTH = 256  # groups of the points that go ahead of the sets
 BLOCK = 2048  # members of a cluster that a task takes at once, twice
 BLOCK_BYTES = 32 << 20  # and their sets' bytes
@@ -64,6 +68,41 @@ def class_names(s: np.ndarray) -> tuple[int, int]:
     return int(two[0]), int(two[1])
 
 
+def _most_apart(a: int, b: int, num: int, den: int) -> int:
+    """Shingles that stand in one of two sets only, at most, if the sets are of sizes a and b and link."""
+    return (a + b) * (den - num) // (den + num)
+
+
+def bucket_tokens(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Tokens of the sorted set s (level: how frequent its shingles are): two sets that link have one in common."""
+    n = len(s)
+    if 10 * num < 7 * den:
+        t = np.sort((level.astype(U64) << U64(58)) | (s >> U64(6)))
+        return t[: n - -(-num * n // den) + 1]
+    out = []
+    own = n.bit_length()
+    # the smaller one's size says in which class two sets meet: sizes below 1 << c, of c bits
+    for c in range(own, 0, -1):
+        top = (1 << c) - 1
+        if num * n > den * top:
+            break
+        m = _most_apart(top, den * top // num, num, den)
+        m = max(m + 1, -(-6 * m // 5))
+        take = _most_apart(n, den * n // num if c == own else top, num, den) + 1
+        g = ((s >> U64(32)) * U64(m)) >> U64(32)  # ascends with s
+        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        size = np.diff(np.append(at, n))
+        salt = mix64(np.asarray([c << 40], U64))
+        name = mix64(np.add.reduceat(mix64(s ^ salt), at) + mix64(g[at] + salt))
+        t = (np.minimum.reduceat(level, at).astype(U64) << U64(58)) | ((63 - np.minimum(size, 63)).astype(U64) << U64(52)) | (name >> U64(12))
+        if take > len(at):  # empty buckets come last
+            empty = np.ones(m, bool)
+            empty[g[at].astype(np.int64)] = False
+            t = np.concatenate((t, (U64(63) << U64(58)) | (mix64(np.flatnonzero(empty).astype(U64) + salt) >> U64(6))))
+        out.append(np.sort(t)[:take])
+    return np.concatenate(out)
+
+
 class RTree:
     """Points are rows of group counts; a query yields the points whose bound reaches what the threshold needs."""
 
@@ -214,37 +253,33 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                     if not len(s) or (r := class_id(s, doubtful)) in seen:
                         continue
                     seen.add(r)
-                    lv = table[(s & U64((1 << LEVEL_BITS) - 1)).astype(np.int64)].astype(U64)
-                    t = np.sort((lv << U64(58)) | (s >> U64(6)))
-                    t = t[: len(s) - -(-num * len(s) // den) + 1]
+                    t = bucket_tokens(s, table[(s & U64((1 << LEVEL_BITS) - 1)).astype(np.int64)], num, den)
                     tok.append(t)
                     rid.append(r)
                     size.append(len(s))
                     count.append(len(t))
                 if tok:
-                    place = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
-                    yield pa.RecordBatch.from_arrays([ints(np.concatenate(tok)), pa.array(np.repeat(np.asarray(rid, np.int64), count)), pa.array(np.repeat(np.asarray(size, np.int32), count)), pa.array(place)], names=["tok", "rid", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([ints(np.concatenate(tok)), pa.array(np.repeat(np.asarray(rid, np.int64), count)), pa.array(np.repeat(np.asarray(size, np.int32), count))], names=["tok", "rid", "n"])
 
     def runs(batches):
-        """Classes that may link for a shingle of this partition, as edges to the smallest one they reach in a batch.
+        """Classes that may link for a token of this partition, as edges to the smallest one they reach in a batch.
 
-        Rows come by shingle and size. At the first shingle that two sets share, what each has from there on must
-        reach the overlap needed. Runs longer than PAIRS are chained by size instead, which connects at least as
+        Rows come by token and size. Runs longer than PAIRS are chained by size, which connects at least as
         much; of a run that goes on in the next batch the last PAIRS rows are kept.
         """
         kept, so_far = None, 0  # the rows of the last run, and how many it had before them
         for batch in batches:
-            tok, rid, n, at = (batch.column(i).to_numpy() for i in range(4))
+            tok, rid, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(tok):
                 continue
             old = 0
             if kept is not None:
                 if kept[0][0] == tok[0]:
                     old = len(kept[0])
-                    tok, rid, n, at = (np.concatenate(x) for x in zip(kept, (tok, rid, n, at), strict=True))
+                    tok, rid, n = (np.concatenate(x) for x in zip(kept, (tok, rid, n), strict=True))
                 else:
                     so_far = 0
-            n, at = n.astype(np.int64), at.astype(np.int64)
+            n = n.astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
             length = np.diff(np.append(first, len(tok)))
             whole = length.copy()
@@ -257,8 +292,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 if d > 1:
                     i = i[~long[i]]
                 x, y = n[i], n[i + d]
-                enough = np.minimum(x - at[i], y - at[i + d]) >= -(-num * (x + y) // (num + den))
-                fit = (den * x >= num * y) & (enough | long[i]) & (rid[i] != rid[i + d])
+                fit = (den * x >= num * y) & (rid[i] != rid[i + d])
                 u.append(rid[i[fit]])
                 v.append(rid[i[fit] + d])
             if u and len(np.concatenate(u)):
@@ -271,9 +305,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 yield pa.RecordBatch.from_arrays([pa.array(rid[: old - 1][fit]), pa.array(rid[1:old][fit])], names=["u", "v"])
             tail = max(int(first[-1]), len(tok) - PAIRS)
             so_far = (so_far if len(first) == 1 else 0) + tail - int(first[-1])
-            kept = tok[tail:].copy(), rid[tail:].copy(), n[tail:].copy(), at[tail:].copy()
+            kept = tok[tail:].copy(), rid[tail:].copy(), n[tail:].copy()
 
-    tokens = base.mapInArrow(freed(prefixes), "tok bigint, rid bigint, n int, at int").repartition(tasks(spark), "tok").sortWithinPartitions("tok", "n", "rid")
+    tokens = base.mapInArrow(freed(prefixes), "tok bigint, rid bigint, n int").repartition(tasks(spark), "tok").sortWithinPartitions("tok", "n", "rid")
     clusters = stage_table(star_components(tokens.mapInArrow(freed(runs), "u bigint, v bigint")), "clusters")
 
     def members(bits, vectors: bool):

@@ -339,3 +339,38 @@ def test_model_probabilities_sum_to_one(spark):
     for ctx in (0, 0x61626364, 0x20, 0xFFFFFFFF):
         logs = model.bytes_cost((np.uint64(ctx) << np.uint64(8)) | np.arange(256, dtype=np.uint64))
         assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_long_texts_that_share_shingles_by_chance_do_not_run_together(spark, monkeypatch):
+    """Each text shares a twentieth of its shingles with others, and none is near another but one pair."""
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(300)]
+    texts = []
+    for t in range(60):
+        pieces = [" ".join(f"t{t}w{i}n{j}" for j in range(40)) for i in range(30)]
+        for p in rng.choice(300, 30, replace=False):
+            pieces.insert(int(rng.integers(0, len(pieces) + 1)), pool[p])
+        texts.append(" ".join(pieces))
+    texts.append(texts[7] + " and a little more of it")
+    met, table = {}, jaccard.stage_table
+    monkeypatch.setattr(jaccard, "stage_table", lambda df, name: met.setdefault(name, table(df, name)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == {i: 7 if i == 60 else i for i in range(61)}
+    assert met["clusters"].count() == 2
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (1, 1), (7, 10), (1, 2)])
+def test_bucket_tokens_lose_no_link(num, den):
+    rng = np.random.default_rng(num)
+    linked = 0
+    for turn in range(1500):
+        n = int(rng.integers(1, 12 if turn % 2 else 300))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        apart = max(1, n * (den - num) // den) + 1
+        b = np.union1d(a[rng.permutation(len(a))[: max(1, len(a) - int(rng.integers(0, apart)))]], rng.integers(0, 2**63, int(rng.integers(0, apart)), dtype=np.uint64))
+        both = len(np.intersect1d(a, b))
+        if den * both >= num * (len(a) + len(b) - both):
+            linked += 1
+            x, y = (jaccard.bucket_tokens(s, (s % np.uint64(7)).astype(np.uint8), num, den) for s in (a, b))
+            assert len(np.intersect1d(x, y))
+    assert linked > 300
