@@ -13,7 +13,8 @@ mark both windows.
 
 An anchor with more than HOT extents is split by the bytes around it: the windows that have it in their later half
 share the bytes before it, the others those after it, so each half goes by its own, longer common string, and again
-by halves where that is hot too, down to single windows. Before each count equal extents are merged on salted keys.
+by halves where that is hot too, down to single windows. Before each count equal extents are merged on salted keys;
+the first time beside the groups that are sorted at once, so that only extents of hot anchors are written and read again.
 So no task holds more than HOT extents of a group, and all of them go through the suffix sort. Hashes only choose
 anchors and lay rows side by side; what is equal is decided on bytes.
 
@@ -98,9 +99,9 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int):
     return h, doc[cut], start[cut], start[last], place[cut], gram[place[cut]]
 
 
-def two_stage_sort(text: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_sort(text: np.ndarray, bounds: np.ndarray, depth: int, real: np.ndarray | None = None) -> np.ndarray:
     """Positions of text (bytes 1..255; strings text[bounds[i]:bounds[i+1]], each with an end below every byte) in the
-    order of their suffixes to `depth` bytes."""
+    order of their suffixes to `depth` bytes; with `real` those positions, and others where they are induced from."""
     n = len(text)
     follow = np.zeros(n, np.uint8)
     follow[:-1] = text[1:]
@@ -109,15 +110,23 @@ def two_stage_sort(text: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarr
     differs = follow != text
     nearest = np.minimum.accumulate(np.where(differs, np.arange(n), n - 1)[::-1])[::-1]
     small = follow[nearest] > text
-    pos = np.flatnonzero(small)
-    sorted_small = pos[_direct_order(text, bounds, pos, depth)]
     first = np.zeros(n, bool)
-    first[bounds[:-1]] = True
+    first[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+    used = np.ones(n, bool)
+    if real is not None:  # a suffix is induced from the next ones of its string, up to a smaller one
+        begin = first.copy()
+        begin[1:] |= small[:-1]
+        met = np.cumsum(real)
+        at = np.flatnonzero(begin)
+        used = met > np.repeat(met[at] - real[at], np.diff(np.append(at, n)))
+    pos = np.flatnonzero(small & used)
+    sorted_small = pos[_direct_order(text, bounds, pos, depth)]
     begin = np.searchsorted(text[sorted_small], np.arange(257))  # sorted, so first bytes ascend
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     # a string's last position is followed by its end only: the smallest in its bucket, induced from the end
     tails = bounds[1:] - 1
     tails = tails[bounds[1:] > bounds[:-1]]
+    tails = tails[used[tails]]
     out: list[np.ndarray] = []
 
     def induce(batch: np.ndarray, c: int) -> list[np.ndarray]:
@@ -153,6 +162,17 @@ def two_stage_sort(text: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _same_as_last(text: np.ndarray, p: np.ndarray, size: int) -> np.ndarray:
+    """Whether the `size` bytes from each place in p are those from the place before it in p; never the first."""
+    same = np.zeros(len(p), bool)
+    windows = np.lib.stride_tricks.sliding_window_view(text, size)
+    for a in range(0, len(p) - 1, 5_000):
+        w = windows[p[a : a + 5_001]]
+        w = w.view(np.uint64) if size % 8 == 0 else w
+        same[a + 1 : a + len(w)] = (w[1:] == w[:-1]).all(1)
+    return same
+
+
 def _direct_order(text: np.ndarray, bounds: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes at pos by their first `depth` bytes: eight bytes at a time, and of groups that still tie
     only those whose next bytes differ are sorted."""
@@ -205,15 +225,10 @@ def repeated_windows(text: np.ndarray, bounds: np.ndarray, real: np.ndarray, siz
     """Mask of the positions of text (bytes 1..255) whose window of `size` bytes stands elsewhere too; only windows at
     `real` positions count."""
     hit = np.zeros(len(text), bool)
-    order = two_stage_sort(text, bounds, size)
+    order = two_stage_sort(text, bounds, size, real)
     order = order[real[order]]
-    for a in range(0, max(0, len(order) - 1), 20_000):
-        p = order[a : a + 20_001]
-        w = np.lib.stride_tricks.sliding_window_view(text, size)[p]
-        differ = w[1:] != w[:-1]
-        common = np.where(differ.any(1), differ.argmax(1), size)  # adjacent common prefixes
-        twin = np.flatnonzero(common >= size)
-        hit[p[twin]] = hit[p[twin + 1]] = True
+    twin = np.flatnonzero(_same_as_last(text, order, size)) if len(order) else order  # adjacent common prefixes
+    hit[order[twin]] = hit[order[twin - 1]] = True
     # windows of one byte alone may lie apart, before and after the others of their bucket
     change = np.concatenate(([True], text[1:] != text[:-1]))
     change[bounds[:-1]] = True
@@ -309,18 +324,22 @@ def _groups(batches, ready):
 def _merge(batches):
     """Rows by (key, ext): of extents met twice or more all rows are finished, and one goes on for them."""
     for open_, t in _groups(batches, lambda b: b):
-        if not open_:
+        if open_:
+            yield from _merged(t)
+        else:
             yield t
-            continue
-        data, off = _bytes_of(t["text"].chunk(0))
-        fresh = ~_equal_to_last(t, data, off)
-        sid = np.cumsum(fresh) - 1
-        total = np.bincount(sid, t["times"].to_numpy())
-        many = total[sid] > 1
-        if many.any():
-            yield _finished(*(t[c].to_numpy()[many] for c in ("uid", "uid2", "start", "n")))
-        t = t.filter(pa.array(fresh))
-        yield from t.set_column(NAMES.index("times"), "times", pa.array(np.minimum(total, 2).astype(np.int32))).to_batches()
+
+
+def _merged(t: pa.Table):
+    data, off = _bytes_of(t["text"].chunk(0))
+    fresh = ~_equal_to_last(t, data, off)
+    sid = np.cumsum(fresh) - 1
+    total = np.bincount(sid, t["times"].to_numpy())
+    many = total[sid] > 1
+    if many.any():
+        yield _finished(*(t[c].to_numpy()[many] for c in ("uid", "uid2", "start", "n")))
+    t = t.filter(pa.array(fresh))
+    yield from t.set_column(NAMES.index("times"), "times", pa.array(np.minimum(total, 2).astype(np.int32))).to_batches()
 
 
 def _halves(size: int):
@@ -345,22 +364,22 @@ def _halves(size: int):
     return run
 
 
-def _split_hot(rows: DataFrame, size: int) -> DataFrame:
-    """Extents of hot anchors as extents of groups of at most HOT, and finished marks."""
-    spark = rows.sparkSession
+def _split_hot(live: DataFrame, size: int) -> DataFrame:
+    """Merged extents of hot anchors as extents of groups of at most HOT, and finished marks."""
+    spark = live.sparkSession
     done: list[DataFrame] = []
     while True:
-        salt = F.pmod(F.xxhash64("uid", "uid2", "start"), F.lit(tasks(spark)))
-        laid = rows.where("times > 0").repartition(tasks(spark), F.col("key"), salt).sortWithinPartitions("key", "ext")
-        merged = stage_table(laid.mapInArrow(freed(_merge), EXTENT), "extents-merged")
-        done.append(merged.where("times = 0"))
-        live = merged.where("times > 0")
         hot = live.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("hi") - F.col("lo")).alias("w")).where((F.col("c") > HOT) & (F.col("w") > 0))
         hot = stage_table(hot.select(F.col("key").alias("hk")), "extents-hot")
         done.append(live.join(hot, F.col("key") == F.col("hk"), "left_anti"))
         if not hot.head(1):
             break
         rows = live.join(hot, F.col("key") == F.col("hk"), "left_semi").mapInArrow(freed(_halves(size)), EXTENT)
+        salt = F.pmod(F.xxhash64("uid", "uid2", "start"), F.lit(tasks(spark)))
+        laid = rows.repartition(tasks(spark), F.col("key"), salt).sortWithinPartitions("key", "ext")
+        merged = stage_table(laid.mapInArrow(freed(_merge), EXTENT), "extents-merged")
+        done.append(merged.where("times = 0"))
+        live = merged.where("times > 0")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -401,6 +420,7 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
     shared_bits, hot_bits = (int(np.clip(np.ceil(np.log2(16 * n + 1)), 16, 28)) for n in (n_shared, n_hot))  # 32 MB at most
     shared = spark.sparkContext.broadcast(_bitmap(keys, shared_bits))
     hot = spark.sparkContext.broadcast(_bitmap(keys.where(F.col("d") > HOT), hot_bits))
+    n_tasks = tasks(spark)
 
     def extents(batches):
         """Extents of shared anchors; what repeats within a block of a task is marked at once and sent on a single time."""
@@ -419,6 +439,15 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
             ranges = [pa.array(np.full(len(at), x, np.int32)) for x in (0, size - GRAM)]
             yield pa.RecordBatch.from_arrays([_signed(key[at]), _signed(ext[at]), _signed(uid[at]), _signed(uid2[at]), _signed(start[at]), pa.array(n[at]), pa.array(rel[at]), *ranges, pa.array(np.minimum(times, 2).astype(np.int32)), pa.array(list(texts), pa.binary())], names=NAMES)
 
+        def salted(out):
+            """Rows of hot anchors are dealt by their place too; finished marks stay where they are."""
+            if not n_hot:
+                return out
+            key, uid, start, times = (out.column(NAMES.index(c)).to_numpy() for c in ("key", "uid", "start", "times"))
+            place = (mix64(uid.view(U64) + start.view(U64)) % U64(n_tasks)).astype(np.int32) + np.int32(1)
+            many = _has(hot.value, hot_bits, key.view(U64)) & (times > 0)
+            return out.append_column("salt", pa.array(np.where(many, place, np.int32(0))))
+
         for batch in batches:
             for a, b, data, off in parts(batch.column(2)):
                 h, doc, s, e, p, key = anchors(data, off, size)
@@ -433,12 +462,12 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
                 n_held += len(s)
                 n_bytes += int((e - s).sum()) + size * len(s)
                 if n_held > 50_000 or n_bytes > 16 << 20:
-                    yield from close()
+                    yield from map(salted, close())
                     held.clear()
                     texts.clear()
                     n_held = n_bytes = 0
         if n_held:
-            yield from close()
+            yield from map(salted, close())
 
     def marks(batches):
         """Rows of one key follow each other, and of one extent: covered bytes of every row."""
@@ -482,18 +511,31 @@ def repeat_marks(base: DataFrame, size: int) -> DataFrame:
         start = t["start"].to_numpy()[row]
         return pa.RecordBatch.from_arrays([pa.array(t["uid"].to_numpy()[row]), pa.array(t["uid2"].to_numpy()[row]), pa.array(start + a), pa.array(start + b - 1 + size)], names=["uid", "uid2", "a", "b"])
 
-    laid = base.mapInArrow(freed(extents), EXTENT)
-    if n_hot:
-        laid = stage_table(laid, "extents")
-
-        def flagged(batches):
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_has(hot.value, hot_bits, batch.column(0).to_numpy().view(U64)) & (batch.column(NAMES.index("times")).to_numpy() > 0))], names=[*NAMES, "hot"])
-
-        every = laid.mapInArrow(flagged, EXTENT + ", hot boolean")
-        laid = every.where("not hot").drop("hot").unionByName(_split_hot(every.where("hot").drop("hot"), size))
-    laid = laid.repartition(tasks(spark), "key").sortWithinPartitions("key", "ext")
-    return laid.mapInArrow(freed(marks), MARK)
+    def first_marks(batches):
+        """Marks of the anchors that are not hot, as finished rows, and merged extents of those that are."""
+        for open_, t in _groups(batches, lambda b: b.select(NAMES)):
+            if not open_:
+                yield t
+                continue
+            salted = t["salt"].to_numpy() > 0
+            t = t.select(NAMES)
+            if salted.any():
+                yield from _merged(t.filter(pa.array(salted)).combine_chunks())
+                t = t.filter(pa.array(~salted)).combine_chunks()
+            if t.num_rows:
+                uid, uid2, a, b = (c.to_numpy() for c in close(t).columns)
+                yield _finished(uid, uid2, a, b - a - size + 1)
+
+    def dealt(rows, *by):
+        return rows.repartition(n_tasks, *by).sortWithinPartitions("key", "ext")
+
+    if not n_hot:
+        return dealt(base.mapInArrow(freed(extents), EXTENT), "key").mapInArrow(freed(marks), MARK)
+    laid = dealt(base.mapInArrow(freed(extents), EXTENT + ", salt int"), "key", "salt")
+    most = stage_table(laid.mapInArrow(freed(first_marks), EXTENT), "extents-marked")
+    split = dealt(_split_hot(most.where("times > 0"), size), "key").mapInArrow(freed(marks), MARK)
+    ended = F.col("start") + F.col("n") - 1 + size
+    return most.where("times = 0").select("uid", "uid2", F.col("start").alias("a"), ended.alias("b")).unionByName(split)
 
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -374,3 +374,32 @@ def test_bucket_tokens_lose_no_link(num, den):
             x, y = (jaccard.bucket_tokens(s, (s % np.uint64(7)).astype(np.uint8), num, den) for s in (a, b))
             assert len(np.intersect1d(x, y))
     assert linked > 300
+
+
+def test_two_stage_sort_sorts_the_suffixes_that_count():
+    rng = np.random.default_rng(11)
+    strings = [rng.integers(97, 100, int(rng.integers(1, 300))).astype(np.uint8).tobytes() for _ in range(40)] + [b"", b"cba" * 80]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    real = rng.random(len(text)) < 0.05
+    order = suffix.two_stage_sort(text, bounds, 64, real)
+    tail = lambda p: bytes(text[p : bounds[np.searchsorted(bounds, p, "right")]])[:64]
+    assert set(np.flatnonzero(real).tolist()) <= set(order.tolist()) and len(set(order.tolist())) == len(order) < len(text) / 2
+    assert [tail(p) for p in order] == sorted(map(tail, order))
+
+
+def test_hot_anchors_leave_other_extents_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 20)
+    met, table = [], suffix.stage_table
+
+    def written(df, name):
+        out = table(df, name)
+        met.extend([name] * out.where("text is not null").count() if "times" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(suffix, "stage_table", written)
+    hot, some = noise(260), [noise(300) for _ in range(60)]
+    texts = {i: noise(30) + some[i % 60] + noise(40) for i in range(180)} | {200 + i: noise(50) + hot + noise(50) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_removed for r in suffix.remove_repeats(df).collect()} == brute_removed(texts, 200)
+    assert met and met.count(met[0]) < 150  # extents of the hot passage alone; those of the others are several hundred
