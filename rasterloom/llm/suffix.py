@@ -310,17 +310,28 @@ def _groups(batches, ready):
             held += batch.column(NAMES.index("text")).nbytes
         if held > BLOCK:
             t = pa.Table.from_batches(pending).combine_chunks()
-            key = t["key"].to_numpy()
-            cut = np.flatnonzero(key[1:] != key[:-1])
-            if len(cut):
-                yield True, t.slice(0, int(cut[-1]) + 1)
-                t = t.slice(int(cut[-1]) + 1)
+            for a, b in (cuts := _cuts(t)):
+                yield True, t.slice(a, b - a)
+            t = t.slice(cuts[-1][1] if cuts else 0)
             pending = t.to_batches()
             held = sum(x.column(NAMES.index("text")).nbytes for x in pending)
     if pending:
         yield True, pa.Table.from_batches(pending).combine_chunks()
 
 
+def _cuts(t: pa.Table) -> list[tuple[int, int]]:
+    """First and end row of runs of whole keys with BLOCK bytes of extents or more, a batch being many times that; what
+    may go on is left out."""
+    key = t["key"].to_numpy()
+    _, off = _bytes_of(t["text"].chunk(0))
+    ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+    out, a = [], 0
+    while (i := int(np.searchsorted(off[ends], off[a] + BLOCK))) < len(ends):
+        out.append((a, int(ends[i])))
+        a = out[-1][1]
+    return out
+
+
 def _merge(batches):
     """Rows by (key, ext): of extents met twice or more all rows are finished, and one goes on for them."""
     for open_, t in _groups(batches, lambda b: b):

@@ -403,3 +403,17 @@ def test_hot_anchors_leave_other_extents_where_they_are(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.n_removed for r in suffix.remove_repeats(df).collect()} == brute_removed(texts, 200)
     assert met and met.count(met[0]) < 150  # extents of the hot passage alone; those of the others are several hundred
+
+
+def test_groups_of_extents_stay_near_their_block():
+    import pyarrow as pa
+
+    key, n = np.repeat(np.arange(4000), 5), 20_000
+    text = pa.array([bytes(260)] * n, pa.binary())
+    ones = lambda kind: pa.array(np.ones(n), kind)
+    cols = {c: ones(pa.int64() if c in ("ext", "uid", "uid2", "start") else pa.int32()) for c in suffix.NAMES} | {"key": pa.array(key), "text": text}
+    batch = pa.RecordBatch.from_arrays([cols[c] for c in suffix.NAMES], names=suffix.NAMES)
+    seen = [t for whole, t in suffix._groups([batch.slice(0, 9_998), batch.slice(9_998)], lambda b: b) if whole]
+    assert np.array_equal(np.concatenate([t["key"].to_numpy() for t in seen]), key)
+    assert all(a["key"][-1] != b["key"][0] for a, b in zip(seen, seen[1:], strict=False))
+    assert max(t.num_rows * 260 for t in seen) < suffix.BLOCK + 10 * 260
