@@ -122,3 +122,17 @@ def test_mix_of_null_and_repeated_ids(spark):
     size = {t: len(words(t)) for t in texts}
     assert sum(n * size[t] for t, n in times.items()) == pytest.approx(1.5 * sum(size.values()), abs=2 * max(size.values()))
     assert times == Counter(r.text for r in mix(spark, docs.orderBy("text").coalesce(1), "").collect())
+
+
+def test_near_copies_of_long_texts_meet_only_each_other(spark, monkeypatch):
+    from rasterloom.llm import jaccard, stages
+
+    words = lambda t, a, b: " ".join(f"t{t}w{i}" for i in range(a, b))
+    some = [" ".join(f"p{i}x{j}" for j in range(6)) for i in range(200)]  # each in a few texts only
+    texts = [" ".join(f"{words(t, 40 * i, 40 * i + 40)} {some[(t * 37 + i * i * 11) % 200]}" for i in range(30)) for t in range(40)]
+    texts.append(texts[3] + " and more")
+    met, table = {}, jaccard.stage_table
+    monkeypatch.setattr(jaccard, "stage_table", lambda df, name: met.setdefault(name, table(df, name)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
+    assert sorted(r.doc_id for r in stages.drop_near_copies(spark, docs, "").collect()) == list(range(40))
+    assert met["clusters"].count() == 2
