@@ -10,9 +10,10 @@ the first d + 1 buckets of each in one common order. Long texts have many shingl
 bucket of several, so they do not run together as the corpus grows. The order puts buckets of frequent shingles (by a
 table of fixed size) last and those of many shingles first; m is one for all sizes from a power of two to the next, and
 larger sets that reach down there are cut that way too. Below 70 % a bucket is one shingle, of the first n - ceil(t n) +
-1. Classes that share a bucket are connected into clusters by sorted runs and a
-distributed component search. Inside clusters the R-tree first works on the group counts alone, which splits
-clusters that share little; the sets travel only for what it leaves, where pairs are verified. Large clusters are
+1. Tokens travel packed, a range of them in one row, and are sorted in arrays. Classes that share
+a bucket are connected into clusters by sorted runs and a distributed component search. Inside clusters the R-tree first works on the group counts alone, which splits
+clusters that share little; the sets travel only for what it leaves, where pairs are verified. Only texts whose hash is
+that of a class with a cluster are cut into shingles for it. Large clusters are
 dealt in pairs of blocks, bounded by members and by bytes, so no task holds more than two blocks.
 
 Shingles are compared by 64-bit hashes (a pair of sets of n and m shingles gains a wrong common one with a
@@ -30,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, freed, join_hot, mix64, parts, read, shingle_hashes, stage_table, tasks, word_hashes
+from .common import LOWER, U64, freed, join_hot, mix64, parts, piece_hashes, read, shingle_hashes, stage_table, tasks, word_bounds
 from .graph import local_roots, star_components
 
 LEVEL_BITS = 22  # slots of the frequency table
-CLASS_BITS = 23  # bits of the table of classes that have a cluster
+CLASS_BITS = 23  # bits of the table of texts that stand for the classes that have a cluster
 DF_BLOCK = 2_000_000  # shingles a task counts at once
+RANGE = 1 << 20  # shingles of classes for each range of tokens, at most
+RANGES = 16  # ranges a task, at least
+PACK = 1 << 21  # tokens that are packed at once
+HELD = 1 << 22  # tokens of one range that are held before runs are cut down
 PAIRS = 64  # the longest run of one token whose pairs are looked at one by one
 WIDTH = 256  # groups of the points that go ahead of the sets
 BLOCK = 2048  # members of a cluster that a task takes at once, twice
@@ -44,7 +49,9 @@ BLOCK_BYTES = 32 << 20  # and their sets' bytes
 
 def doc_sets(data: np.ndarray, off: np.ndarray, k: int):
     """The sorted distinct shingle hashes of each text of a part."""
-    words, woff = word_hashes(LOWER[data], off)
+    data = LOWER[data]
+    start, end, woff = word_bounds(data, off)
+    words = piece_hashes(data, start, end)
     sh, soff = shingle_hashes(words, woff, k)
     for i in range(len(off) - 1):
         s = np.sort(sh[soff[i] : soff[i + 1]])
@@ -63,9 +70,23 @@ def class_id(s: np.ndarray, doubtful: frozenset = frozenset()) -> int:
 
 def class_names(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit names of a set."""
-    a, b = mix64(s).sum(dtype=U64), mix64(s ^ U64(0x6A09E667F3BCC909)).sum(dtype=U64)
-    two = mix64(mix64(np.asarray([a, b]) * U64(0x9E3779B97F4A7C15) + U64(len(s))) ^ np.asarray([b, a])).view(np.int64)
-    return int(two[0]), int(two[1])
+    m = mix64(s)
+    x = (m ^ (m >> U64(32))) * U64(0x6A09E667F3BCC909)
+    a, b = m.sum(dtype=U64), (x ^ (x >> U64(29))).sum(dtype=U64)
+    a, b = int(a), int(b)
+    mixed = lambda x, y: _mix(_mix((x * 0x9E3779B97F4A7C15 + len(s)) & _ALL) ^ y)
+    one, two = mixed(a, b), mixed(b, a)
+    return one - ((one >> 63) << 64), two - ((two >> 63) << 64)
+
+
+_ALL = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """mix64 of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
 
 
 def _most_apart(a: int, b: int, num: int, den: int) -> int:
@@ -73,6 +94,9 @@ def _most_apart(a: int, b: int, num: int, den: int) -> int:
     return (a + b) * (den - num) // (den + num)
 
 
+SALTS = mix64(np.arange(64, dtype=U64) << U64(40))
+
+
 def bucket_tokens(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
     """Tokens of the sorted set s (level: how frequent its shingles are): two sets that link have one in common."""
     n = len(s)
@@ -92,8 +116,8 @@ def bucket_tokens(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.nd
         g = ((s >> U64(32)) * U64(m)) >> U64(32)  # ascends with s
         at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         size = np.diff(np.append(at, n))
-        salt = mix64(np.asarray([c << 40], U64))
-        name = mix64(np.add.reduceat(mix64(s ^ salt), at) + mix64(g[at] + salt))
+        salt = SALTS[c : c + 1]
+        name = mix64(np.add.reduceat(s, at) + salt)  # the shingles are hashes, and say which bucket it is
         t = (np.minimum.reduceat(level, at).astype(U64) << U64(58)) | ((63 - np.minimum(size, 63)).astype(U64) << U64(52)) | (name >> U64(12))
         if take > len(at):  # empty buckets come last
             empty = np.ones(m, bool)
@@ -103,6 +127,54 @@ def bucket_tokens(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.nd
     return np.concatenate(out)
 
 
+def packed(tok: np.ndarray, rid: np.ndarray, n: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row for each range of tokens (by their low bits, which are a hash's): range, number, and tokens, classes and
+    sizes one after the other."""
+    at = ((tok & U64(0xFFFFFFFF)) * U64(ranges)) >> U64(32)
+    order = np.argsort(at.astype(np.uint16 if ranges < 1 << 16 else np.uint32), kind="stable")
+    at, tok, rid = at[order], tok[order], rid[order]
+    n = n[order].astype(np.uint16 if int(n.max()) < 1 << 16 else np.uint32)
+    cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    ends = np.append(cut[1:], len(at))
+    body = [tok[a:b].tobytes() + rid[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array((ends - cut).astype(np.int32)), pa.array(body, pa.binary())], names=["range", "count", "body"])
+
+
+def unpacked(count: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, classes and sizes of a packed row."""
+    wide = np.uint16 if len(body) == 18 * count else np.uint32
+    return np.frombuffer(body, U64, count), np.frombuffer(body, np.int64, count, 8 * count), np.frombuffer(body, wide, count, 16 * count).astype(np.int64)
+
+
+def meetings(tok: np.ndarray, rid: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of classes (u, v) of one token whose sizes allow a link, and the rows that rows to come may still need.
+
+    Runs of one token longer than PAIRS are chained by size, which connects at least as much; of those one row for each
+    size is enough to go on with.
+    """
+    order = np.argsort(tok)
+    t = tok[order]
+    same = t[1:] == t[:-1]
+    met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    alone, order = order[~met], order[met]
+    order = order[np.lexsort((rid[order], n[order], tok[order]))]
+    t, r, z = tok[order], rid[order], n[order]
+    fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (r[1:] != r[:-1])))[: len(t)]
+    order, t, r, z = order[fresh], t[fresh], r[fresh], z[fresh]
+    length = np.diff(np.append(np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))[: len(t)]), len(t)))
+    long = np.repeat(length > PAIRS, length)
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(PAIRS, int(length.max(initial=1)) - 1) + 1):
+        i = np.flatnonzero(t[d:] == t[:-d])
+        if d > 1:
+            i = i[~long[i]]
+        i = i[(den * z[i] >= num * z[i + d]) & (r[i] != r[i + d])]
+        u.append(r[i])
+        v.append(r[i + d])
+    again = np.concatenate(([False], (t[1:] == t[:-1]) & (z[1:] == z[:-1])))[: len(t)] & long
+    return np.concatenate(u), np.concatenate(v), np.concatenate((alone, order[~again]))
+
+
 class RTree:
     """Points are rows of group counts; a query yields the points whose bound reaches what the threshold needs."""
 
@@ -154,23 +226,21 @@ def group_counts(s: np.ndarray, width: int) -> np.ndarray:
 def _search(tree: RTree, accept, side: np.ndarray | None = None) -> np.ndarray:
     """For each point the first point of its component under the tree's pairs that accept(q, c) confirms; with `side`
     only pairs of different sides."""
-    n = len(tree.sizes)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for q in range(1, n):
+    root = np.arange(len(tree.sizes))
+    for q in range(1, len(root)):
         found = tree.query(q)
-        found = found[found < q]
-        for c in (found if side is None else found[side[found] != side[q]]).tolist():
-            a, b = find(q), find(c)
-            if a != b and accept(q, c):
-                root[max(a, b)] = min(a, b)
-    return np.asarray([find(i) for i in range(n)])
+        found = found[(found < q) & (root[found] != root[q])]
+        if side is not None:
+            found = found[side[found] != side[q]]
+        while len(found):
+            c = int(found[0])
+            if accept(q, c):
+                a, b = root[q], root[c]
+                root[root == max(a, b)] = min(a, b)
+                found = found[root[found] != root[q]]
+            else:
+                found = found[1:]
+    return root
 
 
 def bound_groups(counts: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -197,10 +267,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     """key, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    hashed = base.withColumn("h", F.xxhash64("t"))
     ints = lambda x: pa.array(np.asarray(x, U64).view(np.int64) if len(x) else np.zeros(0, np.int64))
 
     def first_pass(batches):
-        """kind 0: a document's id, class and size; kind 1: a shingle met in two or more classes of this task, its count."""
+        """kind 0: a document's id, class, size and hash of the text; kind 1: a shingle met in two or more classes of this task, its count."""
         seen, held, n_held = set(), [], 0
 
         def frequent():
@@ -208,7 +279,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             n = np.diff(np.append(at, len(s)))
             h, n = s[at][n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), ints(h), pa.array(n.astype(np.int64)), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.int64())], names=["kind", "a", "b", "c", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), ints(h), pa.array(n.astype(np.int64)), *[pa.nulls(len(h), pa.int64())] * 3], names=["kind", "a", "b", "c", "d", "e"])
 
         for batch in batches:
             for a, b, data, off in parts(batch.column(1)):
@@ -222,17 +293,17 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                         seen.add(r)
                         held.append(s)
                         n_held += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array(rid, pa.int64()), pa.array(size, pa.int64()), pa.array(other, pa.int64())], names=["kind", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array(rid, pa.int64()), pa.array(size, pa.int64()), pa.array(other, pa.int64()), batch.column(2).slice(a, b - a)], names=["kind", "a", "b", "c", "d", "e"])
                 if n_held > DF_BLOCK:
                     yield frequent()
                     held, n_held = [], 0
         if held:
             yield frequent()
 
-    one = stage_table(base.mapInArrow(freed(first_pass), "kind tinyint, a bigint, b bigint, c bigint, d bigint"), "shingle-pass")
-    rows = one.where("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("rid"), F.col("c").alias("n"), F.col("d").alias("rid2"))
+    one = stage_table(hashed.mapInArrow(freed(first_pass), "kind tinyint, a bigint, b bigint, c bigint, d bigint, e bigint"), "shingle-pass")
+    rows = one.where("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("rid"), F.col("c").alias("n"), F.col("d").alias("rid2"), F.col("e").alias("h"))
     # 64-bit names that stand for several sets: about classes ** 2 / 2**65, so 3 among 10 billion
-    classes = rows.where("rid is not null").groupBy("rid", "rid2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    classes = rows.where("rid is not null").groupBy("rid", "rid2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.min("h").alias("h"))
     classes = stage_table(classes, "classes")
     doubtful = frozenset(r[0] for r in classes.groupBy("rid").count().where("count > 1").select("rid").collect())
     if doubtful:
@@ -244,11 +315,22 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     level[slots["slot"].to_numpy()] = np.minimum(slots["l"].to_numpy(), 60)
     level_b = spark.sparkContext.broadcast(level)
 
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    ranges = max(RANGES * tasks(spark), -(-total // RANGE))
+
     def prefixes(batches):
         table, seen = level_b.value, set()
         for batch in batches:
+            tok, rid, size, count = [], [], [], []
+
+            def flush():
+                t, r, n = np.concatenate(tok), np.repeat(np.asarray(rid, np.int64), count), np.repeat(np.asarray(size, np.int64), count)
+                for part in (tok, rid, size, count):
+                    part.clear()
+                for i in range(0, len(t), PACK):
+                    yield packed(t[i : i + PACK], r[i : i + PACK], n[i : i + PACK], ranges)
+
             for _, _, data, off in parts(batch.column(1)):
-                tok, rid, size, count = [], [], [], []
                 for s in doc_sets(data, off, k):
                     if not len(s) or (r := class_id(s, doubtful)) in seen:
                         continue
@@ -258,74 +340,58 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                     rid.append(r)
                     size.append(len(s))
                     count.append(len(t))
-                if tok:
-                    yield pa.RecordBatch.from_arrays([ints(np.concatenate(tok)), pa.array(np.repeat(np.asarray(rid, np.int64), count)), pa.array(np.repeat(np.asarray(size, np.int32), count))], names=["tok", "rid", "n"])
+                if sum(count) > PACK:
+                    yield from flush()
+            if tok:
+                yield from flush()
 
     def runs(batches):
-        """Classes that may link for a token of this partition, as edges to the smallest one they reach in a batch.
-
-        Rows come by token and size. Runs longer than PAIRS are chained by size, which connects at least as
-        much; of a run that goes on in the next batch the last PAIRS rows are kept.
-        """
-        kept, so_far = None, 0  # the rows of the last run, and how many it had before them
-        for batch in batches:
-            tok, rid, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(tok):
-                continue
-            old = 0
-            if kept is not None:
-                if kept[0][0] == tok[0]:
-                    old = len(kept[0])
-                    tok, rid, n = (np.concatenate(x) for x in zip(kept, (tok, rid, n), strict=True))
-                else:
-                    so_far = 0
-            n = n.astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-            length = np.diff(np.append(first, len(tok)))
-            whole = length.copy()
-            whole[0] += so_far
-            long = np.repeat(whole > PAIRS, length)
-            u, v = [], []
-            for d in range(1, min(PAIRS, int(length.max())) + 1):
-                i = np.flatnonzero(tok[d:] == tok[:-d])
-                i = i[i + d >= old]  # pairs of kept rows were looked at before
-                if d > 1:
-                    i = i[~long[i]]
-                x, y = n[i], n[i + d]
-                fit = (den * x >= num * y) & (rid[i] != rid[i + d])
-                u.append(rid[i[fit]])
-                v.append(rid[i[fit] + d])
-            if u and len(np.concatenate(u)):
-                node, root = local_roots(np.concatenate(u), np.concatenate(v))
+        """Classes that may link for a token of a range, as edges to the smallest one they reach in it."""
+        tag, held, n_held, most = None, [], 0, HELD
+
+        def edges():
+            nonlocal held, n_held
+            tok, rid, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, v, keep = meetings(tok, rid, n, num, den)
+            held, n_held = [(tok[keep], rid[keep], n[keep])], len(keep)
+            if len(u):
+                node, root = local_roots(u, v)
                 off = node != root
                 yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(root[off])], names=["u", "v"])
-            if old and whole[0] > PAIRS >= so_far + old:  # the run turned long: chain what was paired before
-                x, y = n[: old - 1], n[1:old]
-                fit = (den * x >= num * y) & (rid[: old - 1] != rid[1:old])
-                yield pa.RecordBatch.from_arrays([pa.array(rid[: old - 1][fit]), pa.array(rid[1:old][fit])], names=["u", "v"])
-            tail = max(int(first[-1]), len(tok) - PAIRS)
-            so_far = (so_far if len(first) == 1 else 0) + tail - int(first[-1])
-            kept = tok[tail:].copy(), rid[tail:].copy(), n[tail:].copy()
-
-    tokens = base.mapInArrow(freed(prefixes), "tok bigint, rid bigint, n int").repartition(tasks(spark), "tok").sortWithinPartitions("tok", "n", "rid")
+
+        for batch in batches:
+            for at, count, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if at != tag:
+                    if held:
+                        yield from edges()
+                    tag, held, n_held, most = at, [], 0, HELD
+                held.append(unpacked(count, body.as_py()))
+                n_held += count
+                if n_held > most:
+                    yield from edges()
+                    most = max(HELD, 2 * n_held)
+        if held:
+            yield from edges()
+
+    tokens = base.mapInArrow(freed(prefixes), "range int, count int, body binary").repartition(tasks(spark), "range").sortWithinPartitions("range")
     clusters = stage_table(star_components(tokens.mapInArrow(freed(runs), "u bigint, v bigint")), "clusters")
 
     def members(bits, vectors: bool):
-        """Arrow function: each class whose bit is set, once a task, with its group counts or its whole set."""
+        """Arrow function: each class of a text whose hash's bit is set, once a task, with its group counts or its whole set."""
 
         def run(batches):
             table, seen = bits.value, set()
             for batch in batches:
-                for _, _, data, off in parts(batch.column(1)):
+                slot = batch.column(2).to_numpy() & ((1 << CLASS_BITS) - 1)
+                wanted = (table[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) > 0
+                for _, _, data, off in parts(batch.column(1).filter(pa.array(wanted))):
                     rid, body = [], []
                     for s in doc_sets(data, off, k):
                         if not len(s) or (r := class_id(s, doubtful)) in seen:
                             continue
                         seen.add(r)
-                        slot = r & ((1 << CLASS_BITS) - 1)
-                        if int(table[slot >> 6]) >> (slot & 63) & 1:
-                            rid.append(r)
-                            body.append((group_counts(s, WIDTH).astype(np.uint32) if vectors else s).tobytes())
+                        rid.append(r)
+                        body.append((group_counts(s, WIDTH).astype(np.uint32) if vectors else s).tobytes())
                     if rid:
                         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(body, pa.binary())], names=["rid", "body"])
 
@@ -370,21 +436,18 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     def joined(clusters: DataFrame, vectors: bool) -> DataFrame:
         """Edges that hold inside clusters (node, root): by the bound of the group counts, or by the sets."""
-        words = clusters.select(F.col("node").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+        known = stage_table(clusters.join(classes.select(F.col("rid").alias("c"), "n", "h"), F.col("node") == F.col("c")).drop("c"), "cluster-members")
+        words = known.select(F.col("h").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
         bitmap = np.zeros(1 << (CLASS_BITS - 6), np.int64)  # a table of fixed size
         bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
         bits = spark.sparkContext.broadcast(bitmap.view(U64))
-        if vectors:
-            size, by_bytes = clusters, F.lit(1)
-        else:
-            size = clusters.join(classes.select(F.col("rid").alias("c"), "n"), F.col("node") == F.col("c"))
-            by_bytes = F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
-        count = size.groupBy("root").agg(F.count(F.lit(1)).alias("size"), by_bytes.cast("int").alias("nb2")).withColumn("nb", F.greatest(F.ceil(F.col("size") / BLOCK).cast("int"), "nb2"))
+        by_bytes = F.lit(1) if vectors else F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
+        count = known.groupBy("root").agg(F.count(F.lit(1)).alias("size"), by_bytes.cast("int").alias("nb2")).withColumn("nb", F.greatest(F.ceil(F.col("size") / BLOCK).cast("int"), "nb2"))
         at = join_hot(clusters, stage_table(count.select("root", "size", "nb"), "cluster-sizes"), "root", "size")
         mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
         at = at.select("node", "root", mine.alias("own"), F.inline(pair))
-        held = base.mapInArrow(freed(members(bits, vectors)), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "own", "rid", "body")
+        held = hashed.mapInArrow(freed(members(bits, vectors)), "rid bigint, body binary").join(at, F.col("rid") == F.col("node")).select("root", "i", "j", "own", "rid", "body")
         held = held.repartition(tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
         return stage_table(held.mapInArrow(freed(link(vectors)), "u bigint, v bigint"), "links")
 

@@ -49,13 +49,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     by_id = ids.groupBy("__part", "__d").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__i"))
     first = by_id.groupBy("__part").agg(F.min(F.struct(F.col("__d").isNull().alias("none"), "__d", "n", "__i")).alias("m"))
     first = stage_table(first.select("__part", F.col("m.__d").alias("__d"), F.col("m.n").alias("n"), F.col("m.__i").alias("__i")), "near-first")
-    # texts are compared only where rows of one component share its smallest doc_id
+    lead = first.where("n = 1").select("__i")
+    if first.where("n > 1").head(1):  # texts are compared only where rows of one component share its smallest doc_id
+        lead = lead.unionByName(_first_of_tied(keyed, ids, first))
+    return keyed.join(lead, F.col(ROW) == F.col("__i"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _first_of_tied(keyed: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
+    """The row (__i) of the smallest text and other columns, among those that share the smallest doc_id of a component."""
     tied = first.where("n > 1").select(F.col("__part").alias("p"), F.col("__d").alias("d"))
     tied = ids.join(tied, (F.col("__part") == F.col("p")) & F.col("__d").eqNullSafe(F.col("d"))).select("__i", "__part")
-    order = F.struct("text", *[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")], ROW)
-    tied = keyed.join(tied, F.col(ROW) == F.col("__i")).groupBy("__part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias("__i"))
-    lead = first.where("n = 1").select("__i").unionByName(tied)
-    return keyed.join(lead, F.col(ROW) == F.col("__i"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct("text", *[f"`{c}`" for c in keyed.columns if c not in ("doc_id", "text", ROW)], ROW)
+    return keyed.join(tied, F.col(ROW) == F.col("__i")).groupBy("__part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias("__i"))
 
 
 def dedup_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,3 +136,20 @@ def test_near_copies_of_long_texts_meet_only_each_other(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
     assert sorted(r.doc_id for r in stages.drop_near_copies(spark, docs, "").collect()) == list(range(40))
     assert met["clusters"].count() == 2
+
+
+def test_near_copies_cut_only_texts_of_clusters_again(spark, monkeypatch):
+    from rasterloom.llm import jaccard, stages
+
+    texts = [" ".join(f"t{t}w{i}" for i in range(60)) for t in range(30)]
+    texts.append(texts[3] + " more")
+    cut, sets = spark.sparkContext.accumulator(0), jaccard.doc_sets
+
+    def counted(data, off, k):
+        cut.add(len(off) - 1)
+        return sets(data, off, k)
+
+    monkeypatch.setattr(jaccard, "doc_sets", counted)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
+    assert sorted(r.doc_id for r in stages.drop_near_copies(spark, docs, "").collect()) == list(range(30))
+    assert 2 * 31 < cut.value < 3 * 31
