@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,47 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 ROW = "__row"
+PLACE_BITS = 40  # of a row's number: its place in its file
+PACKED_ROWS = 1 << 26  # rows whose numbers are broadcast, at most
 
 
 def with_row_key(docs: DataFrame, name: str) -> DataFrame:
-    """docs, written, with a number of its own for each row, whatever doc_id holds."""
-    return stage_table(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """docs with a number of its own for each row, whatever doc_id holds: by the file and the place in it where docs are
+    Parquet files as read, which costs no disk; all else is written first."""
+    keyed = _placed(docs)
+    return stage_table(docs.withColumn(ROW, F.monotonically_increasing_id()), name) if keyed is None else keyed
+
+
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """docs with ROW by file and place, or None if they are no Parquet files, or some of them twice. One row per file
+    comes to the driver."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return None  # rows of other plans may share a place
+    try:
+        meta = docs.metadataColumn("_metadata")
+        at = docs.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__place"))
+    except AnalysisException:
+        return None
+    files = sorted(at.groupBy("__file").agg(F.count(F.lit(1)), F.max("__place")).collect())
+    if any(n != last + 1 for _, n, last in files):
+        return None
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, (f, _, _) in enumerate(files)], "__path string, __number bigint")
+    row = F.shiftleft("__number", PLACE_BITS) + F.col("__place")
+    return at.join(F.broadcast(numbers), F.col("__file") == F.col("__path")).select(*[F.col(f"`{c}`") for c in docs.columns], row.alias(ROW))
+
+
+def chosen(keyed: DataFrame, times: DataFrame) -> DataFrame:
+    """keyed with the number __n that times (__i, __n: 1 and more) has for a row; other rows go.
+
+    Texts stay where they are: the numbers of 32 rows are broadcast as one word, 5 MB for 10 million rows. Past
+    PACKED_ROWS, or with a number over 3, rows are joined."""
+    times = stage_table(times.select("__i", F.col("__n").cast("bigint").alias("__n")), "row-times")
+    rows, most = times.agg(F.count(F.lit(1)), F.max("__n")).first()
+    if rows > PACKED_ROWS or (most or 0) > 3:
+        return keyed.join(times, F.col(ROW) == F.col("__i")).drop("__i")
+    words = times.groupBy(F.shiftright("__i", 5).alias("__word")).agg(F.bit_or(F.expr("shiftleft(__n, cast(2 * (__i & 31) as int))")).alias("__bits"))
+    n = F.expr(f"shiftright(__bits, cast(2 * ({ROW} & 31) as int)) & 3")
+    return keyed.join(F.broadcast(words), F.shiftright(ROW, 5) == F.col("__word")).withColumn("__n", n).where("__n > 0").drop("__word", "__bits")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +89,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     lead = first.where("n = 1").select("__i")
     if first.where("n > 1").head(1):  # texts are compared only where rows of one component share its smallest doc_id
         lead = lead.unionByName(_first_of_tied(keyed, ids, first))
-    return keyed.join(lead, F.col(ROW) == F.col("__i"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen(keyed, lead.withColumn("__n", F.lit(1))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _first_of_tied(keyed: DataFrame, ids: DataFrame, first: DataFrame) -> DataFrame:
@@ -60,7 +97,9 @@ def _first_of_tied(keyed: DataFrame, ids: DataFrame, first: DataFrame) -> DataFr
     tied = first.where("n > 1").select(F.col("__part").alias("p"), F.col("__d").alias("d"))
     tied = ids.join(tied, (F.col("__part") == F.col("p")) & F.col("__d").eqNullSafe(F.col("d"))).select("__i", "__part")
     order = F.struct("text", *[f"`{c}`" for c in keyed.columns if c not in ("doc_id", "text", ROW)], ROW)
-    return keyed.join(tied, F.col(ROW) == F.col("__i")).groupBy("__part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias("__i"))
+    tied = stage_table(tied, "near-tied")
+    texts = chosen(keyed, tied.select("__i", F.lit(1).alias("__n"))).drop("__n")
+    return texts.join(tied, F.col(ROW) == F.col("__i")).groupBy("__part").agg(F.min(order).alias("m")).select(F.col("m." + ROW).alias("__i"))
 
 
 def dedup_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +120,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Cases: a null text takes no words and goes; a null source is a source; repeated rows and ids are rows of their
     own; extra columns pass through, whatever their names."""
     keyed = with_row_key(docs, "mix-rows")
-    copies = mix_sources(keyed.select(ROW, "doc_id", "source", "text"), row=ROW).select(F.col(ROW).alias("__mixed"), F.col("copies").alias("__copies")).where("__copies > 0")
-    out = keyed.join(copies, F.col(ROW) == F.col("__mixed"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    copies = mix_sources(keyed.select(ROW, "doc_id", "source", "text"), row=ROW).select(F.col(ROW).alias("__i"), F.col("copies").alias("__n")).where("__n > 0")
+    out = chosen(keyed, copies)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,3 +153,58 @@ def test_near_copies_cut_only_texts_of_clusters_again(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
     assert sorted(r.doc_id for r in stages.drop_near_copies(spark, docs, "").collect()) == list(range(30))
     assert 2 * 31 < cut.value < 3 * 31
+
+
+def read_twice(spark, folder):
+    """Rows without and with repeated ids, as written Parquet files and, row by row the same, as a plan over them."""
+    texts = [prose(R.randint(55, 80)) for _ in range(30)]
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts[:12]] + texts[:6]
+    rows = [([None, 5, i, i + 1][i % 4], t, "en", [None, "s1", "s0"][i % 3], i % 2) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3).write.parquet(folder)
+    files = spark.read.parquet(folder)
+    return files, files.where("n_chars >= 0")
+
+
+@pytest.mark.parametrize("name", ["ngram_jaccard", "mix_sources"])
+def test_stages_neither_write_nor_shuffle_texts_to_pick_rows(spark, tmp_path, monkeypatch, name):
+    from rasterloom.llm import stages
+
+    files, plan = read_twice(spark, str(tmp_path / "docs"))
+    wrote, table = [], stages.stage_table
+    monkeypatch.setattr(stages, "stage_table", lambda df, name: wrote.append(df.columns) or table(df, name))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dict(corpus_pipeline.STAGES)[name](spark, files, "")
+        got = sorted(map(repr, out.collect()))
+        assert not any("text" in c for c in wrote)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    if name == "ngram_jaccard":  # which equal rows are taken does not depend on how they are read
+        assert got == sorted(map(repr, dict(corpus_pipeline.STAGES)[name](spark, plan, "").collect()))
+    assert got == sorted(map(repr, dict(corpus_pipeline.STAGES)[name](spark, files, "").collect())) and len(got) > 10
+
+
+def test_rows_have_numbers_of_their_own_however_read(spark, tmp_path):
+    from rasterloom.llm import stages
+
+    files, plan = read_twice(spark, str(tmp_path / "docs"))
+    path = str(tmp_path / "docs")
+    for docs, n in ((files, 48), (plan, 48), (spark.read.parquet(path, path), 96), (files.unionByName(files), 96), (files.limit(0), 0)):
+        keyed = stages.with_row_key(docs, "rows")
+        assert keyed.columns == [*docs.columns, stages.ROW]
+        assert keyed.count() == n == keyed.select(stages.ROW).distinct().count()
+
+
+def test_chosen_rows_by_words_and_by_join(spark, tmp_path, monkeypatch):
+    from rasterloom.llm import stages
+
+    rows = [0, 1, 30, 31, 32, 63, 64, (1 << 40) + 31, (5 << 40) + 2]
+    keyed = spark.createDataFrame([(f"t{r}", r) for r in [*rows, 2, 33, 9 << 40]], f"text string, {stages.ROW} long")
+    times = [(r, 1 + i % 3) for i, r in enumerate(rows)]
+    pick = lambda t: sorted((r[stages.ROW], r["__n"]) for r in stages.chosen(keyed, spark.createDataFrame(t, "__i long, __n int")).collect())
+    assert pick(times) == times and pick([]) == []
+    assert pick([(31, 4), (32, 1)]) == [(31, 4), (32, 1)]
+    monkeypatch.setattr(stages, "PACKED_ROWS", 3)
+    assert pick(times) == times
