@@ -46,15 +46,16 @@ def _placed(docs: DataFrame) -> DataFrame | None:
         return None  # rows of other plans may share a place
     try:
         meta = docs.metadataColumn("_metadata")
-        at = docs.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__place"))
+        at = docs.select("*", meta["file_path"].alias("__path"), F.xxhash64(meta["file_path"]).alias("__file"), meta["row_index"].alias("__place"))
     except AnalysisException:
         return None
-    files = sorted(at.groupBy("__file").agg(F.count(F.lit(1)), F.max("__place")).collect())
-    if any(n != last + 1 for _, n, last in files):
+    files = sorted(at.groupBy("__file").agg(F.min("__path").alias("path"), F.count(F.lit(1)), F.max("__place")).collect(), key=lambda r: r["path"])
+    if any(n != last + 1 for _, _, n, last in files):  # a file read twice, or two of one hash
         return None
-    numbers = docs.sparkSession.createDataFrame([(f, i) for i, (f, _, _) in enumerate(files)], "__path string, __number bigint")
+    # a broadcast by strings takes a whole page of an executor's memory, one by numbers does not
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, (f, _, _, _) in enumerate(files)], "__hash bigint, __number bigint")
     row = F.shiftleft("__number", PLACE_BITS) + F.col("__place")
-    return at.join(F.broadcast(numbers), F.col("__file") == F.col("__path")).select(*[F.col(f"`{c}`") for c in docs.columns], row.alias(ROW))
+    return at.join(F.broadcast(numbers), F.col("__file") == F.col("__hash")).select(*[F.col(f"`{c}`") for c in docs.columns], row.alias(ROW))
 
 
 def chosen(keyed: DataFrame, times: DataFrame) -> DataFrame:
