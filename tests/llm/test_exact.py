@@ -137,6 +137,20 @@ def test_large_scores_and_repeated_ids(spark):
     assert sorted(tuple(r) for r in out) == sorted(want)
 
 
+def test_scores_past_38_digits_keep_their_order(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, (g.normal(0, 1, 4) * 10.0 ** int(g.integers(0, 38))).astype("f4").tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    out = topk.topk_inner(df, F.col("vec_id") % 10 == 0, block=16, query_block=4, k=5).collect()
+    whole, want = [[math.floor(256 * x) for x in v] for _, v in rows], []
+    for q in range(0, 80, 10):
+        got = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in range(80) if c != q)[:5]
+        want += [(q, k + 1, c, max(-(2**63), min(2**63 - 1, -v))) for k, (v, c) in enumerate(got)]
+    assert sorted(tuple(r) for r in out) == sorted(want)
+    scores = [-(10**90), -(10**40), -(2**63) - 1, -(2**63), 0, 2**63 - 1, 2**63, 10**40, 10**90]
+    assert sorted(scores, key=lambda v: (~max(-(2**63), min(2**63 - 1, v)), topk.beyond(v))) == scores[::-1]
+
+
 def test_hilbert_curve_steps_to_neighbours(spark):
     bits, n = 3, 3
     cells = spark.range(1 << bits * n).select(*[(F.floor(F.col("id") / (1 << bits * i)) % (1 << bits)).cast("bigint").alias("xyz"[i]) for i in range(n)])
