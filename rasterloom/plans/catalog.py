@@ -147,11 +147,11 @@ def geometry_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = G.point(q, d), G.point(t, q)
     box = G.bbox(q - 20, d, t + 10, q)
     clip, turned, wide, xyxy = G.bbox_clip(box, 25.0, 20.0), G.point_rotate(a, 0.5, b), G.bbox_expand(box, 1.5), G.bbox_to_coords(G.bbox_pad(box, 2.0))
-    ring = F.array(G.point(F.lit(0.0), F.lit(0.0)), G.point(q, F.lit(0.0)), G.point(q + t, q), G.point(d, q))
+    ring = [G.point(F.lit(0.0), F.lit(0.0)), G.point(q, F.lit(0.0)), G.point(q + t, q), G.point(d, q)]
     value = {
         "manhattan": G.point_manhattan_distance(a, b), "angle": G.point_angle_to(a, b), "turned_x": turned["x"], "turned_y": turned["y"], "between_x": G.point_interpolate(a, b, 0.25)["x"],
         "clip_area": G.bbox_area(clip), "clip_x": clip["x"], "wide_x": wide["x"], "wide_area": G.bbox_area(wide), "right": xyxy[2],
-        "ring_area": G.ring_signed_area(ring), "ring_length": G.polygon_perimeter(ring), "ring_width": G.ring_bounding_box(ring)["width"], "box_ring_area": G.polygon_area(G.bbox_to_ring(box)),
+        "ring_area": G.ring_signed_area(ring), "ring_length": G.polygon_perimeter(ring), "ring_width": G.ring_bounding_box(ring)["width"], "box_ring_area": G.polygon_area(G.bbox_corners(box)),
     }
     return li.select("l_orderkey", "l_linenumber", *[F.round(v, 5).alias(k) for k, v in value.items()])
 
