@@ -22,3 +22,9 @@ def test_geometry_ops_is_compiled(spark):
     pts = [G.point(F.col("id") * a, F.col("id") + b) for a, b in ((1, 2), (3, -1), (2, 5), (-4, 7))]
     row = spark.range(1, 9).select(*[F.array(f(pts), f(F.array(*pts))).alias(f.__name__) for f in (G.polygon_area, G.polygon_perimeter, G.ring_signed_area)], F.array(G.ring_bounding_box(pts), G.ring_bounding_box(F.array(*pts))).alias("b"))
     assert all(a == b for r in row.collect() for a, b in r)
+
+
+@pytest.mark.parametrize("query", [shapes.contour_measures])
+def test_equal_shapes_are_measured_once(spark, query):
+    before = plan(query(spark, DIR)).split("Arrow")[-1]
+    assert "Aggregate(keys=[x#" in before and "REPARTITION_BY_NUM" in before
