@@ -24,7 +24,7 @@ def test_geometry_ops_is_compiled(spark):
     assert all(a == b for r in row.collect() for a, b in r)
 
 
-@pytest.mark.parametrize("query", [shapes.contour_measures, shapes.contour_set_operations, shapes.point_sets])
+@pytest.mark.parametrize("query", [shapes.contour_measures, shapes.contour_set_operations, shapes.point_sets, shapes.rasterized])
 def test_equal_shapes_are_measured_once(spark, query):
     before = plan(query(spark, DIR)).split("Arrow")[-1]
     assert "Aggregate(keys=[x#" in before and "REPARTITION_BY_NUM" in before
