@@ -72,3 +72,15 @@ def test_box_contours_run_in_batches(spark, monkeypatch):
     col = spark.range(5).select(boxes.to_contour().alias("c")).toArrow()["c"]
     got = [run(*([col] if k < 2 else [col, col] if k == 2 else [col, col, pa.array([0.5] * 5), pa.nulls(5, pa.list_(pa.int32()))])) for k, run in enumerate(runs)]
     assert got[0].to_pylist() == [[2.0] * 3] * 5 and [r["right_idx"] for r in got[4].to_pylist()] == [[0, 1, 2]] * 5
+
+
+def test_box_contours_match_by_coverage_and_come_back_as_boxes(spark):
+    sets = {r.l_orderkey: r.boxes for r in shapes.sets(spark, DIR).where("l_orderkey < 60").collect()}
+    got = {r.l_orderkey: r for r in shapes.box_contour_round_trip(spark, DIR).where("l_orderkey < 60").collect()}
+    box = lambda b, x=0.0, y=0.0: P.Shape([np.asarray([[u + x, v + y] for u, v in ((b.x, b.y), (b.x + b.width, b.y), (b.x + b.width, b.y + b.height), (b.x, b.y + b.height))])])
+    assert got.keys() == sets.keys() and any(r.covered for r in got.values())
+    for key, boxes in sets.items():
+        matrix = [[C.coverage(box(t), box(a, 1.0, 0.5), 0.25) for t in boxes] for a in boxes]
+        want = C.greedy(matrix, len(boxes), 0.5)
+        assert got[key].covered == pytest.approx(sum(want["overlap"])) and got[key].cover_mark == sum((j + 1) * (i + 1) for i, j in enumerate(want["right_idx"]) if j is not None)
+        assert got[key].boxes == pytest.approx(sum(b.x + 2 * b.y + 3 * b.width + 4 * b.height for b in boxes))
